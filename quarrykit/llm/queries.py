@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.plans.shipping import ship
-from quarrykit.llm import decontam, langid, line_dedup, ngram_join, quality_lm, quality_rules
+from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, quality_lm, quality_rules, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +35,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of(_table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id").drop("block")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_to_targets(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=False)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -49,11 +63,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_mixing_to_targets": op8_mixing_to_targets,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.LINES_SQL,
     "op3_quality_rules": quality_rules.rules_sql(),
+    "op6_warc_derivatives": warc.derivatives_sql(),
 }
