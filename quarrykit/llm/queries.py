@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.plans.shipping import ship
-from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, quality_lm, quality_rules, substring_dedup, warc
+from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=False)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_mixing_to_targets": op8_mixing_to_targets,
+    "op9_personal_data": op9_personal_data,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
