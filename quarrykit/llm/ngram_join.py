@@ -26,6 +26,8 @@ from quarrykit.llm.store import written
 CELLS = 1 << 18
 CHUNK = 1 << 10
 FRAGMENTS = 4
+#: 64-bit words of the filter that finds the rows of wanted documents, 1 MB.
+FILTER_WORDS = 1 << 17
 
 
 class Order(NamedTuple):
@@ -115,12 +117,31 @@ def _profiles(order, k: int, percent: int):
     return run
 
 
-def _fragments(k: int):
-    """Of each document: its whole set, cut into fragments."""
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    for batch in batches:
+        for place in _filter_places(batch.column("node").to_numpy()):
+            np.bitwise_or.at(bits, place >> 6, np.int64(1) << (place & 63))
+    full = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(bits[full], pa.int64())], ["word", "bits"])
+
+
+def _filter_places(node: np.ndarray) -> list[np.ndarray]:
+    h = scan.mixed(node.astype(np.int64).view(np.uint64))
+    return [((h >> np.uint64(s)) & np.uint64(64 * FILTER_WORDS - 1)).astype(np.int64) for s in (0, 32)]
+
+
+def _fragments(k: int, node_filter):
+    """Of each document that the filter lets through: its whole set, cut into fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders = [np.uint64(i * 2**64 // FRAGMENTS) for i in range(1, FRAGMENTS)]
+        bits = node_filter.value
         for batch in batches:
+            wanted = np.asarray(batch.column("doc_id").is_valid())
+            for place in _filter_places(batch.column("doc_id").fill_null(0).to_numpy()):
+                wanted &= (bits[place >> 6] >> (place & 63)) & 1 > 0
+            batch = batch.filter(pa.array(wanted))
             for part in scan.slices(batch, "text"):
                 words = scan.words_of(*scan.buffer_of(part.column("text")), scan.SPACED, True)
                 grams, first = scan.shingles_of(words, k)
@@ -130,12 +151,22 @@ def _fragments(k: int):
                     for to, piece in zip(cut, np.split(own, np.searchsorted(own, borders)), strict=True):
                         to.append(piece.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), *(pa.array(x, pa.list_(pa.int64())) for x in cut)], ["node", *(f"f{i}" for i in range(FRAGMENTS))]
+                    [part.column("doc_id"), *(pa.array(x, pa.list_(pa.int64())) for x in cut)], ["node", *(f"f{i}" for i in range(FRAGMENTS))]
                 )
 
     return run
 
 
+def _sets(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """The sets of ``nodes``, and of a few documents more: a filter of fixed size spares a shuffle of all texts."""
+    words = nodes.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect()
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    for word, value in words:
+        bits[word] = value
+    fragments = _fragments(k, texts.sparkSession.sparkContext.broadcast(bits))
+    return written(texts.mapInArrow(fragments, "node long, " + ", ".join(f"f{i} array<long>" for i in range(FRAGMENTS))), "sets")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that are similar enough: partial overlaps by fragment, then their sum."""
     names = [f"f{i}" for i in range(FRAGMENTS)]
@@ -171,54 +202,49 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         texts.mapInArrow(_profiles(order, k, percent), "doc_id long, n_shingles long, digest binary, prefix array<long>"), "profiles"
     )
     classes = profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
-    known = profiles.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "digest", "prefix").join(classes, "digest")
-    known = written(known.select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("prefix")).alias("prefix")), "classes")
-    copies = known.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-
-    postings = known.where("prefix IS NOT NULL").select(F.explode("prefix").alias("gram"), "node", F.col("n_shingles").alias("n"))
+    known = profiles.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(classes, "digest")
+    postings = known.where("doc_id = node").select(F.posexplode("prefix").alias("pos", "gram"), "node", F.col("n_shingles").alias("n"))
     shared = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").drop("far")
     shared = written(postings.join(shared, "gram"), "postings")
     nodes = shared.select("node", "n").distinct()
-    wanted = nodes.select("node").distinct()
-    sets = texts.join(wanted, F.col("doc_id") == F.col("node")).select("node", "text")
-    sets = written(
-        sets.mapInArrow(_fragments(k), "node long, " + ", ".join(f"f{i} array<long>" for i in range(FRAGMENTS))), "sets"
-    )
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-
-    def sized(pairs: DataFrame, column: str, name: str) -> DataFrame:
-        return pairs.join(nodes.select(F.col("node").alias(column), F.col("n").alias(name)), column)
-
-    # Each node with the hub that it shares most of its prefix with.
-    seen = shared.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("common"), F.first("n").alias("nb"))
-    best = seen.groupBy("node").agg(F.max(F.struct("common", -F.col("hub"))).alias("x"), F.first("nb").alias("nb"))
-    first = best.select(F.col("node").alias("b"), "nb", (-F.col("x.col2")).alias("a"))
-    links = written(_linked(sized(first, "a", "na").where(fits), sets, percent).select("a", "b"), "links")
+    similar_size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    # Nothing before the first n-gram that a pair shares is in both sets; what is left must be enough.
+    enough_left = " AND ".join(f"(n{x} - pos{x}) * {100 + percent} >= {percent} * (na + nb)" for x in "ab")
+
+    def add(links: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """The links, and those of the pairs that are similar enough."""
+        pairs = written(pairs, "pairs")
+        sets = _sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")), k)
+        found = _linked(pairs, sets, percent).select("a", "b")
+        return written(found if links is None else links.unionByName(found), "links")
+
+    # Only for connecting most nodes early: each node with the hub that it shares most of its prefix with.
+    seen = shared.where("node != hub").groupBy("node", "n", "hub").agg(F.count("*").alias("common"))
+    best = seen.groupBy("node", "n").agg(F.max(F.struct("common", "hub")).alias("best")).where(f"4 * best.common > n * {100 - percent} DIV 100")
+    first = best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    first = first.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+    links = add(None, first.where(similar_size))
     found = connected_components(links, "a", "b")
 
-    # Pairs of nodes that are not connected yet, until none is left: first by the best connected node of a bucket, then all.
+    # Pairs of nodes that aren't connected yet: first with the best connected node of a bucket, then all that are left.
     for last in (False, True):
-        placed = shared.select("gram", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = shared.select("gram", "node", "n", "pos").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        sizes = placed.groupBy("component").agg(F.count("*").alias("weight"))
-        placed = placed.join(sizes, "component").join(degree, "node", "left").fillna(0, ["links"])
+        placed = placed.join(degree, "node", "left").fillna(0, ["links"])
         buckets = placed.groupBy("gram").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("weight", "component")).alias("main"),
-            F.max(F.struct("links", "node", "n", "component")).alias("hub"),
-        )
-        buckets = buckets.where("low != high").select("gram", F.col("main.component").alias("main"), "hub")
-        mixed = placed.join(buckets, "gram")
-        if not last:
-            pairs = mixed.where("component != hub.component").select(
-                F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")
-            )
+            F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("links", "node", "component", "n", "pos")).alias("hub")
+        )
+        side = placed.join(buckets.where("low != high").select("gram", "hub"), "gram").where("component != hub.component")
+        left = [F.col(c).alias(x) for c, x in (("gram", "gram"), ("node", "a"), ("n", "na"), ("pos", "posa"), ("component", "ca"), ("hub", "hub"))]
+        side = side.select(*left)
+        if last:
+            # Each pair of a bucket has a node outside the component of the bucket's hub.
+            other = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"), F.col("component").alias("cb"))
+            pairs = side.join(other, "gram").where("ca != cb AND (cb = hub.component OR a < b)")
         else:
-            # Every such pair has a node outside the bucket's main component.
-            side = mixed.where("component != main").select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            other = mixed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "main")
-            pairs = side.join(other, "gram").where("ca != cb AND (cb = main OR a < b)").select("a", "na", "b", "nb")
-        pairs = pairs.where(fits).distinct()
-        links = written(links.unionByName(_linked(pairs, sets, percent).select("a", "b")), "links")
+            pairs = side.select("*", *(F.col(f"hub.{c}").alias(x) for c, x in (("node", "b"), ("n", "nb"), ("pos", "posb"))))
+        pairs = pairs.where(similar_size).where(enough_left)
+        links = add(links, pairs.select("a", "b", "na", "nb").distinct())
         found = connected_components(links, "a", "b")
 
     named = known.select("doc_id", "node").distinct().join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
