@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.llm.store import computed, written
+
 GRAM = 3
 WINDOW = 2
 
@@ -33,9 +35,10 @@ def _filled(lines: Column) -> Column:
 def _fingerprints(docs: DataFrame) -> DataFrame:
     """(gram, doc_id, at, before, after): the winnowed grams, with the hash of the next line on each side."""
     hashed = docs.where("doc_id IS NOT NULL").select("doc_id", _lines(F.col("text")).alias("lines"))
-    hashed = hashed.select("doc_id", F.transform(F.filter("lines", lambda x: F.trim(x) != ""), F.md5).alias("h")).where(F.size("h") >= GRAM)
+    filled = F.filter("lines", lambda x: F.trim(x) != "")
+    hashed = computed(hashed, "h", F.transform(filled, F.md5)).drop("lines").where(F.size("h") >= GRAM)
     gram = lambda i: _number(F.concat(*(F.get("h", i + j) for j in range(GRAM))))
-    grams = hashed.withColumn("g", F.transform(F.sequence(F.lit(0), F.size("h") - GRAM), gram))
+    grams = computed(hashed, "g", F.transform(F.sequence(F.lit(0), F.size("h") - GRAM), gram))
     # With two grams a window, a gram is chosen if it is less than the next one, or not more than the one before.
     left, right = F.get("g", F.col("at") - 1), F.get("g", F.col("at") + 1)
     rows = grams.select("doc_id", "h", "g", F.posexplode("g").alias("at", "gram"))
@@ -56,7 +59,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Rows with the same doc_id and text are one document. Other columns of docs
     pass through; an empty table gives no rows.
     """
-    found = _fingerprints(docs)
+    found = written(_fingerprints(docs), "fingerprints")
     first = found.groupBy("gram").agg(F.min(F.struct("doc_id", "at", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = found.join(first, "gram").where("doc_id != first.doc_id OR at != first.at")
     runs = again.select(
@@ -68,14 +71,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     gone = gone.withColumnRenamed("doc_id", "__doc_id")
     lines = _lines(F.col("text"))
     out = docs.join(gone, F.col("doc_id") == F.col("__doc_id"), "left").drop("__doc_id")
-    out = out.withColumn("__filled", _filled(lines))
+    out = computed(computed(out, "__lines", lines), "__filled", _filled(F.col("__lines")))
     out = out.withColumn("n_lines", F.size("__filled").cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
     dropped = F.transform("__gone", lambda i: F.get("__filled", i))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    left = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), dropped)
+    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
     return out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)).withColumn(
         "n_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
-    ).drop("__gone", "__filled")
+    ).drop("__gone", "__filled", "__lines")
 
 
 LINES_SQL = f"""

@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,5 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def one_row_per(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*columns).distinct()
+def computed(df: DataFrame, name: str, expression: Column) -> DataFrame:
+    """``df`` with a column that is computed once for each row.
+
+    The optimizer copies a plain expression to wherever its column is used, and
+    the body of a lambda then evaluates it for each element. It doesn't copy
+    what a generator gives, so the expression goes through an explode of one.
+    """
+    return df.select(*(F.col(c) for c in df.columns if c != name), F.explode(F.array(expression)).alias(name))
