@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.store import written
+from quarrykit.llm.store import computed, written
 
 #: Domains in order, as conditions over a row of labels; the last is what is left.
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "toxic": "toxic = 1", "poor": "quality = 0"}
@@ -37,7 +37,7 @@ def _words(text: Column) -> Column:
 def _features(docs: DataFrame, words: list[str]) -> DataFrame:
     """docs with n_tokens and __f: the listed words it holds, and four shares in steps."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("__w", _words(text)).withColumn("n_tokens", F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long"))
+    out = computed(docs, "__w", _words(text)).withColumn("n_tokens", F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long"))
     steps = [
         F.least(F.lit(6), F.floor(F.log2(1 + F.lit(100) * F.regexp_count(text, F.lit(c)) / F.greatest(F.length(text), F.lit(1)))))
         for c in ("[#*$%&|<>]", "[A-Z]", "!")
@@ -45,7 +45,7 @@ def _features(docs: DataFrame, words: list[str]) -> DataFrame:
     steps.append(F.floor(F.lit(8) * F.size(F.array_distinct("__w")) / F.size("__w")))
     names = [F.format_string(f"{kind}%d", x.cast("int")) for kind, x in zip("#A!~", steps, strict=True)]
     listed = F.array(*(F.lit(w) for w in words)).cast("array<string>")
-    return out.withColumn("__f", F.concat(F.array_intersect(F.col("__w"), listed), F.array(*names))).drop("__w")
+    return computed(out, "__f", F.concat(F.array_intersect(F.col("__w"), listed), F.array(*names))).drop("__w")
 
 
 def _word_list(docs: DataFrame, marked: DataFrame) -> list[str]:
@@ -89,13 +89,13 @@ def _posteriors(features: DataFrame, labelled: DataFrame) -> DataFrame:
         return F.aggregate("__f", F.lit(prior[i]), lambda acc, f: acc + F.coalesce(F.get(known[f], F.lit(i)), F.lit(0.0)))
 
     scores = [score(i) for i in range(k)]
-    out = features.withColumn("__s", F.array(*scores)).withColumn("__m", F.array_max("__s"))
-    out = out.withColumn("__e", F.transform("__s", lambda s: F.exp(s - F.col("__m"))))
-    whole = F.aggregate("__e", F.lit(0.0), lambda acc, e: acc + e)
-    steps = [F.round(F.get("__e", F.lit(i)) / whole * GRID) for i in range(k - 1)]
-    shares = [s / GRID for s in steps]
-    rest = F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, shares))
-    return out.withColumn("p", F.array(*shares, rest)).drop("__s", "__m", "__e", "__f")
+    out = computed(features, "__s", F.array(*scores))
+    top = F.array_max("__s")
+    odds = [F.exp(F.get("__s", F.lit(i)) - top) for i in range(k)]
+    whole = reduce(lambda a, b: a + b, odds)
+    steps = [F.round(x / whole * GRID) / GRID for x in odds[:-1]]
+    rest = F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, steps))
+    return computed(out, "p", F.array(*steps, rest)).drop("__s", "__f")
 
 
 def _log(x: float) -> float:
