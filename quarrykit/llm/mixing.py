@@ -27,7 +27,7 @@ GRID = 200
 #: Pull of the rates towards 1, and the end of the iterations.
 PULL = 1e-3
 STEPS = 60
-CLOSE = 1e-5
+CLOSE = 2e-4
 
 
 def _words(text: Column) -> Column:
@@ -104,36 +104,50 @@ def _log(x: float) -> float:
     return log(x)
 
 
-def _rate(pulls: list[list[float]]) -> Column:
-    """The rate after all steps so far: it depends on nothing but the document's posterior p."""
+def _rate(steps: list[list[float]], ahead: bool) -> Column:
+    """The rate after all steps so far, or the point ahead of it where the next gradient is taken.
 
-    def move(rate: Column, pull: Column) -> Column:
-        slope = reduce(lambda a, b: a + b, [F.get("p", F.lit(i)) * F.get(pull, F.lit(i)) for i in range(len(DOMAINS))])
-        return F.greatest(F.lit(0.0), rate - (slope + F.lit(PULL) * (rate - 1)) / (1 + PULL))
+    Both depend on nothing but the document's posterior p. A step is a gradient
+    by domain and the momentum that follows it.
+    """
+    k = len(DOMAINS)
 
-    return F.aggregate(F.array(*(F.array(*map(F.lit, x)) for x in pulls)), F.lit(1.0), move)
+    def move(at: Column, step: Column) -> Column:
+        y = at["y"]
+        slope = reduce(lambda a, b: a + b, [F.get("p", F.lit(i)) * F.get(step, F.lit(i)) for i in range(k)])
+        rate = F.greatest(F.lit(0.0), y - (slope + F.lit(PULL) * (y - 1)) / (1 + PULL))
+        return F.struct(rate.alias("r"), (rate + F.get(step, F.lit(k)) * (rate - at["r"])).alias("y"))
+
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    return F.aggregate(F.array(*(F.array(*map(F.lit, x)) for x in steps)), start, move, lambda at: at["y" if ahead else "r"])
 
 
 def _fitted(cells: DataFrame, targets: list[float]) -> list[list[float]]:
-    """The gradients by domain of all steps, from which every rate follows.
+    """All steps of accelerated projected gradients, from which every rate follows.
 
     With tokens as shares of the corpus, and domain k holding m_k of them, half
     the sum over k of (reached_k - target_k)^2 / m_k, plus PULL times half the
-    weighted sum of (rate - 1)^2, is least.
+    weighted sum of (rate - 1)^2, is made least. Ends when all targets are met to
+    CLOSE, or after STEPS.
     """
     k = len(targets)
-    shares = [F.sum(F.col("w") * F.get("p", F.lit(i))) for i in range(k)]
-    mass = [x or 0.0 for x in cells.agg(*(s.alias(f"m{i}") for i, s in enumerate(shares))).first()]
-    pulls: list[list[float]] = []
-    reached = list(mass)
-    for _ in range(STEPS):
-        pulls.append([(r - t) / m if m > 1e-12 else 0.0 for r, t, m in zip(reached, targets, mass, strict=True)])
-        rated = cells.withColumn("rate", _rate(pulls))
-        before, reached = reached, list(rated.agg(*(F.sum(F.col("w") * F.col("rate") * F.get("p", F.lit(i))).alias(f"r{i}") for i in range(k))).first())
-        reached = [x or 0.0 for x in reached]
-        if max(abs(a - b) for a, b in zip(before, reached, strict=True)) < CLOSE:
+
+    def reached(rate: Column) -> list[float]:
+        rated = cells.withColumn("rate", rate)
+        row = rated.agg(*(F.sum(F.col("w") * F.col("rate") * F.get("p", F.lit(i))).alias(f"r{i}") for i in range(k))).first()
+        return [x or 0.0 for x in row]
+
+    mass = reached(F.lit(1.0))
+    steps: list[list[float]] = []
+    at = mass
+    for n in range(STEPS):
+        pull = [(r - t) / m if m > 1e-12 else 0.0 for r, t, m in zip(at, targets, mass, strict=True)]
+        if max((abs(x) * m for x, m in zip(pull, mass, strict=True)), default=0.0) < CLOSE and steps:
+            steps[-1][k] = 0.0  # the rates themselves are where the targets were found to be met
             break
-    return pulls
+        steps.append([*pull, n / (n + 3)])
+        at = reached(_rate(steps, True))
+    return steps
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: bool = True) -> DataFrame:
@@ -160,6 +174,6 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     cells = _posteriors(small, labelled).groupBy("p").agg(F.sum("n_tokens").alias("n"))
     cells = written(cells, "cells")
     total = cells.agg(F.sum("n")).first()[0] or 1
-    pulls = _fitted(cells.withColumn("w", F.col("n") / F.lit(float(total))), [targets[d] for d in DOMAINS])
+    steps = _fitted(cells.withColumn("w", F.col("n") / F.lit(float(total))), [targets[d] for d in DOMAINS])
     out = _posteriors(features if carry else small, labelled)
-    return out.select(*(c for c in out.columns if c != "p"), *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), _rate(pulls).alias("rate"))
+    return out.select(*(c for c in out.columns if c != "p"), *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), _rate(steps, False).alias("rate"))
