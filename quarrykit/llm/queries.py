@@ -7,58 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.plans.shipping import ship
 from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, substring_dedup, warc
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from quarrykit.llm.store import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify_language(docs, docs.where(~langid.held_out()))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses_of(_table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id").drop("block")
+    return warc.derive(warc.responses_of(table(spark, sf_dir, "pages"))).withColumnRenamed("source_id", "page_id").drop("block")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_lm.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality_lm.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_to_targets(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=False)
+    return mixing.mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=False)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
 
 

@@ -138,7 +138,7 @@ def shingles_of(words: Words, k: int, hashes: np.ndarray | None = None) -> tuple
     return out, first
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded number of rows, and of bytes unless one row alone has more."""
     lengths = np.diff(buffer_of(batch.column(column))[1])
     total, at = np.cumsum(lengths), 0

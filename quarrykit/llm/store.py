@@ -12,6 +12,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.plans.shipping import ship
+
+
+#: Bytes of a batch that goes to or from a Python worker; whole texts are long.
+BATCH = "8m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Set a session up for the operators of this subpackage."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder, in a session that is set up."""
+    prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master."""
