@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrykit.functions import columns as c
-from quarrykit.operators import dedupe, graph, search
+from quarrykit.functions import udfs
+from quarrykit.operators import dedupe, graph, payloads, search
 from quarrykit.plans.registry import BUCKET, EXT, FILES, Tables, query, simple
+from quarrykit.plans.tables import shared_dir
+from quarrykit.streaming import jobs
 
 
 def _ext():
@@ -271,3 +274,33 @@ simple("d04_daily_matrix", lambda t: t.events.groupBy(F.to_date("ts").alias("day
        "SELECT ts::DATE AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
 simple("d05_incidents", lambda t: _hits(t).groupBy("source", "rule_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")),
        f"SELECT source, rule_id, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents, {_RULES_SQL} WHERE regexp_matches(text, pattern) GROUP BY source, rule_id")
+
+
+# Python batches and streams
+simple("t02_secret_matches", lambda t: udfs.secret_matches(t.documents, "doc_id", "text").groupBy("doc_id", "rule").agg(F.count("*").alias("n")),
+       "SELECT doc_id, rule, n FROM (SELECT doc_id, 'token' AS rule, len(regexp_extract_all(text, 'token = \"[0-9a-f]{40}\"')) AS n FROM documents UNION ALL SELECT doc_id, 'password', len(regexp_extract_all(text, 'password=[0-9a-z]+')) FROM documents UNION ALL SELECT doc_id, 'key', len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) FROM documents) WHERE n > 0")
+simple("p22_json_sniff", lambda t: t.events.select("event_id", udfs.json_sniffer()("props").alias("s")).select("event_id", "s.mode", F.array_join("s.keys", ",").alias("keys")),
+       "SELECT event_id, 'object' AS mode, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events")
+query("p20_fuzzy_names")(lambda t: t.part.select("p_partkey", udfs.fuzzy("steel")("p_name").alias("ratio")))
+query("f02_embedding")(lambda t: t.benchmark.select("item_id", udfs.embedder(udfs.hashing_model)("text").alias("vector")))
+simple("n05_validation", lambda t: t.events.select("event_id", F.array_join(payloads.issues(F.col("props"), ["nothing"]), ",").alias("issues")), "SELECT event_id, 'missing nothing' AS issues FROM events")
+simple("n11_snapshot_diff", lambda t: payloads.snapshot_diff(t.files.where("doc_id % 3 != 0").select("path", F.sha2("text", 256).alias("sha256")), t.files.where("doc_id % 5 != 0").select("path", F.sha2(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")), 256).alias("sha256"))),
+       FILES + "SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM files WHERE NOT (doc_id % 3 = 0 AND doc_id % 5 = 0) AND (doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0)")
+
+
+def _streamed(t: Tables, name: str, build, mode: str = "append") -> DataFrame:
+    import uuid
+
+    table = getattr(t, name)
+    base = f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    stream = build(t.stream(name, table.schema))
+    if mode == "append":
+        jobs.drain(stream, f"{base}/out", f"{base}/state")
+        return t.spark.read.parquet(f"{base}/out")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out")
+    jobs._finished(stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start())
+    return t.spark.read.parquet(f"{base}/out")
+
+
+simple("x04_first_wins_stream", lambda t: _streamed(t, "documents", lambda s: jobs.first_wins(s, "text").select("sha256")), "SELECT DISTINCT sha256(text) AS sha256 FROM documents")
+simple("x06_counters_stream", lambda t: _streamed(t, "events", lambda s: jobs.counters(s, "event_type"), "complete"), "SELECT event_type, count(*) AS count FROM events GROUP BY 1")

@@ -111,6 +111,6 @@ def matching(df: DataFrame, prefix: tuple[str, str], needle: str) -> DataFrame:
 
 
 def decoded(content: Column, limit: int) -> Column:
-    """Text of the first ``limit`` bytes: UTF-8 where it is valid, or else Windows-1252."""
+    """Text of the first ``limit`` bytes: UTF-8 where it is valid, or else Latin-1."""
     cut = F.substring(content, 1, limit)
-    return F.coalesce(F.try_validate_utf8(cut.cast("string")), F.decode(cut, "windows-1252"))
+    return F.coalesce(F.try_validate_utf8(cut.cast("string")), F.decode(cut, "iso-8859-1"))
