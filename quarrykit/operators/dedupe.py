@@ -89,3 +89,10 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, start: int = 1) ->
     counts = inside.groupBy("__part").agg(F.max("__n").alias("__rows"))
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inside.join(F.broadcast(offsets.select("__part", "__before")), "__part").withColumn(name, F.col("__before") + F.col("__n") + (start - 1)).drop("__part", "__n", "__before")
+
+
+def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """df with each row's place in its group; a group of a great many rows is spread over tasks."""
+    placed = numbered(df, [*key, *order], "__place")
+    first = placed.groupBy(*key).agg(F.min("__place").alias("__first"))
+    return placed.join(first, list(key)).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")

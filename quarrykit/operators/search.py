@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quarrykit.functions.columns import occurrences
 
-#: Queries that are broadcast at most; more go through a join on blocks.
+#: Queries that are broadcast at once, about.
 MOST_QUERIES = 10_000
 
 
@@ -73,16 +74,21 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, score: Column, k: int, name: str = "vec_id", query: str = "query_id", ascending: bool = True) -> DataFrame:
-    """For each query the k best vectors, exactly: queries are a stated set of MOST_QUERIES at most, broadcast in one block.
+    """For each query the k best vectors, exactly.
 
-    Each task first keeps the k best of each query by a bounded array, so that
-    the shuffle holds k rows for each task and query.
+    Queries are a stated set; they are broadcast in blocks of MOST_QUERIES about.
+    The rank's limit also applies before the shuffle, so each task sends k rows
+    for each query at most.
     """
-    asked = queries.limit(MOST_QUERIES)
-    scored = vectors.join(F.broadcast(asked)).select(query, name, score.alias("score"))
+    blocks = -(-queries.count() // MOST_QUERIES) or 1
     order = F.col("score") if ascending else F.desc("score")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(order, name)))
-    return ranked.where(F.col("rank") <= k)
+    found = []
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+        scored = vectors.join(F.broadcast(block)).select(query, name, score.alias("score"))
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(order, name)))
+        found.append(ranked.where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def within_budget(parts: DataFrame, order: Sequence[str], length: str, budget: int) -> DataFrame:

@@ -156,12 +156,12 @@ simple("w03_exhibit_labels", lambda t: t.files.orderBy("path", "doc_id").limit(5
 @query("w05_move_plan", FILES + f"SELECT doc_id, bucket, CASE WHEN n > 1 THEN regexp_replace(basename, '([^.])\\.[^.]+$', '\\1') || ' (' || (n - 1) || ')' || {EXT} ELSE basename END AS name, n > 1 AS renamed FROM (SELECT *, {BUCKET} AS bucket, row_number() OVER (PARTITION BY {BUCKET}, basename ORDER BY path, doc_id) AS n FROM files)")
 def _(t: Tables) -> DataFrame:
     named = t.files.select("doc_id", "path", "basename", c.bucket(_ext()).alias("bucket"))
-    ranked = named.withColumn("n", F.row_number().over(Window.partitionBy("bucket", "basename").orderBy("path", "doc_id")))
+    ranked = dedupe.ranked(named, ["bucket", "basename"], ["path", "doc_id"], "n")
     name = F.when(F.col("n") > 1, F.concat(c.stem(F.col("basename")), F.lit(" ("), (F.col("n") - 1).cast("string"), F.lit(")"), _ext())).otherwise(F.col("basename"))
     return ranked.select("doc_id", "bucket", name.alias("name"), (F.col("n") > 1).alias("renamed"))
 
 
-simple("w06_numbered_copies", lambda t: t.files.select("doc_id", "path", "basename", F.md5("text").alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("h").orderBy("path", "doc_id"))).select("doc_id", F.concat(F.lpad(F.col("n").cast("string"), 2, "0"), F.lit("_"), "basename").alias("name")),
+simple("w06_numbered_copies", lambda t: dedupe.ranked(t.files.select("doc_id", "path", "basename", F.md5("text").alias("h")), ["h"], ["path", "doc_id"], "n").select("doc_id", F.concat(F.lpad(F.col("n").cast("string"), 2, "0"), F.lit("_"), "basename").alias("name")),
        FILES + "SELECT doc_id, lpad(row_number() OVER (PARTITION BY md5(text) ORDER BY path, doc_id)::VARCHAR, 2, '0') || '_' || basename AS name FROM files")
 simple("w07_timeline_layout", lambda t: dedupe.numbered(t.events.select("ts", "event_id"), ["ts", "event_id"], "n").join(F.broadcast(t.events.agg(F.count("*").alias("all")))).select("event_id", ((F.col("n") - 1) * F.greatest(F.floor(1600 / F.col("all")), F.lit(100))).alias("x"), ((F.col("n") - 1) % 4 * 60).alias("y")),
        "SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) * greatest(1600 // count(*) OVER (), 100) AS x, (row_number() OVER (ORDER BY ts, event_id) - 1) % 4 * 60 AS y FROM events")
