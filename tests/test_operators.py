@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions import columns as c
 from quarrykit.functions import udfs
-from quarrykit.operators import dedupe, graph, payloads, search
-from quarrykit.sources import archives
+from quarrykit.operators import dedupe, graph, payloads, plans, search
+from quarrykit.sources import archives, sinks
 from quarrykit.sources import files as src
 from quarrykit.streaming import jobs
 
@@ -191,6 +191,29 @@ def test_streams(spark, tmp_path):
     assert rows(jobs.latest(spark, str(tmp_path / "hits")), "path", "hit") == [("p", "t2")]
 
 
+def test_free_names(spark):
+    moves = spark.createDataFrame([(1, "d", "a.txt"), (2, "d", "a.txt"), (3, "d", "a.txt"), (4, "d", "b"), (5, "e", "a.txt")], "id long, folder string, name string")
+    taken = spark.createDataFrame([("d", "a (1).txt"), ("d", "b")], "folder string, name string")
+    got = {r.id: (r.folder, r.final) for r in plans.free_names(moves, taken, ["id"]).collect()}
+    assert got[1] == ("d", "a.txt") and got[4] == ("d", "b (1)") and got[5] == ("e", "a.txt")
+    assert len(set(got.values())) == 5 and not set(got.values()) & {("d", "a (1).txt"), ("d", "b")}
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b", None), (1, "a", ["x"])], "id long, s string, found array<string>")
+    sinks.write_manifest(df.select("id", "s"), str(tmp_path / "m"), ["id"])
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "m/csv")), "id", "s") == [("1", "a"), ("2", "b")]
+    sinks.write_findings(df, "found", str(tmp_path / "f"))
+    assert rows(spark.read.json(str(tmp_path / "f")), "id") == [1]
+    for _ in range(2):
+        sinks.append_ledger(df, "seen", ["id"], str(tmp_path / "l"))
+    assert sinks.read_ledger(spark, str(tmp_path / "l")).count() == 4
+    sinks.write_graph(df.select("id", F.col("s").alias("kind")), df.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("s").alias("type")), str(tmp_path / "g"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "g/nodes")).columns == ["id:ID", ":LABEL"]
+    sinks.write_lines(df, str(tmp_path / "t"), "s", ["id"])
+    assert rows(spark.read.text(str(tmp_path / "t")), "value") == ["a", "b"]
+
+
 def test_registry_names_every_oracle():
     import __spark_entry__ as e
 
