@@ -1,18 +1,14 @@
-"""Tables written to the folder that driver and executors share.
-
-Lineage is cut by writing a table and reading it again: unlike cached blocks
-it survives the loss of any executor.
-"""
+"""Sessions and tables of this subpackage, and columns that are computed once."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.plans.shipping import ship
+from quarrykit.plans.tables import written
+
+__all__ = ["computed", "prepare", "table", "written"]
 
 
 #: Bytes of a batch that goes to or from a Python worker; whole texts are long.
@@ -31,25 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back with the same schema."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def computed(df: DataFrame, name: str, expression: Column) -> DataFrame:
     """``df`` with a column that is computed once for each row.
 
