@@ -18,7 +18,7 @@ from quarrykit.llm.store import computed, written
 
 #: Domains in order, as conditions over a row of labels; the last is what is left.
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "toxic": "toxic = 1", "poor": "quality = 0"}
-TARGETS = {"clean": 0.95, "toxic": 0.01, "poor": 0.04}
+TARGETS = {"clean": 0.9, "toxic": 0.06, "poor": 0.04}
 #: Labelled documents that the word list is chosen from at most, and its length.
 SAMPLED = 4000
 WORDS = 48
