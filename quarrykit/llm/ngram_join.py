@@ -132,17 +132,21 @@ def _filter_places(node: np.ndarray) -> list[np.ndarray]:
     return [((h >> np.uint64(s)) & np.uint64(64 * FILTER_WORDS - 1)).astype(np.int64) for s in (0, 32)]
 
 
-def _fragments(k: int, node_filter):
-    """Of each document that the filter lets through: its whole set, cut into fragments."""
+def _fragments(k: int, filters):
+    """Of each document that a filter lets through: whether it may be an a or a b of a pair, and its whole set, cut into fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders = [np.uint64(i * 2**64 // FRAGMENTS) for i in range(1, FRAGMENTS)]
-        bits = node_filter.value
         for batch in batches:
-            wanted = np.asarray(batch.column("doc_id").is_valid())
-            for place in _filter_places(batch.column("doc_id").fill_null(0).to_numpy()):
-                wanted &= (bits[place >> 6] >> (place & 63)) & 1 > 0
-            batch = batch.filter(pa.array(wanted))
+            there = np.asarray(batch.column("doc_id").is_valid())
+            roles = []
+            for bits in filters.value:
+                wanted = there.copy()
+                for place in _filter_places(batch.column("doc_id").fill_null(0).to_numpy()):
+                    wanted &= (bits[place >> 6] >> (place & 63)) & 1 > 0
+                roles.append(wanted)
+            batch = pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, roles)], [*batch.schema.names, "is_a", "is_b"])
+            batch = batch.filter(pa.array(roles[0] | roles[1]))
             for part in scan.slices(batch, "text"):
                 words = scan.words_of(*scan.buffer_of(part.column("text")), scan.SPACED, True)
                 grams, first = scan.shingles_of(words, k)
@@ -152,27 +156,31 @@ def _fragments(k: int, node_filter):
                     for to, piece in zip(cut, np.split(own, np.searchsorted(own, borders)), strict=True):
                         to.append(piece.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(x, pa.list_(pa.int64())) for x in cut)], ["node", *(f"f{i}" for i in range(FRAGMENTS))]
+                    [*(part.column(c) for c in ("doc_id", "is_a", "is_b")), *(pa.array(x, pa.list_(pa.int64())) for x in cut)],
+                    ["node", "is_a", "is_b", *(f"f{i}" for i in range(FRAGMENTS))],
                 )
 
     return run
 
 
-def _sets(texts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """The sets of ``nodes``, and of a few documents more: a filter of fixed size spares a shuffle of all texts."""
-    words = nodes.mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect()
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    for word, value in words:
-        bits[word] = value
-    fragments = _fragments(k, texts.sparkSession.sparkContext.broadcast(bits))
-    return written(texts.mapInArrow(fragments, "node long, " + ", ".join(f"f{i} array<long>" for i in range(FRAGMENTS))), "sets")
+def _sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The sets of all nodes of the pairs, and of a few documents more: filters of fixed size spare a shuffle of all texts."""
+    filters = []
+    for side in "ab":
+        words = pairs.select(F.col(side).alias("node")).mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect()
+        filters.append(np.zeros(FILTER_WORDS, np.int64))
+        for word, value in words:
+            filters[-1][word] = value
+    fragments = _fragments(k, texts.sparkSession.sparkContext.broadcast(filters))
+    schema = "node long, is_a boolean, is_b boolean, " + ", ".join(f"f{i} array<long>" for i in range(FRAGMENTS))
+    return written(texts.mapInArrow(fragments, schema), "sets")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, names: list[str]) -> DataFrame:
     """pairs with the overlap of the named fragments, and what these leave of both sets: oa, ob."""
     kept = pairs.columns
-    left = pairs.join(sets.select(F.col("node").alias("b"), *(F.col(x).alias(f"b_{x}") for x in names)), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), *names), "a")
+    left = pairs.join(sets.where("is_b").select(F.col("node").alias("b"), *(F.col(x).alias(f"b_{x}") for x in names)), "b")
+    both = left.join(sets.where("is_a").select(F.col("node").alias("a"), *names), "a")
     total = lambda parts: reduce(lambda x, y: x + y, parts)
     return both.select(
         *kept, total([F.size(F.array_intersect(F.col(x), F.col(f"b_{x}"))) for x in names]).alias("part"),
@@ -225,7 +233,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     def add(links: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """The links, and those of the pairs that are similar enough."""
         pairs = written(pairs, "pairs")
-        sets = _sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")), k)
+        sets = _sets(texts, pairs, k)
         found = _linked(pairs, sets, percent).select("a", "b")
         return written(found if links is None else links.unionByName(found), "links")
 
