@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quarrykit.llm import scan
 from quarrykit.llm.components import connected_components
 from quarrykit.llm.store import written
+from quarrykit.plans.tables import discard
 
 #: Cells of each frequency sketch. Their number sets how finely n-grams are ordered, never what is found.
 CELLS = 1 << 18
@@ -235,7 +236,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         pairs = written(pairs, "pairs")
         sets = _sets(texts, pairs, k)
         found = _linked(pairs, sets, percent).select("a", "b")
-        return written(found if links is None else links.unionByName(found), "links")
+        more = written(found if links is None else links.unionByName(found), "links")
+        discard(sets)
+        return more
 
     # Only for connecting most nodes early: each node with the hub that it shares most of its prefix with.
     seen = shared.where("node != hub").groupBy("node", "n", "hub").agg(F.count("*").alias("common"))
@@ -265,6 +268,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         pairs = pairs.where(similar_size).where(enough_left)
         links = add(links, pairs.select("a", "b", "na", "nb").distinct())
         found = connected_components(links, "a", "b")
+    discard(shared)
 
     named = known.select("doc_id", "node").distinct().join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     return (
