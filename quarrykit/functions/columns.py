@@ -112,12 +112,17 @@ def relevance(claims: Column, statutes: Column, rules: Column) -> Column:
     return F.when(claims > 0, 1.0).otherwise(0.0) + F.least(statutes, F.lit(3)) * 0.5 + F.least(rules, F.lit(3)) * 0.5
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once for each row: a lambda's argument isn't copied into its uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def layer_norm(x: Column, eps: float = 1e-5, weight: float = 1.0, bias: float = 0.0) -> Column:
     """(x - mean) / sqrt(population variance + eps) * weight + bias of an array."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
-    var = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + eps) * weight + bias)
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, e: a + e) / F.size(v)
+    centred = _let(mean(x), lambda m: F.transform(x, lambda v: v - m))
+    scaled = lambda c: _let(F.sqrt(mean(F.transform(c, lambda v: v * v)) + eps), lambda s: F.transform(c, lambda v: v / s * weight + bias))
+    return _let(centred, scaled)
 
 
 def chunks(text: Column, size: int = 600, stride: int = 520) -> Column:
