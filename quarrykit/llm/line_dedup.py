@@ -4,7 +4,8 @@ Grams are runs of GRAM lines. Of every WINDOW neighbouring grams the least hash
 is a fingerprint, so each repeated run of GRAM + WINDOW - 1 lines holds one at
 the same place in all its copies. A fingerprint joins its earliest position;
 the match is extended both ways, by WINDOW - 1 lines at most, since a longer
-match holds the next fingerprint.
+match holds the next fingerprint. Where short runs count too, every line is a
+gram of its own, which needs no winnowing and no extension.
 """
 
 from __future__ import annotations
@@ -46,27 +47,44 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
     return chosen.select("gram", "doc_id", "at", F.get("h", F.col("at") - 1).alias("before"), F.get("h", F.col("at") + GRAM).alias("after"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def _winnowed(docs: DataFrame) -> DataFrame:
+    """(doc_id, from, to): the runs that go, by fingerprints and the equal lines beside them."""
+    found = written(_fingerprints(docs), "fingerprints")
+    first = found.groupBy("gram").agg(F.min(F.struct("doc_id", "at", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = found.join(first, "gram").where("doc_id != first.doc_id OR at != first.at")
+    return again.select(
+        "doc_id",
+        (F.col("at") - F.when(F.col("before") == F.col("first.before"), 1).otherwise(0)).alias("from"),
+        (F.col("at") + GRAM - 1 + F.when(F.col("after") == F.col("first.after"), 1).otherwise(0)).alias("to"),
+    )
+
+
+def _single(docs: DataFrame) -> DataFrame:
+    """(doc_id, from, to): every line that occurs earlier, as a run of one."""
+    filled = F.filter(_lines(F.col("text")), lambda x: F.trim(x) != "")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.transform(filled, _number)).alias("at", "gram"))
+    found = written(rows, "lines")
+    first = found.groupBy("gram").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = found.join(first, "gram").where("doc_id != first.doc_id OR at != first.at")
+    return again.select("doc_id", F.col("at").alias("from"), F.col("at").alias("to"))
+
+
+def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs without later copies of repeated runs of lines, with n_lines and n_removed.
 
     Every run of GRAM lines that is a fingerprint and occurs earlier (by doc_id,
     then position) goes, with the equal lines beside it. So a repeated run of
     GRAM + WINDOW - 1 lines or more loses all lines but WINDOW - 1 at most at each
     end; each line that goes has an equal one earlier that stays. Blank lines
-    aren't counted, are looked through, and stay.
+    aren't counted, are looked through, and stay. With ``short`` runs of any
+    length count, so every line with an equal one earlier goes, also a line that
+    repeats alone and the lines of texts with fewer than GRAM.
 
     Null text counts as no lines and stays null; a null doc_id is never matched.
     Rows with the same doc_id and text are one document. Other columns of docs
     pass through; an empty table gives no rows.
     """
-    found = written(_fingerprints(docs), "fingerprints")
-    first = found.groupBy("gram").agg(F.min(F.struct("doc_id", "at", "before", "after")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = found.join(first, "gram").where("doc_id != first.doc_id OR at != first.at")
-    runs = again.select(
-        "doc_id",
-        (F.col("at") - F.when(F.col("before") == F.col("first.before"), 1).otherwise(0)).alias("from"),
-        (F.col("at") + GRAM - 1 + F.when(F.col("after") == F.col("first.after"), 1).otherwise(0)).alias("to"),
-    )
+    runs = _single(docs) if short else _winnowed(docs)
     gone = runs.select("doc_id", F.explode(F.sequence("from", "to")).alias("line")).groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__doc_id")
     lines = _lines(F.col("text"))

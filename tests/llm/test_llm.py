@@ -123,6 +123,19 @@ def test_long_repeated_runs_go(spark):
     assert all(n == 9 for _, n in got[1:])
 
 
+def test_short_repeated_runs_go(spark):
+    texts = ["head one\nbody a\nbody b", "x\nhead one\ny", "head one", "body a\nbody b", "x\n\nz\nz", None, ""]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.line_dedup(docs_of(spark, texts), short=True).collect()}
+    assert got == {0: (3, 0, texts[0]), 1: (3, 1, "x\ny"), 2: (1, 1, ""), 3: (2, 2, ""), 4: (3, 2, "\nz"), 5: (0, 0, None), 6: (0, 0, "")}
+
+
+def test_pipeline_drops_single_repeated_lines(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, ["head one\nbody a", "x\nhead one", "head one"]).select(*corpus_pipeline.DOCUMENT)
+    assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()} == {0: ("head one\nbody a", 15), 1: ("x", 1)}
+
+
 def test_quality_rules_base(spark):
     rng = random.Random(3)
     texts = ODD + [prose(rng, 30, 8) + "\n#x $ | <y>\n" + prose(rng, 12) for _ in range(30)] + ["a b\na b\n \n \nA b"]
