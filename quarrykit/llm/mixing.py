@@ -1,7 +1,7 @@
 """Mixing of sources to target weights with soft membership.
 
-A naive Bayes classifier, trained on the table of labels, predicts how likely
-each document belongs to each domain. Projected-gradient least squares then
+A naive Bayes classifier of hashed words, trained on the table of labels by
+language, predicts how likely each document belongs to each domain. Projected-gradient least squares then
 fits a nonnegative rate for each document, such that the expected tokens of
 each domain meet their targets. All of it is DataFrame aggregation: an
 iteration sends one number per domain to the driver.
@@ -18,10 +18,15 @@ from quarrykit.llm.store import computed, written
 
 #: Domains in order, as conditions over a row of labels; the last is what is left.
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "toxic": "toxic = 1", "poor": "quality = 0"}
-TARGETS = {"clean": 0.9, "toxic": 0.06, "poor": 0.04}
-#: Labelled documents that the word list is chosen from at most, and its length.
-SAMPLED = 4000
-WORDS = 48
+TARGETS = {"clean": 0.95, "toxic": 0.01, "poor": 0.04}
+#: Places that words are hashed to; the model has a number for each and each domain, whatever the input.
+SIZE = 1 << 16
+#: Letters of the prefixes that stand for inflected forms, beside the words themselves.
+PREFIX = 5
+#: Log-likelihood ratio of a word (chi-squared of one degree; 15 is p = 0.0001) from which it tells of a domain.
+TELLS = 15.0
+#: Labelled documents of a language with which it has a model of its own; the others share one.
+OWN = 100
 #: Posteriors are rounded to this grid, so that documents of equal posterior are one cell.
 GRID = 200
 #: Pull of the rates towards 1, and the end of the iterations.
@@ -31,71 +36,93 @@ CLOSE = 2e-4
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), "[^a-z]+")
+    return F.split(F.lower(text), r"[^\p{L}\p{M}]+")
 
 
-def _features(docs: DataFrame, words: list[str]) -> DataFrame:
-    """docs with n_tokens and __f: the listed words it holds, and four shares in steps."""
+def _features(docs: DataFrame, own: list[str]) -> DataFrame:
+    """docs with n_tokens, __own (the place in ``own`` of its language, or -1) and __f: places of its words, their prefixes and some shares."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = computed(docs, "__w", _words(text)).withColumn("n_tokens", F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long"))
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    listed = F.array(*map(F.lit, own)).cast("array<string>")
+    out = docs.withColumn("__own", (F.array_position(listed, lang) - 1).cast("int"))
+    out = computed(out, "__w", F.array_remove(_words(text), "")).withColumn("n_tokens", F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long"))
+    out = computed(out, "__d", F.array_distinct("__w"))
     steps = [
         F.least(F.lit(6), F.floor(F.log2(1 + F.lit(100) * F.regexp_count(text, F.lit(c)) / F.greatest(F.length(text), F.lit(1)))))
         for c in ("[#*$%&|<>]", "[A-Z]", "!")
     ]
-    steps.append(F.floor(F.lit(8) * F.size(F.array_distinct("__w")) / F.size("__w")))
-    names = [F.format_string(f"{kind}%d", x.cast("int")) for kind, x in zip("#A!~", steps, strict=True)]
-    listed = F.array(*(F.lit(w) for w in words)).cast("array<string>")
-    return computed(out, "__f", F.concat(F.array_intersect(F.col("__w"), listed), F.array(*names))).drop("__w")
-
-
-def _word_list(docs: DataFrame, marked: DataFrame) -> list[str]:
-    """The WORDS words that tell most about a domain, by documents of a bounded sample of labels."""
-    drawn = marked.orderBy(F.xxhash64("__id"), "__id", "domain").limit(SAMPLED)
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))
-    seen = sample.select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).where("word != ''")
-    counts = seen.groupBy("word").agg(*(F.sum((F.col("domain") == i).cast("long")).alias(f"c{i}") for i in range(len(DOMAINS))))
-    sizes = sample.groupBy("domain").count().collect()
-    size = {r.domain: r["count"] for r in sizes}
-    total = reduce(lambda a, b: a + b, [F.col(f"c{i}") for i in range(len(DOMAINS))])
-    everything = max(1, sum(size.values()))
-    gain = F.lit(0.0)
-    for i in range(len(DOMAINS)):
-        rate = (F.col(f"c{i}") + 0.5) / (size.get(i, 0) + 1)
-        other = (total - F.col(f"c{i}") + 0.5) / (everything - size.get(i, 0) + 1)
-        gain = F.greatest(gain, F.col(f"c{i}") * F.log(rate / other))
-    best = counts.where(total >= 5).orderBy(F.round(gain, 6).desc(), "word").limit(WORDS)
-    return [r.word for r in best.select("word").collect()]
-
-
-def _posteriors(features: DataFrame, labelled: DataFrame) -> DataFrame:
+    steps.append(F.floor(F.lit(8) * F.size("__d") / F.greatest(F.size("__w"), F.lit(1))))
+    steps.append(F.least(F.lit(12), F.floor(F.log2(1 + F.size("__w")))))
+    names = [F.format_string(f"{kind}%d", x.cast("int")) for kind, x in zip("#A!~n", steps, strict=True)]
+    place = lambda x: F.pmod(F.hash("__own", x), F.lit(SIZE))
+    long = F.filter("__d", lambda w: F.length(w) > PREFIX)
+    starts = F.transform(long, lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("*")))
+    found = F.concat(F.transform("__d", place), F.transform(starts, place), F.transform(F.array(*names), place))
+    return computed(out, "__f", F.array_distinct(found)).drop("__w", "__d")
+
+
+def _languages(docs: DataFrame, marked: DataFrame) -> list[str]:
+    """The languages with OWN labelled documents or more, most first; 64 at most, so that places are not shared by many."""
+    if "lang" not in docs.columns:
+        return []
+    known = docs.where("lang IS NOT NULL").select("doc_id", "lang").join(marked, F.col("doc_id") == F.col("__id"))
+    counts = known.groupBy("lang").count().where(F.col("count") >= OWN)
+    return [r.lang for r in counts.orderBy(F.desc("count"), "lang").limit(64).collect()]
+
+
+def _model(features: DataFrame, marked: DataFrame) -> tuple[dict[int, list[float]], list[list[float]]]:
+    """Of each language the score of a document without any telling word, -1 being all others; and by domain what each place adds to it.
+
+    Word presence and absence both count. Counts are of all labelled documents
+    of the language, summed by place in Spark; at most SIZE rows come back.
+    """
+    k = len(DOMAINS)
+    labelled = features.join(marked, F.col("doc_id") == F.col("__id")).select("__own", "domain", "__f")
+    sums = [F.sum((F.col("domain") == i).cast("long")).alias(f"c{i}") for i in range(k)]
+    sizes = {r["__own"]: [r[f"c{i}"] for i in range(k)] for r in labelled.groupBy("__own").agg(*sums).collect()}
+    rows = labelled.select("__own", "domain", F.explode("__f").alias("f")).groupBy("__own", "f").agg(*sums)
+    base = {own: [_log((x + 1) / (sum(size) + k)) for x in size] for own, size in sizes.items()}
+    adds = [[0.0] * SIZE for _ in range(k)]
+    total = reduce(lambda a, b: a + b, [F.col(f"c{i}") for i in range(k)])
+    # One language for each place, the one that has most of it.
+    best = rows.where(total >= 3).groupBy("f").agg(F.max_by(F.struct("__own", *(f"c{i}" for i in range(k))), F.struct(total, "__own")).alias("r"))
+    for r in sorted(best.select("f", "r.*").collect()):
+        size, seen = sizes[r["__own"]], [r[f"c{i}"] for i in range(k)]
+        rate = sum(seen) / sum(size)
+        if max(_ratio(a, n, rate) for a, n in zip(seen, size, strict=True)) < TELLS:
+            continue
+        for i, (a, n) in enumerate(zip(seen, size, strict=True)):
+            p = min(1 - 1e-3, (a + rate) / (n + 1))
+            base[r["__own"]][i] += _log(1 - p)
+            adds[i][r.f] = round(_log(p) - _log(1 - p), 4)
+    return base, adds
+
+
+def _ratio(seen: int, size: int, rate: float) -> float:
+    """The log-likelihood ratio of ``seen`` in ``size`` documents against a rate below it."""
+    if seen <= size * rate:
+        return 0.0
+    rest = size - seen
+    return 2 * (seen * _log(seen / (size * rate)) + (rest * _log(rest / (size * (1 - rate))) if rest else 0.0))
+
+
+def _posteriors(features: DataFrame, model: tuple[dict[int, list[float]], list[list[float]]]) -> DataFrame:
     """features with p, the rounded probabilities of all domains."""
     k = len(DOMAINS)
-    per = labelled.groupBy("domain").count().collect()  # a row for each domain
-    size = {r.domain: r["count"] for r in per}
-    total = sum(size.values())
-    rows = labelled.select("domain", F.explode("__f").alias("f")).groupBy("f").agg(
-        *(F.sum((F.col("domain") == i).cast("long")).alias(f"c{i}") for i in range(k))
-    )
-    table = rows.collect()  # WORDS listed words and a few dozen steps at most
-    logs = {
-        r.f: [float(_log((r[f"c{i}"] + 0.5) / (size.get(i, 0) + 1.0))) for i in range(k)] for r in table
-    }
-    known = F.create_map(*(x for f, v in sorted(logs.items()) for x in (F.lit(f), F.array(*map(F.lit, v))))) if logs else None
-    prior = [float(_log((size.get(i, 0) + 1) / (total + k))) for i in range(k)]
+    base, adds = model
 
     def score(i: int) -> Column:
-        if known is None:
-            return F.lit(prior[i])
-        return F.aggregate("__f", F.lit(prior[i]), lambda acc, f: acc + F.coalesce(F.get(known[f], F.lit(i)), F.lit(0.0)))
+        start = reduce(lambda out, own: F.when(F.col("__own") == own, F.lit(base[own][i])).otherwise(out), sorted(base), F.lit(0.0))
+        table = F.split(F.lit(",".join(f"{x:g}" for x in adds[i])), ",").cast("array<float>")  # the optimizer makes a constant of it
+        return F.aggregate("__f", start, lambda acc, f: acc + F.get(table, f))
 
-    scores = [score(i) for i in range(k)]
-    out = computed(features, "__s", F.array(*scores))
+    out = computed(features, "__s", F.array(*map(score, range(k))))
     top = F.array_max("__s")
     odds = [F.exp(F.get("__s", F.lit(i)) - top) for i in range(k)]
     whole = reduce(lambda a, b: a + b, odds)
     steps = [F.round(x / whole * GRID) / GRID for x in odds[:-1]]
     rest = F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, steps))
-    return computed(out, "p", F.array(*steps, rest)).drop("__s", "__f")
+    return computed(out, "p", F.array(*steps, rest)).drop("__s", "__f", "__own")
 
 
 def _log(x: float) -> float:
@@ -160,20 +187,21 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 
     Null or blank text has no tokens; its rate follows from its posterior, and
     moves no total. A null doc_id can't be labelled; a doc_id that is labelled
-    twice is trained on twice. Columns of docs pass through, but for those
+    twice is trained on twice. Words are runs of letters of any script; a
+    language (column lang, if there) with OWN labelled documents has its own
+    rates of words. Columns of docs pass through, but for those
     named like a result, which are replaced. Without labels all posteriors are
     equal; an empty table gives no rows.
     """
     targets = targets or TARGETS
     domain = F.when(F.expr("quality = 1 AND coalesce(toxic, 0) = 0"), 0).when(F.expr("toxic = 1"), 1).when(F.expr("quality = 0"), 2)
     marked = labels.select(F.col("doc_id").alias("__id"), domain.alias("domain")).where("domain IS NOT NULL AND __id IS NOT NULL")
-    words = _word_list(docs, marked)
-    features = _features(docs.drop("n_tokens", "rate", "p", *(f"p_{d}" for d in DOMAINS)), words)
-    small = written(features.select("doc_id", "n_tokens", "__f"), "features")
-    labelled = small.join(marked, F.col("doc_id") == F.col("__id")).drop("__id")
-    cells = _posteriors(small, labelled).groupBy("p").agg(F.sum("n_tokens").alias("n"))
+    features = _features(docs.drop("n_tokens", "rate", "p", *(f"p_{d}" for d in DOMAINS)), _languages(docs, marked))
+    model = _model(features, marked)
+    small = written(_posteriors(features, model).select("doc_id", "n_tokens", "p"), "posteriors")
+    cells = small.groupBy("p").agg(F.sum("n_tokens").alias("n"))
     cells = written(cells, "cells")
     total = cells.agg(F.sum("n")).first()[0] or 1
     steps = _fitted(cells.withColumn("w", F.col("n") / F.lit(float(total))), [targets[d] for d in DOMAINS])
-    out = _posteriors(features if carry else small, labelled)
+    out = _posteriors(features, model) if carry else small
     return out.select(*(c for c in out.columns if c != "p"), *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), _rate(steps, False).alias("rate"))

@@ -263,6 +263,23 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix_to_targets(docs.limit(0), labels, carry=False).count() == 0
 
 
+def test_mixing_tells_words_of_each_language(spark):
+    rng = random.Random(12)
+    insults = {"en": ["scum", "loser", "moron"], "fr": ["éçà", "crétiné", "dégoûté"], "de": ["blödß", "übelst", "ärgst"]}
+    rows, labels = [], []
+    for i in range(900):
+        lang, toxic = rng.choice(list(insults)), rng.random() < 0.2
+        words = [f"{lang}é{''.join(rng.choices('abcdefgh', k=2))}" for _ in range(30)]
+        rows.append((i, " ".join(words + ([rng.choice(insults[lang])] if toxic else [])), lang, toxic))
+        if i % 3:
+            labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in mixing.mix_to_targets(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert mixing.TARGETS["toxic"] <= 0.01
+    unseen = [(out[i].p_toxic > 0.5) == toxic for i, _, _, toxic in rows if i % 3 == 0]
+    assert sum(unseen) >= 0.98 * len(unseen)
+
+
 def brute_base(text):
     out = []
     for kind in pii.KINDS:
