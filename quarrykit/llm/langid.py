@@ -20,9 +20,8 @@ from quarrykit.llm import scan
 
 SIZE = 2048
 CENTROIDS = 4
-#: Labelled rows that centroids are clustered on: for each language, and in all.
+#: Labelled rows of each language, about, that its centroids are clustered on.
 EACH = 1000
-SAMPLED = 6000
 #: Share of a language's sample beyond which a distance is rejected.
 REJECTED = 0.005
 
@@ -95,6 +94,18 @@ def _clustered(v: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def _learned(rows: pa.Table) -> pa.Table:
+    """The centroids of one language, one after the other, and the least cosine that isn't rejected."""
+    vectors = np.stack([np.frombuffer(x, np.float32) for x in rows.column("vector").to_pylist()])
+    own = vectors[vectors.any(axis=1)]
+    if not len(own):
+        return pa.table({"lang": pa.array([], pa.string()), "centres": pa.array([], pa.binary()), "least": pa.array([], pa.float64())})
+    own = own[np.lexsort(own[:, :8].T)]
+    centres = _clustered(own, CENTROIDS)
+    least = float(np.quantile((own @ centres.T).max(axis=1), REJECTED))
+    return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()], pa.string()), "centres": pa.array([centres.astype(np.float32).tobytes()], pa.binary()), "least": pa.array([least])})
+
+
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, names, centres, owner, limits = model.value
@@ -130,8 +141,8 @@ def identify_language(docs: DataFrame, train: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row of docs(doc_id, text).
 
     Document frequencies come from all of train(doc_id, text, lang); centroids
-    from EACH rows of a language at most, SAMPLED in all, chosen by a hash of
-    doc_id. score is the cosine to the nearest centroid. Null text, or text
+    from about EACH rows of every language, chosen by a hash of doc_id, in a task
+    for each language. score is the cosine to the nearest centroid. Null text, or text
     without a letter, gets ``und`` and 0, as does all text if nothing can be
     learned. Training rows without language or letters teach nothing. Null
     doc_ids and repeated rows are kept; ties go to the language first in order;
@@ -145,20 +156,14 @@ def identify_language(docs: DataFrame, train: DataFrame) -> DataFrame:
     idf = idf.astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)
     share = train.groupBy("lang").agg((F.lit(EACH * 2**20) / F.count("*")).alias("share"))
-    drawn = train.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < F.col("share")).select("lang", "text").limit(SAMPLED)
-    sample = drawn.mapInArrow(_sampled(shared), "lang string, vector binary").toArrow()
-    langs = np.array(sample.column("lang").to_pylist(), object)
-    vectors = np.stack([np.frombuffer(x, np.float32) for x in sample.column("vector").to_pylist()]) if len(langs) else np.zeros((0, SIZE), np.float32)
+    drawn = train.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < F.col("share")).select("lang", "text")
+    learned = drawn.mapInArrow(_sampled(shared), "lang string, vector binary").groupBy("lang").applyInArrow(_learned, "lang string, centres binary, least double")
     names, centres, owner, limits = [], [], [], []
-    for name in sorted(set(langs)):
-        own = vectors[(langs == name) & vectors.any(axis=1)]
-        if not len(own):
-            continue
-        own = own[np.lexsort(own[:, :8].T)]
-        centres.append(_clustered(own, CENTROIDS))
+    for r in sorted(learned.collect(), key=lambda r: r.lang):
+        centres.append(np.frombuffer(r.centres, np.float32).reshape(-1, SIZE))
         owner += [len(names)] * len(centres[-1])
-        limits.append(float(np.quantile((own @ centres[-1].T).max(axis=1), REJECTED)))
-        names.append(name)
+        limits.append(r.least)
+        names.append(r.lang)
     model = (idf, names, np.concatenate(centres) if names else None, np.array(owner, np.int64), np.array(limits))
     schema = "doc_id long, lang_pred string, score double, rejected boolean"
     return docs.select("doc_id", "text").mapInArrow(_predicted(spark.sparkContext.broadcast(model)), schema)

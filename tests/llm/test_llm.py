@@ -176,6 +176,13 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify_language(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def test_languages_in_later_partitions(spark):
+    rows = [(i, " ".join(chr(97 + 3 * (i // 1000) + j) * 3 for j in (0, 1, 2, i % 3)), f"l{i // 1000}") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = langid.identify_language(docs.where("doc_id % 100 = 0"), docs).collect()
+    assert len(got) == 80 and all(r.lang_pred == f"l{r.doc_id // 1000}" for r in got)
+
+
 def test_substring_dedup(spark):
     rng = random.Random(2)
     sentence = lambda n: prose(rng, n, 10**6) + "."
