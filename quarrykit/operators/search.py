@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrykit.plans.tables import written
+
 from quarrykit.functions.columns import occurrences
 
 #: Queries that are broadcast at once, about.
@@ -92,9 +94,18 @@ def vector_top(vectors: DataFrame, queries: DataFrame, score: Column, k: int, na
 
 
 def within_budget(parts: DataFrame, order: Sequence[str], length: str, budget: int) -> DataFrame:
-    """Parts in order until their joined length passes the budget, the crossing one included. For ranked hits, so for few rows."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("__before", F.coalesce(F.sum(F.col(length) + 1).over(w), F.lit(0)) - 1).where(F.col("__before") <= budget).drop("__before")
+    """Parts in order until their joined length passes the budget, the crossing one included.
+
+    Lengths are summed inside ranges of the order and moved by the sums of the
+    ranges before, so no task sees all rows.
+    """
+    spread = parts.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = written(spread.withColumn("__inside", F.coalesce(F.sum(F.col(length) + 1).over(w), F.lit(0))), "lengths")
+    sums = inside.groupBy("__part").agg(F.coalesce(F.sum(F.col(length) + 1), F.lit(0)).alias("__sum"))
+    offsets = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
+    placed = inside.join(F.broadcast(offsets), "__part")
+    return placed.where(F.col("__offset") + F.col("__inside") - 1 <= budget).select(*parts.columns)
 
 
 def masked_softmax(df: DataFrame, group: str, score: str, mask: str) -> DataFrame:

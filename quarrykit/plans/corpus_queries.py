@@ -165,7 +165,7 @@ simple("w06_numbered_copies", lambda t: dedupe.ranked(t.files.select("doc_id", "
        FILES + "SELECT doc_id, lpad(row_number() OVER (PARTITION BY md5(text) ORDER BY path, doc_id)::VARCHAR, 2, '0') || '_' || basename AS name FROM files")
 simple("w07_timeline_layout", lambda t: dedupe.numbered(t.events.select("ts", "event_id"), ["ts", "event_id"], "n").join(F.broadcast(t.events.agg(F.count("*").alias("all")))).select("event_id", ((F.col("n") - 1) * F.greatest(F.floor(1600 / F.col("all")), F.lit(100))).alias("x"), ((F.col("n") - 1) % 4 * 60).alias("y")),
        "SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) * greatest(1600 // count(*) OVER (), 100) AS x, (row_number() OVER (ORDER BY ts, event_id) - 1) % 4 * 60 AS y FROM events")
-simple("w08_context_budget", lambda t: search.within_budget(t.documents.select("doc_id", "n_chars").orderBy("doc_id").limit(200), ["doc_id"], "n_chars", 16000).select("doc_id"),
+simple("w08_context_budget", lambda t: search.within_budget(t.documents.select("doc_id", "n_chars"), ["doc_id"], "n_chars", 16000).select("doc_id"),
        "SELECT doc_id FROM (SELECT doc_id, coalesce(sum(n_chars + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS b FROM documents) WHERE b <= 16000")
 simple("w09_most_recent_keys", lambda t: dedupe.most_recent(t.events, "user_id", "event_id", 50), "SELECT user_id, max(event_id) AS last FROM events GROUP BY user_id ORDER BY last DESC, user_id LIMIT 50")
 simple("w10_chunks", lambda t: t.documents.select("doc_id", F.posexplode(c.chunks(F.col("text"))).alias("chunk", "part")).select("doc_id", "chunk", F.md5("part").alias("md5")),

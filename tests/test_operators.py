@@ -226,3 +226,16 @@ def test_fuzz_occurrences(spark):
     texts = ["".join(rng.choice("abAB ") for _ in range(rng.randrange(30))) for _ in range(50)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     assert rows(df.select("i", c.occurrences(F.col("t"), "ab").alias("n")), "i", "n") == [(i, t.lower().count("ab")) for i, t in enumerate(texts)]
+
+
+def test_context_budget_of_short_documents(spark, tmp_path):
+    from quarrykit.plans import catalog
+
+    spark.range(1000).selectExpr("id AS doc_id", "CASE WHEN id % 10 = 0 THEN NULL ELSE 19L END AS n_chars", "'x' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r.doc_id for r in catalog.QUERIES["w08_context_budget"](spark, str(tmp_path)).collect())
+    kept, before = [], 0
+    for i in range(1000):
+        if before - 1 <= 16000:
+            kept.append(i)
+        before += 0 if i % 10 == 0 else 20
+    assert got == kept and len(kept) > 200
