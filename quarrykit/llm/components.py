@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.store import written
+from quarrykit.llm.store import discard, written
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def _least_neighbour(pairs: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): each node of an edge with the least node that it reaches.
+    """(node, component): each node of an edge with the least node that it reaches, as a written table.
 
     Alternates large-star and small-star steps until the edges stay the same.
     A step is a grouped minimum, combined before the shuffle, and an equi-join,
@@ -34,17 +34,21 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least_neighbour(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least_neighbour(large)
-        now = written(
+        then = written(
             small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u != v")
             .distinct(),
             "edges",
         )
-        after = _signature(now)
+        discard(now)
+        now, after = then, _signature(then)
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    found = written(found, "components")
+    discard(now)
+    return found

@@ -1,17 +1,18 @@
 """N-gram Jaccard join by vertical partitioning.
 
-All n-grams have one global order: rare before frequent. Equal sets are one
-class. Two sets that overlap enough share an n-gram among the first few of
-each (the prefix), so pairs are sought among the prefixes only; a pair is then
-counted in fragments, ranges of the order cut at fixed borders, and the partial
-overlaps are summed per pair. Pairs inside a component that is already
-connected can't change the result and are never made.
+All n-grams have one global order: rare before frequent. It is cut at fixed
+borders into fragments, and every set with it, so that a fragment of a set holds
+its n-grams of one range of the order. Equal sets are one node. Two sets that
+overlap enough share an n-gram among the first few of each (the prefix), so
+pairs are sought among the prefixes only. The overlap of a pair is counted for
+each fragment by itself, one row per pair and fragment, and summed per pair.
+Pairs inside a component that is already connected can't change the result and
+are never made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -21,15 +22,14 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm import scan
 from quarrykit.llm.components import connected_components
-from quarrykit.llm.store import written
-from quarrykit.plans.tables import discard
+from quarrykit.llm.store import discard, settled, written
 
 #: Cells of each frequency sketch. Their number sets how finely n-grams are ordered, never what is found.
 CELLS = 1 << 18
 CHUNK = 1 << 10
 FRAGMENTS = 4
-#: 64-bit words of the filter that finds the rows of wanted documents, 1 MB.
-FILTER_WORDS = 1 << 17
+#: 64-bit words of the filter that finds the rows of wanted documents: the least, and the most (8 MB). What it lets through besides costs work only.
+FILTER_WORDS = (1 << 14, 1 << 20)
 
 
 class Order(NamedTuple):
@@ -39,7 +39,7 @@ class Order(NamedTuple):
     word: np.ndarray
 
     def keys(self, words: scan.Words, grams: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-        """Order keys: class of sketched frequency, then expected frequency by the words, then hash."""
+        """Order keys of 63 bits: class of sketched frequency, then expected frequency by the words, then hash."""
         weight = self.word[(words.hash >> np.uint64(46)).astype(np.int64)]
         count = np.diff(words.first)
         begin = np.repeat(words.first[:-1] - first[:-1], np.diff(first)) + np.arange(grams.size)
@@ -48,9 +48,9 @@ class Order(NamedTuple):
         for j in range(1, k):
             more = length > j
             expected[more] += weight[begin[more] + j]
-        key = self.gram[(grams >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
-        key |= np.minimum(expected, 255).astype(np.uint64) << np.uint64(50)
-        return key | (grams >> np.uint64(14))
+        key = self.gram[(grams >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(57)
+        key |= np.minimum(expected, 255).astype(np.uint64) << np.uint64(49)
+        return (key | (grams >> np.uint64(15))).view(np.int64)
 
 
 def _sketch(k: int):
@@ -70,17 +70,18 @@ def _sketch(k: int):
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros(CHUNK, np.int64)
-    for counts in table.column("counts"):
-        total += np.frombuffer(counts.as_py(), np.int64)
-    return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+            total[chunk] = total.get(chunk, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
 
 
 def global_order(texts: DataFrame, k: int) -> Order:
     """Sketches of all texts, summed per chunk of cells: their size is fixed, whatever the corpus."""
     schema = "chunk int, counts binary"
-    rows = texts.mapInArrow(_sketch(k), schema).groupBy("chunk").applyInArrow(_summed, schema).collect()
+    rows = texts.mapInArrow(_sketch(k), schema).repartition(32, "chunk").mapInArrow(_summed, schema).collect()
     total = np.zeros(2 * CELLS, np.int64)
     for chunk, counts in rows:
         total[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(counts, np.int64)
@@ -91,8 +92,13 @@ def global_order(texts: DataFrame, k: int) -> Order:
     return Order(np.minimum(classes, 63).astype(np.uint8), np.rint(weights).astype(np.int32))
 
 
+def _node(own: np.ndarray) -> int:
+    """64 bits for a set of n-grams."""
+    return int(scan.mixed(scan.mixed(own).sum(keepdims=True) ^ (own.sum() + np.uint64(own.size))).view(np.int64)[0])
+
+
 def _profiles(order, k: int, percent: int):
-    """Of each document: size and digest of its set, and the prefix in the global order."""
+    """Of each document: size and node of its set, the prefix in the global order, and where its own fragments would be cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = order.value
@@ -101,105 +107,106 @@ def _profiles(order, k: int, percent: int):
                 words = scan.words_of(*scan.buffer_of(part.column("text")), scan.SPACED, True)
                 grams, first = scan.shingles_of(words, k)
                 keys = known.keys(words, grams, first, k)
-                sizes, digests, prefixes = [], [], []
+                sizes, nodes, prefixes, cuts = [], [], [], []
                 for a, b in zip(first[:-1], first[1:], strict=True):
-                    if a == b:
-                        sizes.append(0), digests.append(None), prefixes.append(None)
-                        continue
                     own, at = np.unique(grams[a:b], return_index=True)
                     sizes.append(own.size)
-                    digests.append((own.sum() ^ np.uint64(own.size)).tobytes() + scan.mixed(own).sum().tobytes())
-                    most = own.size * (100 - percent) // 100 + 1
-                    prefixes.append(np.sort(keys[a:b][at])[:most].view(np.int64))
+                    if not own.size:
+                        nodes.append(None), prefixes.append(None), cuts.append(None)
+                        continue
+                    nodes.append(_node(own))
+                    ranked = np.sort(keys[a:b][at])
+                    prefixes.append(ranked[: own.size * (100 - percent) // 100 + 1])
+                    cuts.append(ranked[[own.size * i // FRAGMENTS for i in range(1, FRAGMENTS)]])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "prefix"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, cuts))],
+                    ["doc_id", "n_shingles", "node", "prefix", "cuts"],
                 )
 
     return run
 
 
-def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    for batch in batches:
-        for place in _filter_places(batch.column("node").to_numpy()):
-            np.bitwise_or.at(bits, place >> 6, np.int64(1) << (place & 63))
-    full = np.flatnonzero(bits)
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(bits[full], pa.int64())], ["word", "bits"])
+def _filter_places(ids: np.ndarray, n_words: int) -> list[np.ndarray]:
+    h = scan.mixed(ids.astype(np.int64).view(np.uint64))
+    return [((h >> np.uint64(s)) & np.uint64(64 * n_words - 1)).astype(np.int64) for s in (0, 32)]
+
 
+def _filter_bits(ids: DataFrame) -> np.ndarray:
+    """A filter of the ids(id), two bits each, of 16 bits for each id and a fixed size at most."""
+    least, most = FILTER_WORDS
+    n_words, n = least, ids.count()
+    while n_words < most and 4 * n_words < n:
+        n_words *= 4
 
-def _filter_places(node: np.ndarray) -> list[np.ndarray]:
-    h = scan.mixed(node.astype(np.int64).view(np.uint64))
-    return [((h >> np.uint64(s)) & np.uint64(64 * FILTER_WORDS - 1)).astype(np.int64) for s in (0, 32)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n_words, np.int64)
+        for batch in batches:
+            for place in _filter_places(batch.column("id").to_numpy(), n_words):
+                np.bitwise_or.at(bits, place >> 6, np.int64(1) << (place & 63))
+        full = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(bits[full], pa.int64())], ["word", "bits"])
 
+    found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(n_words, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
 
-def _fragments(k: int, filters):
-    """Of each document that a filter lets through: whether it may be an a or a b of a pair, and its whole set, cut into fragments."""
+
+def _cut(order, wanted, borders: list[int], k: int):
+    """(node, fragment, grams) of each document that the filter lets through: its whole set, cut at the borders of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        borders = [np.uint64(i * 2**64 // FRAGMENTS) for i in range(1, FRAGMENTS)]
+        known, bits = order.value, wanted.value
         for batch in batches:
             there = np.asarray(batch.column("doc_id").is_valid())
-            roles = []
-            for bits in filters.value:
-                wanted = there.copy()
-                for place in _filter_places(batch.column("doc_id").fill_null(0).to_numpy()):
-                    wanted &= (bits[place >> 6] >> (place & 63)) & 1 > 0
-                roles.append(wanted)
-            batch = pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, roles)], [*batch.schema.names, "is_a", "is_b"])
-            batch = batch.filter(pa.array(roles[0] | roles[1]))
+            for place in _filter_places(batch.column("doc_id").fill_null(0).to_numpy(), bits.size):
+                there &= (bits[place >> 6] >> (place & 63)) & 1 > 0
+            batch = batch.filter(pa.array(there))
             for part in scan.slices(batch, "text"):
                 words = scan.words_of(*scan.buffer_of(part.column("text")), scan.SPACED, True)
                 grams, first = scan.shingles_of(words, k)
-                cut: list[list] = [[] for _ in range(FRAGMENTS)]
+                fragment = np.searchsorted(borders, known.keys(words, grams, first, k), "right")
+                nodes, numbers, pieces = [], [], []
                 for a, b in zip(first[:-1], first[1:], strict=True):
-                    own = np.unique(grams[a:b])
-                    for to, piece in zip(cut, np.split(own, np.searchsorted(own, borders)), strict=True):
-                        to.append(piece.view(np.int64))
+                    own, at = np.unique(grams[a:b], return_index=True)
+                    for i in range(FRAGMENTS) if own.size else ():
+                        piece = scan.signed(own[fragment[a:b][at] == i])
+                        nodes.append(_node(own)), numbers.append(i), pieces.append(piece)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "is_a", "is_b")), *(pa.array(x, pa.list_(pa.int64())) for x in cut)],
-                    ["node", "is_a", "is_b", *(f"f{i}" for i in range(FRAGMENTS))],
+                    [pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(pieces, pa.list_(pa.int64()))], ["node", "fragment", "grams"]
                 )
 
     return run
 
 
-def _sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The sets of all nodes of the pairs, and of a few documents more: filters of fixed size spare a shuffle of all texts."""
-    filters = []
-    for side in "ab":
-        words = pairs.select(F.col(side).alias("node")).mapInArrow(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect()
-        filters.append(np.zeros(FILTER_WORDS, np.int64))
-        for word, value in words:
-            filters[-1][word] = value
-    fragments = _fragments(k, texts.sparkSession.sparkContext.broadcast(filters))
-    schema = "node long, is_a boolean, is_b boolean, " + ", ".join(f"f{i} array<long>" for i in range(FRAGMENTS))
-    return written(texts.mapInArrow(fragments, schema), "sets")
-
-
-def _overlaps(pairs: DataFrame, sets: DataFrame, names: list[str]) -> DataFrame:
-    """pairs with the overlap of the named fragments, and what these leave of both sets: oa, ob."""
-    kept = pairs.columns
-    left = pairs.join(sets.where("is_b").select(F.col("node").alias("b"), *(F.col(x).alias(f"b_{x}") for x in names)), "b")
-    both = left.join(sets.where("is_a").select(F.col("node").alias("a"), *names), "a")
-    total = lambda parts: reduce(lambda x, y: x + y, parts)
+def _partials(pairs: DataFrame, sets: DataFrame, which: str) -> DataFrame:
+    """pairs with, for each of the fragments that ``which`` selects: part, the overlap there, and what the fragment has of either set."""
+    sets = sets.where(which)
+    right = sets.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
+    both = pairs.join(right, "b").join(sets.select(F.col("node").alias("a"), "fragment", "grams"), ["a", "fragment"])
     return both.select(
-        *kept, total([F.size(F.array_intersect(F.col(x), F.col(f"b_{x}"))) for x in names]).alias("part"),
-        total([F.size(x) for x in names]).alias("sa"), total([F.size(f"b_{x}") for x in names]).alias("sb"),
-    )
+        *pairs.columns, "fragment", F.size(F.array_intersect("grams", "grams_b")).alias("part"), F.size("grams").alias("sa"), F.size("grams_b").alias("sb")
+    )
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar enough, by partial overlaps of fragments and their sum.
+    """(a, b), written: the pairs(a, b, na, nb) that are similar enough by the sum of their partial overlaps.
 
     The first fragment goes ahead: it rules out most pairs that aren't similar,
     so that the others are only moved for the rest.
     """
-    first, *others = [f"f{i}" for i in range(FRAGMENTS)]
     enough = f"100L * overlap >= {percent}L * (na + nb - overlap)"
-    ahead = _overlaps(pairs, sets, [first]).withColumn("overlap", F.col("part") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb")))
-    ahead = written(ahead.where(enough).select("a", "b", "na", "nb", F.col("part").alias("before")), "ahead")
-    return _overlaps(ahead, sets, others).withColumn("overlap", F.col("before") + F.col("part")).where(enough)
+    key = ["a", "b", "na", "nb"]
+    most = F.col("part") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
+    ahead = _partials(pairs, sets, "fragment = 0").withColumn("overlap", most).where(enough)
+    ahead = written(ahead.select(*key, "fragment", "part").distinct(), "ahead")
+    parts = _partials(ahead.select(*key), sets, "fragment > 0").select(*key, "fragment", "part").unionByName(ahead)
+    # A set can be in the table twice, if a text repeats and the filter lets both through: its parts are equal.
+    each = [F.coalesce(F.max(F.when(F.col("fragment") == i, F.col("part"))), F.lit(0)) for i in range(FRAGMENTS)]
+    overlap = sum(each[1:], each[0])
+    found = written(parts.groupBy(*key).agg(overlap.alias("overlap")).where(enough).select("a", "b"), "links")
+    discard(ahead)
+    return found
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -211,41 +218,60 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     component_id is the least doc_id that links reach.
 
     Null or blank text: size 0, linked with nothing. Null doc_id: kept, with a
-    null component, and linked with nothing. Repeated rows are kept, and equal
-    doc_ids are one document for the links. Very long texts are hashed in
-    pieces. Other columns of docs are ignored; an empty table gives no rows.
+    null component, and linked with nothing. Repeated rows are kept; rows of an
+    equal doc_id are one document for the links, whatever their texts. Very long
+    texts are hashed in pieces. Other columns of docs are ignored; an empty
+    table gives no rows. The rows are computed before this returns.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     texts = docs.select("doc_id", "text")
-    order = spark.sparkContext.broadcast(global_order(texts, k))
-    profiles = written(
-        texts.mapInArrow(_profiles(order, k, percent), "doc_id long, n_shingles long, digest binary, prefix array<long>"), "profiles"
-    )
-    classes = profiles.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
-    known = profiles.where("digest IS NOT NULL AND doc_id IS NOT NULL").join(classes, "digest")
-    postings = known.where("doc_id = node").select(F.posexplode("prefix").alias("pos", "gram"), "node", F.col("n_shingles").alias("n"))
-    shared = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").drop("far")
-    shared = written(postings.join(shared, "gram"), "postings")
-    nodes = shared.select("node", "n").distinct()
-    similar_size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    order = context.broadcast(global_order(texts, k))
+    schema = "doc_id long, n_shingles long, node long, prefix array<long>, cuts array<long>"
+    profiles = written(texts.mapInArrow(_profiles(order, k, percent), schema), "profiles")
+    members = written(profiles.select("doc_id", "n_shingles", "node"), "members")
+    known = members.where("node IS NOT NULL AND doc_id IS NOT NULL")
+    borders = profiles.agg(*(F.percentile_approx(F.get("cuts", F.lit(i)), 0.5).alias(f"b{i}") for i in range(FRAGMENTS - 1))).first()
+    borders = sorted(x or 0 for x in borders)
+
+    # One document of each node, the first, has its postings; grams that a single node has are of no use.
+    owners = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "owners")
+    prefixes = profiles.select("doc_id", "node", F.col("n_shingles").cast("int").alias("n"), "prefix")
+    prefixes = written(prefixes.join(owners, ["doc_id", "node"], "left_semi"), "prefixes")
+    discard(profiles)
+    postings = prefixes.select("node", "doc_id", "n", F.posexplode("prefix").alias("pos", "gram"))
+    several = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").drop("far")
+    shared = written(postings.join(several, "gram"), "postings")
+    discard(prefixes)
+
+    similar_size = f"100L * least(na, nb) >= {percent}L * greatest(na, nb)"
     # Nothing before the first n-gram that a pair shares is in both sets; what is left must be enough.
-    enough_left = " AND ".join(f"(n{x} - pos{x}) * {100 + percent} >= {percent} * (na + nb)" for x in "ab")
-
-    def add(links: DataFrame | None, pairs: DataFrame) -> DataFrame:
-        """The links, and those of the pairs that are similar enough."""
-        pairs = written(pairs, "pairs")
-        sets = _sets(texts, pairs, k)
-        found = _linked(pairs, sets, percent).select("a", "b")
-        more = written(found if links is None else links.unionByName(found), "links")
-        discard(sets)
+    enough_left = " AND ".join(f"(n{x} - pos{x}) * {100 + percent}L >= {percent}L * (na + nb)" for x in "ab")
+    # Sizes of one band and the next are all that can be similar.
+    band = lambda n: F.floor(F.log(F.col(n)) / F.log(F.lit(100 / percent)))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """(a, b), written: those of the pairs that are similar enough. Only the sets of the pairs' nodes, and a few more, are made and moved."""
+        pairs = written(pairs.select("a", "b", "na", "nb").distinct(), "pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = written(nodes.join(owners, "node").select(F.col("doc_id").alias("id")).distinct(), "ids")
+        wanted = context.broadcast(_filter_bits(ids))
+        sets = written(texts.mapInArrow(_cut(order, wanted, borders, k), "node long, fragment int, grams array<long>"), "sets")
+        more = _linked(pairs, sets, percent)
+        for used in (pairs, ids, sets):
+            discard(used)
         return more
 
+    # Rows of one doc_id are linked as they are.
+    twice = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").drop("z")
+    tables = [written(twice.join(known, "doc_id").where("a != node").select("a", F.col("node").alias("b")).distinct(), "links")]
+
     # Only for connecting most nodes early: each node with the hub that it shares most of its prefix with.
     seen = shared.where("node != hub").groupBy("node", "n", "hub").agg(F.count("*").alias("common"))
     best = seen.groupBy("node", "n").agg(F.max(F.struct("common", "hub")).alias("best")).where(f"4 * best.common > n * {100 - percent} DIV 100")
     first = best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    first = first.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-    links = add(None, first.where(similar_size))
+    sizes = shared.where("node = hub").select(F.col("node").alias("a"), F.col("n").alias("na")).distinct()
+    tables.append(linked(first.join(sizes, "a").where(similar_size)))
+    links = tables[0].unionByName(tables[1])
     found = connected_components(links, "a", "b")
 
     # Pairs of nodes that aren't connected yet: first with the best connected node of a bucket, then all that are left.
@@ -262,16 +288,24 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         if last:
             # Each pair of a bucket has a node outside the component of the bucket's hub.
             other = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"), F.col("component").alias("cb"))
-            pairs = side.join(other, "gram").where("ca != cb AND (cb = hub.component OR a < b)")
+            side = side.withColumn("band", F.explode(F.array(*(band("na") + i for i in (-1, 0, 1)))))
+            pairs = side.join(other.withColumn("band", band("nb")), ["gram", "band"]).where("ca != cb AND (cb = hub.component OR a < b)")
         else:
             pairs = side.select("*", *(F.col(f"hub.{c}").alias(x) for c, x in (("node", "b"), ("n", "nb"), ("pos", "posb"))))
-        pairs = pairs.where(similar_size).where(enough_left)
-        links = add(links, pairs.select("a", "b", "na", "nb").distinct())
-        found = connected_components(links, "a", "b")
-    discard(shared)
-
-    named = known.select("doc_id", "node").distinct().join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
-    return (
-        profiles.select("doc_id", "n_shingles").join(named, "doc_id", "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    )
+        tables.append(linked(pairs.where(similar_size).where(enough_left)))
+        if tables[-1].count():
+            links = links.unionByName(tables[-1])
+            discard(found)
+            found = connected_components(links, "a", "b")
+    for used in (shared, *tables):
+        discard(used)
+
+    placed = known.select("doc_id", "node").distinct().join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = written(placed.select("doc_id", "component").distinct(), "placed")
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = placed.join(least, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = members.select("doc_id", "n_shingles").join(named, "doc_id", "left")
+    out = settled(out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))))
+    for used in (members, owners, found, placed):
+        discard(used)
+    return out

@@ -6,19 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.plans.shipping import ship
-from quarrykit.plans.tables import written
+from quarrykit.plans.tables import discard, shared_dir, written
 
-__all__ = ["computed", "prepare", "table", "written"]
+__all__ = ["SETTINGS", "computed", "discard", "prepare", "settled", "table", "without_ids", "written"]
 
 
-#: Bytes of a batch that goes to or from a Python worker; whole texts are long.
-BATCH = "8m"
+#: What ``prepare`` sets: the bytes of a batch that goes to or from a Python worker, since whole texts are long; and that
+#: shuffle files go as soon as a query ends, since every table that is read again is written.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+#: Ids that are broadcast at most, 16 MB of them.
+BROADCAST_IDS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Set a session up for the operators of this subpackage."""
+    """Set a session up for the operators of this subpackage: the package for its workers, and SETTINGS from here on."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the shared folder, so that the tables it came from can go.
+
+    It is a checkpoint, which Spark itself deletes once nothing refers to it, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id isn't among ids(doc_id), which are counted: up to BROADCAST_IDS are broadcast, and df stays where it is."""
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+
+
 def computed(df: DataFrame, name: str, expression: Column) -> DataFrame:
     """``df`` with a column that is computed once for each row.
 
