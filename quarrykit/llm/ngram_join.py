@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm import scan
+from quarrykit.llm.bits import filter_of, passed
 from quarrykit.llm.components import connected_components
 from quarrykit.llm.store import discard, settled, written
 
@@ -28,8 +29,6 @@ from quarrykit.llm.store import discard, settled, written
 CELLS = 1 << 18
 CHUNK = 1 << 10
 FRAGMENTS = 4
-#: 64-bit words of the filter that finds the rows of wanted documents: the least, and the most (8 MB). What it lets through besides costs work only.
-FILTER_WORDS = (1 << 14, 1 << 20)
 
 
 class Order(NamedTuple):
@@ -126,32 +125,6 @@ def _profiles(order, k: int, percent: int):
     return run
 
 
-def _filter_places(ids: np.ndarray, n_words: int) -> list[np.ndarray]:
-    h = scan.mixed(ids.astype(np.int64).view(np.uint64))
-    return [((h >> np.uint64(s)) & np.uint64(64 * n_words - 1)).astype(np.int64) for s in (0, 32)]
-
-
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A filter of the ids(id), two bits each, of 16 bits for each id and a fixed size at most."""
-    least, most = FILTER_WORDS
-    n_words, n = least, ids.count()
-    while n_words < most and 4 * n_words < n:
-        n_words *= 4
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n_words, np.int64)
-        for batch in batches:
-            for place in _filter_places(batch.column("id").to_numpy(), n_words):
-                np.bitwise_or.at(bits, place >> 6, np.int64(1) << (place & 63))
-        full = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(bits[full], pa.int64())], ["word", "bits"])
-
-    found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(n_words, np.int64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out
-
-
 def _cut(order, wanted, borders: list[int], k: int):
     """(node, fragment, grams) of each document that the filter lets through: its whole set, cut at the borders of the order."""
 
@@ -159,9 +132,7 @@ def _cut(order, wanted, borders: list[int], k: int):
         known, bits = order.value, wanted.value
         for batch in batches:
             there = np.asarray(batch.column("doc_id").is_valid())
-            for place in _filter_places(batch.column("doc_id").fill_null(0).to_numpy(), bits.size):
-                there &= (bits[place >> 6] >> (place & 63)) & 1 > 0
-            batch = batch.filter(pa.array(there))
+            batch = batch.filter(pa.array(there & passed(bits, batch.column("doc_id").fill_null(0).to_numpy())))
             for part in scan.slices(batch, "text"):
                 words = scan.words_of(*scan.buffer_of(part.column("text")), scan.SPACED, True)
                 grams, first = scan.shingles_of(words, k)
@@ -254,7 +225,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
         pairs = written(pairs.select("a", "b", "na", "nb").distinct(), "pairs")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ids = written(nodes.join(owners, "node").select(F.col("doc_id").alias("id")).distinct(), "ids")
-        wanted = context.broadcast(_filter_bits(ids))
+        wanted = context.broadcast(filter_of(ids, ids.count()))
         sets = written(texts.mapInArrow(_cut(order, wanted, borders, k), "node long, fragment int, grams array<long>"), "sets")
         more = _linked(pairs, sets, percent)
         for used in (pairs, ids, sets):

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from quarrykit.plans.shipping import ship
 from quarrykit.plans.tables import discard, shared_dir, written
 
-__all__ = ["SETTINGS", "computed", "discard", "prepare", "settled", "table", "without_ids", "written"]
+__all__ = ["SETTINGS", "bounded", "computed", "discard", "prepare", "settled", "table", "without_ids", "written"]
 
 
 #: What ``prepare`` sets: the bytes of a batch that goes to or from a Python worker, since whole texts are long; and that
 #: shuffle files go as soon as a query ends, since every table that is read again is written.
 SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
-#: Ids that are broadcast at most, 16 MB of them.
-BROADCAST_IDS = 1_000_000
+#: Rows that are broadcast at most, 16 MB of ids.
+BROADCAST_ROWS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -42,10 +42,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(small: DataFrame) -> DataFrame:
+    """``small``, an id or key and a few numbers a row, marked for broadcast if it is counted to have BROADCAST_ROWS at most."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
 def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df whose doc_id isn't among ids(doc_id), which are counted: up to BROADCAST_IDS are broadcast, and df stays where it is."""
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
+    """The rows of df whose doc_id isn't among ids(doc_id); a null one isn't. df stays where it is if the ids are few enough."""
+    return df.join(bounded(ids), "doc_id", "left_anti")
 
 
 def computed(df: DataFrame, name: str, expression: Column) -> DataFrame:
