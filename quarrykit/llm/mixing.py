@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.store import computed, written
+from quarrykit.llm.store import bounded, computed, discard, written
 
 #: Domains in order, as conditions over a row of labels; the last is what is left.
 DOMAINS = {"clean": "quality = 1 AND toxic = 0", "toxic": "toxic = 1", "poor": "quality = 0"}
@@ -27,7 +27,7 @@ PREFIX = 5
 TELLS = 15.0
 #: Labelled documents of a language with which it has a model of its own; the others share one.
 OWN = 100
-#: Posteriors are rounded to this grid, so that documents of equal posterior are one cell.
+#: Documents whose posteriors round to the same point of this grid are one cell, with one rate; there are (GRID + 1)(GRID + 2) / 2 cells at most.
 GRID = 200
 #: Pull of the rates towards 1, and the end of the iterations.
 PULL = 1e-3
@@ -65,19 +65,21 @@ def _languages(docs: DataFrame, marked: DataFrame) -> list[str]:
     """The languages with OWN labelled documents or more, most first; 64 at most, so that places are not shared by many."""
     if "lang" not in docs.columns:
         return []
-    known = docs.where("lang IS NOT NULL").select("doc_id", "lang").join(marked, F.col("doc_id") == F.col("__id"))
+    known = docs.where("lang IS NOT NULL").select("doc_id", "lang").join(bounded(marked), F.col("doc_id") == F.col("__id"))
     counts = known.groupBy("lang").count().where(F.col("count") >= OWN)
     return [r.lang for r in counts.orderBy(F.desc("count"), "lang").limit(64).collect()]
 
 
-def _model(features: DataFrame, marked: DataFrame) -> tuple[dict[int, list[float]], list[list[float]]]:
+def _model(features: DataFrame) -> tuple[dict[int, list[float]], list[list[float]]]:
     """Of each language the score of a document without any telling word, -1 being all others; and by domain what each place adds to it.
 
-    Word presence and absence both count. Counts are of all labelled documents
-    of the language, summed by place in Spark; at most SIZE rows come back.
+    features are of the labelled documents, with their domain. Word presence and
+    absence both count. Counts are summed by place in Spark; a place tells of a
+    domain if its log-likelihood ratio is TELLS or more, and only those come
+    back, SIZE at most.
     """
     k = len(DOMAINS)
-    labelled = features.join(marked, F.col("doc_id") == F.col("__id")).select("__own", "domain", "__f")
+    labelled = written(features.select("__own", "domain", "__f"), "labelled")
     sums = [F.sum((F.col("domain") == i).cast("long")).alias(f"c{i}") for i in range(k)]
     sizes = {r["__own"]: [r[f"c{i}"] for i in range(k)] for r in labelled.groupBy("__own").agg(*sums).collect()}
     rows = labelled.select("__own", "domain", F.explode("__f").alias("f")).groupBy("__own", "f").agg(*sums)
@@ -85,29 +87,27 @@ def _model(features: DataFrame, marked: DataFrame) -> tuple[dict[int, list[float
     adds = [[0.0] * SIZE for _ in range(k)]
     total = reduce(lambda a, b: a + b, [F.col(f"c{i}") for i in range(k)])
     # One language for each place, the one that has most of it.
-    best = rows.where(total >= 3).groupBy("f").agg(F.max_by(F.struct("__own", *(f"c{i}" for i in range(k))), F.struct(total, "__own")).alias("r"))
-    for r in sorted(best.select("f", "r.*").collect()):
+    best = rows.where(total >= 3).groupBy("f").agg(F.max_by(F.struct("__own", *(f"c{i}" for i in range(k))), F.struct(total, "__own")).alias("r")).select("f", "r.*")
+    of_own = lambda value, empty: reduce(lambda out, own: F.when(F.col("__own") == own, F.lit(float(value(sizes[own])))).otherwise(out), sorted(sizes), F.lit(empty))
+    ratios = []
+    for i in range(k):
+        size, rate, seen = of_own(lambda x, i=i: x[i], 0.0), total / of_own(sum, 1.0), F.col(f"c{i}").cast("double")
+        rest = size - seen
+        gain = seen * F.log(seen / (size * rate)) + F.when(rest > 0, rest * F.log(rest / (size * (1 - rate)))).otherwise(0.0)
+        ratios.append(F.when(seen > size * rate, 2 * gain).otherwise(0.0))
+    for r in sorted(best.where(F.greatest(*ratios) >= TELLS).collect()):
         size, seen = sizes[r["__own"]], [r[f"c{i}"] for i in range(k)]
         rate = sum(seen) / sum(size)
-        if max(_ratio(a, n, rate) for a, n in zip(seen, size, strict=True)) < TELLS:
-            continue
         for i, (a, n) in enumerate(zip(seen, size, strict=True)):
             p = min(1 - 1e-3, (a + rate) / (n + 1))
             base[r["__own"]][i] += _log(1 - p)
             adds[i][r.f] = round(_log(p) - _log(1 - p), 4)
+    discard(labelled)
     return base, adds
 
 
-def _ratio(seen: int, size: int, rate: float) -> float:
-    """The log-likelihood ratio of ``seen`` in ``size`` documents against a rate below it."""
-    if seen <= size * rate:
-        return 0.0
-    rest = size - seen
-    return 2 * (seen * _log(seen / (size * rate)) + (rest * _log(rest / (size * (1 - rate))) if rest else 0.0))
-
-
 def _posteriors(features: DataFrame, model: tuple[dict[int, list[float]], list[list[float]]]) -> DataFrame:
-    """features with p, the rounded probabilities of all domains."""
+    """features with p, the probabilities of all domains."""
     k = len(DOMAINS)
     base, adds = model
 
@@ -120,9 +120,7 @@ def _posteriors(features: DataFrame, model: tuple[dict[int, list[float]], list[l
     top = F.array_max("__s")
     odds = [F.exp(F.get("__s", F.lit(i)) - top) for i in range(k)]
     whole = reduce(lambda a, b: a + b, odds)
-    steps = [F.round(x / whole * GRID) / GRID for x in odds[:-1]]
-    rest = F.greatest(F.lit(0.0), F.lit(1.0) - reduce(lambda a, b: a + b, steps))
-    return computed(out, "p", F.array(*steps, rest)).drop("__s", "__f", "__own")
+    return computed(out, "p", F.array(*(x / whole for x in odds))).drop("__s", "__f", "__own")
 
 
 def _log(x: float) -> float:
@@ -149,13 +147,13 @@ def _rate(steps: list[list[float]], ahead: bool) -> Column:
     return F.aggregate(F.array(*(F.array(*map(F.lit, x)) for x in steps)), start, move, lambda at: at["y" if ahead else "r"])
 
 
-def _fitted(cells: DataFrame, targets: list[float]) -> list[list[float]]:
-    """All steps of accelerated projected gradients, from which every rate follows.
+def _fitted(cells: DataFrame, targets: list[float]) -> tuple[list[list[float]], list[float]]:
+    """All steps of accelerated projected gradients, from which every rate follows; and what the rates reach beyond each target.
 
     With tokens as shares of the corpus, and domain k holding m_k of them, half
     the sum over k of (reached_k - target_k)^2 / m_k, plus PULL times half the
     weighted sum of (rate - 1)^2, is made least. Ends when all targets are met to
-    CLOSE, or after STEPS.
+    CLOSE, or when the steps no longer change what is reached, or after STEPS.
     """
     k = len(targets)
 
@@ -166,42 +164,59 @@ def _fitted(cells: DataFrame, targets: list[float]) -> list[list[float]]:
 
     mass = reached(F.lit(1.0))
     steps: list[list[float]] = []
-    at = mass
+    at, still = mass, 0
     for n in range(STEPS):
         pull = [(r - t) / m if m > 1e-12 else 0.0 for r, t, m in zip(at, targets, mass, strict=True)]
-        if max((abs(x) * m for x, m in zip(pull, mass, strict=True)), default=0.0) < CLOSE and steps:
+        if steps and (still >= 3 or max((abs(x) * m for x, m in zip(pull, mass, strict=True)), default=0.0) < CLOSE):
             steps[-1][k] = 0.0  # the rates themselves are where the targets were found to be met
             break
         steps.append([*pull, n / (n + 3)])
-        at = reached(_rate(steps, True))
-    return steps
+        then = reached(_rate(steps, True))
+        still = still + 1 if max(abs(a - b) for a, b in zip(at, then, strict=True)) < CLOSE / 20 else 0
+        at = then
+    return steps, [r - t for r, t in zip(reached(_rate(steps, False)), targets, strict=True)]
 
 
-def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: bool = True) -> DataFrame:
-    """docs with n_tokens, the posterior of each domain, and the rate to repeat each document at.
+def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs with n_tokens, the posterior of each domain (p_...), the rate to repeat each document at, and how well the targets are met.
 
     The expected tokens of the result, rate * n_tokens * posterior summed, have
     the shares of ``targets`` of the corpus's tokens, as far as nonnegative rates
-    can reach them; of all such rates these stay closest to 1. Without ``carry``
-    the other columns than doc_id are left out, and no text is read again.
-
-    Null or blank text has no tokens; its rate follows from its posterior, and
-    moves no total. A null doc_id can't be labelled; a doc_id that is labelled
-    twice is trained on twice. Words are runs of letters of any script; a
-    language (column lang, if there) with OWN labelled documents has its own
-    rates of words. Columns of docs pass through, but for those
-    named like a result, which are replaced. Without labels all posteriors are
-    equal; an empty table gives no rows.
+    can reach them; of all such rates these stay closest to 1. residual is the
+    largest difference of a domain's share from its target, the same in every
+    row; converged says that it is below 10 * CLOSE. Targets that nonnegative
+    rates can't reach leave it false.
+
+    ``keep`` names the columns of docs that the result has, all by default but
+    those named like a result, which are replaced. Null or blank text has no
+    tokens; its rate follows from its posterior, and moves no total. A null
+    doc_id can't be labelled; a doc_id that is labelled twice is trained on
+    twice. Words are runs of letters of any script; a language (column lang, if
+    there) with OWN labelled documents has its own rates of words. Without
+    labels all posteriors are equal; an empty table gives no rows. The
+    posteriors are computed before this returns.
     """
     targets = targets or TARGETS
+    k = len(DOMAINS)
+    made = ["n_tokens", "rate", "p", "residual", "converged", *(f"p_{d}" for d in DOMAINS)]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    docs = docs.drop(*made)
     domain = F.when(F.expr("quality = 1 AND coalesce(toxic, 0) = 0"), 0).when(F.expr("toxic = 1"), 1).when(F.expr("quality = 0"), 2)
     marked = labels.select(F.col("doc_id").alias("__id"), domain.alias("domain")).where("domain IS NOT NULL AND __id IS NOT NULL")
-    features = _features(docs.drop("n_tokens", "rate", "p", *(f"p_{d}" for d in DOMAINS)), _languages(docs, marked))
-    model = _model(features, marked)
-    small = written(_posteriors(features, model).select("doc_id", "n_tokens", "p"), "posteriors")
-    cells = small.groupBy("p").agg(F.sum("n_tokens").alias("n"))
-    cells = written(cells, "cells")
+    own = _languages(docs, marked)
+    narrow = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []))
+    model = _model(_features(narrow.join(bounded(marked), F.col("doc_id") == F.col("__id")), own))
+    names = [f"__c{i}" for i in range(k - 1)]
+    cell = [F.round(F.get("p", F.lit(i)) * GRID).cast("int").alias(c) for i, c in enumerate(names)]
+    small = written(_posteriors(_features(docs, own), model).select(*keep, "n_tokens", "p", *cell), "posteriors")
+    # The mean posterior of a cell's tokens stands for all of them in every sum, exactly.
+    weight = F.col("n_tokens") + F.lit(1e-9)
+    mean = [(F.sum(weight * F.get("p", F.lit(i))) / F.sum(weight)) for i in range(k)]
+    cells = written(small.groupBy(*names).agg(F.sum("n_tokens").alias("n"), F.array(*mean).alias("p")).coalesce(1), "cells")
     total = cells.agg(F.sum("n")).first()[0] or 1
-    steps = _fitted(cells.withColumn("w", F.col("n") / F.lit(float(total))), [targets[d] for d in DOMAINS])
-    out = _posteriors(features, model) if carry else small
-    return out.select(*(c for c in out.columns if c != "p"), *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), _rate(steps, False).alias("rate"))
+    steps, beyond = _fitted(cells.withColumn("w", F.col("n") / F.lit(float(total))), [targets[d] for d in DOMAINS])
+    residual = max(map(abs, beyond))
+    return small.join(F.broadcast(cells.select(*names, _rate(steps, False).alias("rate"))), names).select(
+        *keep, "n_tokens", *(F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate",
+        F.lit(float(residual)).alias("residual"), F.lit(residual < 10 * CLOSE).alias("converged"),
+    )

@@ -45,7 +45,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=False)
+    return mixing.mix_to_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

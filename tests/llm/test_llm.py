@@ -224,10 +224,42 @@ def test_warc_round_trip(spark):
     assert warc.derive(responses.limit(0)).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    counts = rng.poisson(0.4, (6, 6, 6))
-    assert np.allclose(np.exp(quality_lm.kneser_ney(counts)).sum(axis=-1), 1)
+def brute_perplexity(train, text):
+    """Perplexity under the pair model, from dictionaries."""
+    cut = lambda t: ["<s>", *words_of(t), "</s>"]
+    pairs = collections.Counter(p for t in train if words_of(t) for p in zip(cut(t), cut(t)[1:]))
+    d2 = quality_lm.discounts([sum(n == i for n in pairs.values()) for i in (1, 2, 3, 4)])
+    before = collections.Counter(w for _, w in pairs)
+    total, out = collections.Counter(), collections.Counter()
+    for (h, w), n in pairs.items():
+        total[w] += n
+        out[h] += n
+    d1 = quality_lm.discounts([sum(n == i for n in before.values()) for i in (1, 2, 3, 4)])
+    known = {w for w in total if total[w] >= 2}
+    unknown = (1 - sum((before[w] - d1[min(before[w], 3) - 1]) / len(pairs) for w in known)) / (len(known) + 1)
+    low = lambda w: (before[w] - d1[min(before[w], 3) - 1]) / len(pairs) + unknown if w in known else unknown
+    kept = {p: n - d2[min(n, 3) - 1] for p, n in pairs.items() if n >= 2}
+    used = collections.Counter()
+    for (h, _), n in kept.items():
+        used[h] += n
+    ps = [kept.get((h, w), 0) / max(1, out[h]) + ((1 - used[h] / out[h]) if out[h] else 1) * low(w) for h, w in zip(cut(text), cut(text)[1:])]
+    return float(np.exp(-np.log(ps).mean()))
+
+
+def test_perplexity(spark, monkeypatch):
+    monkeypatch.setattr(quality_lm, "HEAVY", 20)
+    monkeypatch.setattr(quality_lm, "HELD", 300)
+    rng = random.Random(21)
+    texts = [prose(rng, rng.choice([1, 5, 40, 200]), 60) for _ in range(80)] + ["", None, "never seen words", "w1"]
+    docs = docs_of(spark, texts)
+    model, unknown, start = quality_lm.language_model(docs.where("doc_id < 50"))
+    rows = quality_lm.log_probabilities(docs, model, unknown, start).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        if words_of(texts[r.doc_id]):
+            assert np.exp(r.surprise / r.n_symbols) == pytest.approx(brute_perplexity(texts[:50], texts[r.doc_id]), rel=1e-4)
+        else:
+            assert (r.n_symbols, r.surprise) == (0, 0.0)
 
 
 def test_quality_classifier(spark):
@@ -267,7 +299,7 @@ def test_mixing_meets_targets(spark):
         rate = np.maximum(0, rate - (p @ (((w * rate) @ p - goal) / mass) + mixing.PULL * (rate - 1)) / (1 + mixing.PULL))
     assert loss(out.rate.to_numpy()) < loss(rate) + 5e-4
     assert np.abs((w * out.rate.to_numpy()) @ p - (w * rate) @ p).max() < 0.01
-    assert mixing.mix_to_targets(docs.limit(0), labels, carry=False).count() == 0
+    assert mixing.mix_to_targets(docs.limit(0), labels, keep=["doc_id"]).count() == 0
 
 
 def test_mixing_tells_words_of_each_language(spark):
