@@ -79,7 +79,7 @@ def _model(features: DataFrame) -> tuple[dict[int, list[float]], list[list[float
     back, SIZE at most.
     """
     k = len(DOMAINS)
-    labelled = written(features.select("__own", "domain", "__f"), "labelled")
+    labelled = features.select("__own", "domain", "__f")
     sums = [F.sum((F.col("domain") == i).cast("long")).alias(f"c{i}") for i in range(k)]
     sizes = {r["__own"]: [r[f"c{i}"] for i in range(k)] for r in labelled.groupBy("__own").agg(*sums).collect()}
     rows = labelled.select("__own", "domain", F.explode("__f").alias("f")).groupBy("__own", "f").agg(*sums)
@@ -102,7 +102,6 @@ def _model(features: DataFrame) -> tuple[dict[int, list[float]], list[list[float
             p = min(1 - 1e-3, (a + rate) / (n + 1))
             base[r["__own"]][i] += _log(1 - p)
             adds[i][r.f] = round(_log(p) - _log(1 - p), 4)
-    discard(labelled)
     return base, adds
 
 
@@ -204,11 +203,13 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     domain = F.when(F.expr("quality = 1 AND coalesce(toxic, 0) = 0"), 0).when(F.expr("toxic = 1"), 1).when(F.expr("quality = 0"), 2)
     marked = labels.select(F.col("doc_id").alias("__id"), domain.alias("domain")).where("domain IS NOT NULL AND __id IS NOT NULL")
     own = _languages(docs, marked)
-    narrow = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []))
-    model = _model(_features(narrow.join(bounded(marked), F.col("doc_id") == F.col("__id")), own))
+    features = _features(docs.select("*", F.col("doc_id").alias("__doc")), own).select(*keep, "__doc", "n_tokens", "__own", "__f")
+    features = written(features, "features")
+    model = _model(features.select("__doc", "__own", "__f").join(bounded(marked), F.col("__doc") == F.col("__id")))
     names = [f"__c{i}" for i in range(k - 1)]
-    cell = [F.round(F.get("p", F.lit(i)) * GRID).cast("int").alias(c) for i, c in enumerate(names)]
-    small = written(_posteriors(_features(docs, own), model).select(*keep, "n_tokens", "p", *cell), "posteriors")
+    small = written(_posteriors(features, model).select(*keep, "n_tokens", "p"), "posteriors")
+    discard(features)
+    small = small.select("*", *(F.round(F.get("p", F.lit(i)) * GRID).cast("int").alias(c) for i, c in enumerate(names)))
     # The mean posterior of a cell's tokens stands for all of them in every sum, exactly.
     weight = F.col("n_tokens") + F.lit(1e-9)
     mean = [(F.sum(weight * F.get("p", F.lit(i))) / F.sum(weight)) for i in range(k)]

@@ -29,6 +29,11 @@ from quarrykit.llm.store import discard, settled, written
 CELLS = 1 << 18
 CHUNK = 1 << 10
 FRAGMENTS = 4
+#: Turns at most in which the nodes of a bucket meet one other node only (they end when a turn finds next to nothing); members of a
+#: bucket for each node left from which on that is worth while; links that make a node well connected. They set the work, not the result.
+HUB_TURNS = 6
+FEW = 8
+CONNECTED = 3
 
 
 class Order(NamedTuple):
@@ -209,14 +214,22 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     prefixes = profiles.select("doc_id", "node", F.col("n_shingles").cast("int").alias("n"), "prefix")
     prefixes = written(prefixes.join(owners, ["doc_id", "node"], "left_semi"), "prefixes")
     discard(profiles)
-    postings = prefixes.select("node", "doc_id", "n", F.posexplode("prefix").alias("pos", "gram"))
-    several = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub != far").drop("far")
-    shared = written(postings.join(several, "gram"), "postings")
+    postings = prefixes.select("node", "doc_id", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "gram"))
+    several = postings.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("gram")
+    met = written(postings.join(several, "gram"), "met")
     discard(prefixes)
+    # Of two sets, take the one whose prefix ends first. What the pair shares of its prefix is in the other's prefix too, so most
+    # is a bound of what they share in all: the set without the part of its prefix that no other prefix has.
+    most = met.groupBy("node").agg((F.first("n") - F.first("p") + F.count("*")).cast("int").alias("most"))
+    met_all = met.drop("p").join(most, "node")
+    hubs = met_all.groupBy("gram").agg(F.max(F.struct((F.col("most") / F.col("n")).alias("apt"), "node")).alias("hub")).select("gram", F.col("hub.node").alias("hub"))
+    shared = written(met_all.join(hubs, "gram"), "postings")
+    discard(met)
 
     similar_size = f"100L * least(na, nb) >= {percent}L * greatest(na, nb)"
     # Nothing before the first n-gram that a pair shares is in both sets; what is left must be enough.
-    enough_left = " AND ".join(f"(n{x} - pos{x}) * {100 + percent}L >= {percent}L * (na + nb)" for x in "ab")
+    enough_most = f"if(lasta <= lastb, mosta, mostb) * {100 + percent}L >= {percent}L * (na + nb)"
+    enough_left = " AND ".join([*(f"(n{x} - pos{x}) * {100 + percent}L >= {percent}L * (na + nb)" for x in "ab"), enough_most])
     # Sizes of one band and the next are all that can be similar.
     band = lambda n: F.floor(F.log(F.col(n)) / F.log(F.lit(100 / percent)))
 
@@ -237,37 +250,46 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     tables = [written(twice.join(known, "doc_id").where("a != node").select("a", F.col("node").alias("b")).distinct(), "links")]
 
     # Only for connecting most nodes early: each node with the hub that it shares most of its prefix with.
-    seen = shared.where("node != hub").groupBy("node", "n", "hub").agg(F.count("*").alias("common"))
-    best = seen.groupBy("node", "n").agg(F.max(F.struct("common", "hub")).alias("best")).where(f"4 * best.common > n * {100 - percent} DIV 100")
-    first = best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    sizes = shared.where("node = hub").select(F.col("node").alias("a"), F.col("n").alias("na")).distinct()
-    tables.append(linked(first.join(sizes, "a").where(similar_size)))
+    own = ["n", "most", "last"]
+    seen = shared.where("node != hub").groupBy("node", *own, "hub").agg(F.count("*").alias("common"))
+    best = seen.groupBy("node", *own).agg(F.max(F.struct("common", "hub")).alias("best")).where(f"4 * best.common > n * {100 - percent} DIV 100")
+    first = best.select(F.col("best.hub").alias("a"), F.col("node").alias("b"), *(F.col(c).alias(f"{c}b") for c in own))
+    sizes = shared.where("node = hub").select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}a") for c in own)).distinct()
+    tables.append(linked(first.join(sizes, "a").where(similar_size).where(enough_most)))
     links = tables[0].unionByName(tables[1])
     found = connected_components(links, "a", "b")
 
-    # Pairs of nodes that aren't connected yet: first with the best connected node of a bucket, then all that are left.
-    for last in (False, True):
-        placed = shared.select("gram", "node", "n", "pos").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Pairs of nodes that aren't connected yet: with one well connected node of each bucket, another one each turn, until few pairs are left; then these.
+    gained = True
+    for turn in range(HUB_TURNS + 1):
+        placed = shared.select("gram", "node", *own, "pos").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
         placed = placed.join(degree, "node", "left").fillna(0, ["links"])
-        buckets = placed.groupBy("gram").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.struct("links", "node", "component", "n", "pos")).alias("hub")
-        )
-        side = placed.join(buckets.where("low != high").select("gram", "hub"), "gram").where("component != hub.component")
-        left = [F.col(c).alias(x) for c, x in (("gram", "gram"), ("node", "a"), ("n", "na"), ("pos", "posa"), ("component", "ca"), ("hub", "hub"))]
-        side = side.select(*left)
+        apt = F.col("links") if turn == 0 else F.least(F.col("links"), F.lit(CONNECTED))
+        hub = F.struct(apt.alias("apt"), F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "component", *own, "pos")
+        buckets = placed.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(hub).alias("hub"), F.count("*").alias("m"))
+        side = placed.join(buckets.where("low != high").select("gram", "hub", "m"), "gram").where("component != hub.component")
+        side = written(side.select("gram", "hub", "m", F.col("node").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"{c}a") for c in (*own, "pos"))), "side")
+        here, ahead = side.agg(F.count("*"), F.sum("m")).first()
+        last = not gained or (ahead or 0) <= FEW * here or turn == HUB_TURNS
         if last:
             # Each pair of a bucket has a node outside the component of the bucket's hub.
-            other = placed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("posb"), F.col("component").alias("cb"))
-            side = side.withColumn("band", F.explode(F.array(*(band("na") + i for i in (-1, 0, 1)))))
-            pairs = side.join(other.withColumn("band", band("nb")), ["gram", "band"]).where("ca != cb AND (cb = hub.component OR a < b)")
+            other = placed.select("gram", F.col("node").alias("b"), F.col("component").alias("cb"), *(F.col(c).alias(f"{c}b") for c in (*own, "pos")))
+            wide = side.withColumn("band", F.explode(F.array(*(band("na") + i for i in (-1, 0, 1)))))
+            pairs = wide.join(other.withColumn("band", band("nb")), ["gram", "band"]).where("ca != cb AND (cb = hub.component OR a < b)")
         else:
-            pairs = side.select("*", *(F.col(f"hub.{c}").alias(x) for c, x in (("node", "b"), ("n", "nb"), ("pos", "posb"))))
-        tables.append(linked(pairs.where(similar_size).where(enough_left)))
-        if tables[-1].count():
-            links = links.unionByName(tables[-1])
-            discard(found)
-            found = connected_components(links, "a", "b")
+            pairs = side.select("*", F.col("hub.node").alias("b"), *(F.col(f"hub.{c}").alias(f"{c}b") for c in (*own, "pos")))
+        if here:
+            tables.append(linked(pairs.where(similar_size).where(enough_left)))
+            n_found = tables[-1].count()
+            gained = n_found * 1000 >= here
+            if n_found:
+                links = links.unionByName(tables[-1])
+                discard(found)
+                found = connected_components(links, "a", "b")
+        discard(side)
+        if last:
+            break
     for used in (shared, *tables):
         discard(used)
 
