@@ -77,10 +77,12 @@ def safe_name(name: Column, allowed: str = "A-Za-z0-9._-", n: int = 120, default
 
 
 def human_size(size: Column) -> Column:
+    """Two decimals in steps of 1024; an exact half goes to the even digit."""
     units = ["B", "KB", "MB", "GB", "TB"]
-    found = F.format_string("%.2f TB", size / float(1024**4))
+    two = lambda i: F.format_string(f"%.2f {units[i]}", F.bround(size / float(1024**i), 2))
+    found = two(4)
     for i in range(3, -1, -1):
-        found = F.when(size < 1024 ** (i + 1), F.format_string(f"%.2f {units[i]}", size / float(1024**i))).otherwise(found)
+        found = F.when(size < 1024 ** (i + 1), two(i)).otherwise(found)
     return found
 
 
@@ -127,12 +129,19 @@ def layer_norm(x: Column, eps: float = 1e-5, weight: float = 1.0, bias: float =
 
 def chunks(text: Column, size: int = 600, stride: int = 520) -> Column:
     """Overlapping windows of words; a text without words has none."""
-    words = F.filter(F.split(text, r"[ \t\n\r\f]+"), lambda w: w != "")
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+
+    def cut(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+
+    return _let(F.array_remove(F.split(text, r"[ \t\n\r\f]+"), ""), cut)
 
 
 def letters(n: Column) -> Column:
-    """1 is A, 26 is Z, 27 is AA and so on to ZZ."""
-    last = F.char(65 + (n - 1) % 26)
-    return F.when(n <= 26, last).otherwise(F.concat(F.char(F.floor(64 + (n - 1) / 26).cast("int")), last))
+    """1 is A, 26 is Z, 27 is AA, 703 is AAA and so on."""
+    parts = []
+    for place in range(12, -1, -1):
+        least = sum(26**i for i in range(place + 1))
+        digit = F.floor((n - F.lit(least)) / F.lit(26**place)) if place else n - 1
+        parts.append(F.when(n >= least, F.char(F.lit(65) + digit % 26)).otherwise(""))
+    return F.concat(*parts)

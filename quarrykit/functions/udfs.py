@@ -42,25 +42,35 @@ def secret_matches(df: DataFrame, name: str, text: str, rules: dict[str, str] |
 
 def partial_ratio(needle: str, text: str) -> int:
     """0 to 100: the best share of a window as long as the needle that an in-order match keeps, by length of common subsequences."""
-    if not needle or not text:
-        return 0
-    n, best = len(needle), 0
-    for start in range(max(1, len(text) - n + 1)):
-        window = text[start : start + n]
-        row = [0] * (len(window) + 1)
+    return int(partial_ratios(needle, [text])[0])
+
+
+def partial_ratios(needle: str, texts: list[str]) -> np.ndarray:
+    """partial_ratio() of many texts: the windows of all of them go through the table of subsequences together."""
+    out = np.zeros(len(texts), np.int64)
+    if not needle:
+        return out
+    by_width: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        if t:
+            by_width.setdefault(min(len(needle), len(t)), []).append(i)
+    for width, own in by_width.items():
+        points = [np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32) for i in own]
+        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(p, width) for p in points])
+        row = np.zeros((len(windows), width + 1), np.int32)
         for c in needle:
-            last = 0
-            for j, d in enumerate(window, 1):
-                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-        best = max(best, round(200 * row[-1] / (n + len(window))))
-        if best == 100:
-            break
-    return best
+            last = row.copy()
+            for j in range(1, width + 1):
+                row[:, j] = np.where(windows[:, j - 1] == ord(c), last[:, j - 1] + 1, np.maximum(last[:, j], row[:, j - 1]))
+        ends = np.cumsum([len(p) - width + 1 for p in points])
+        best = np.maximum.reduceat(row[:, -1], np.concatenate([[0], ends[:-1]]))
+        out[own] = np.rint(200 * best / (len(needle) + width))
+    return out
 
 
 def fuzzy(needle: str):
     """A column function: the partial ratio of a short needle in short texts such as titles."""
-    return F.pandas_udf(lambda s: s.fillna("").map(lambda t: partial_ratio(needle.lower(), t.lower())), "int")
+    return F.pandas_udf(lambda s: pd.Series(partial_ratios(needle.lower(), s.fillna("").str.lower().tolist())), "int")
 
 
 def sniff_csv(text: str | None) -> tuple[list[str], str, int]:
@@ -100,15 +110,20 @@ def csv_sniffer():
 
 
 def extractor(function: Callable[[bytes], str]):
-    """A user's bytes-to-text function as a column function; what it raises on becomes null."""
+    """A user's bytes-to-text function as a column function to (text, error): what it raises on has no text but says why."""
 
-    def one(content: bytes | None) -> str | None:
+    def one(content: bytes | None) -> tuple[str | None, str | None]:
         try:
-            return None if content is None else function(bytes(content))
-        except Exception:  # noqa: BLE001  any decoder may raise anything on a broken file
-            return None
+            return (None if content is None else function(bytes(content))), None
+        except Exception as e:  # noqa: BLE001  any decoder may raise anything on a broken file
+            return None, f"{type(e).__name__}: {e}"
 
-    return F.pandas_udf(lambda s: s.map(one), "string")
+    return F.pandas_udf(lambda s: pd.DataFrame([one(x) for x in s], columns=["text", "error"]), "text string, error string")
+
+
+def structured_extractor(function: Callable[[str], str], most: int = 10_000):
+    """A user's function from a text's first ``most`` characters to JSON, as a column function; payloads.parsed() reads what it gives."""
+    return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else function(t[:most])), "string")
 
 
 def embedder(make: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64):
@@ -126,13 +141,13 @@ def embedder(make: Callable[[], Callable[[list[str]], np.ndarray]], batch: int =
 
 def hashing_model(size: int = 32) -> Callable[[list[str]], np.ndarray]:
     """Word counts in hashed places, of length one: an embedder without a model."""
-    from zlib import crc32
+    from hashlib import md5
 
     def model(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), size), np.float32)
         for row, text in zip(out, texts, strict=True):
             for word in text.lower().split():
-                row[crc32(word.encode()) % size] += 1
+                row[int(md5(word.encode()).hexdigest()[:8], 16) % size] += 1
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     return model

@@ -12,10 +12,17 @@ from quarrykit.plans.tables import written
 
 
 def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
-    """(key, copies, members) of the keys that more than one row has."""
+    """(key, copies, members) of the keys that more than one row has, where a group is small enough for one row; else duplicate_members()."""
     return df.groupBy(key).agg(F.count("*").alias("copies"), F.array_sort(F.collect_list(member)).alias("members")).where("copies > 1")
 
 
+def duplicate_members(df: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, copies, first, member): a row for each member of the keys that more than one row has, however many; nulls share a key too."""
+    groups = df.groupBy(key).agg(F.count("*").alias("copies"), F.min(member).alias("first")).where("copies > 1")
+    back = groups.select(F.col(key).alias("__key"), "copies", "first")
+    return df.select(key, F.col(member).alias("member")).join(back, F.col(key).eqNullSafe(F.col("__key"))).select(key, "copies", "first", "member")
+
+
 def with_canonical(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """df with the ``name`` of the first row, by ``order``, that has the same key.
 

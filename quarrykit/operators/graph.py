@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.functions.columns import _let
+from quarrykit.plans.tables import written
+
 
 def neighbours(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id): the seeds and all that an edge joins to one."""
@@ -28,20 +31,24 @@ def bounded_subgraph(nodes: DataFrame, edges: DataFrame, kind: str, most: int) -
 
 
 def below(parents: DataFrame, root: int, depth: int) -> DataFrame:
-    """(id): what lies below a root, by a recursive query of bounded depth, so that cycles end."""
-    spark = parents.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE under(id, d) AS (
-             SELECT id, 1 FROM {parents} WHERE parent = {root}
-             UNION ALL SELECT p.id, d + 1 FROM under u JOIN {parents} p ON p.parent = u.id WHERE d < {depth})
-           SELECT DISTINCT id FROM under""",
-        parents=parents, root=root, depth=depth,
-    )
+    """(id): what lies below a root in parents(id, parent), down to a depth.
+
+    A level at a time, written, and without what is there already: a node is
+    walked once, whatever paths lead to it, and cycles end.
+    """
+    level = found = written(parents.where(F.col("parent") == root).select("id").distinct(), "level")
+    for _ in range(depth - 1):
+        under = parents.join(level.select(F.col("id").alias("parent")), "parent").select("id").distinct()
+        level = written(under.join(found, "id", "left_anti"), "level")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found
 
 
 def empty_folders(folders: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
     """Folders without a file at any depth."""
     parts = F.split(path, "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    above = _let(parts, lambda p: F.transform(F.sequence(F.lit(2), F.size(p) - 1), lambda n: F.array_join(F.slice(p, 1, n), "/")))
     used = files.where(F.size(parts) > 2).select(F.explode(above).alias("folder")).distinct()
     return folders.join(used, "folder", "left_anti")

@@ -58,3 +58,27 @@ def ledger_rows(df: DataFrame, event: str, payload: list[str]) -> DataFrame:
 def with_column(df: DataFrame, name: str, kind: str) -> DataFrame:
     """df with a column that it may lack so far, as nulls."""
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
+
+
+def module_manifest(modules: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, sha256, legal_function, dependencies) of modules(path, legal_function, dependencies), with the digest of the file, if it is among files(path, sha256).
+
+    A missing function is null, missing dependencies are an empty list.
+    """
+    out = with_column(with_column(modules, "legal_function", "string"), "dependencies", "array<string>")
+    empty = F.array().cast("array<string>")
+    return out.join(files.select("path", "sha256"), "path", "left").select("path", "sha256", "legal_function", F.coalesce("dependencies", empty).alias("dependencies"))
+
+
+def manifest_faults(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, fault) of a module manifest: missing, changed, without function, and each dependency that isn't in the manifest."""
+    now = manifest.join(files.select("path", F.col("sha256").alias("now")), "path", "left")
+    own = F.array_compact(
+        F.array(
+            F.when(F.col("now").isNull(), F.lit("missing")), F.when(F.col("now") != F.coalesce("sha256", F.lit("")), F.lit("changed")),
+            F.when(F.coalesce(F.trim("legal_function"), F.lit("")) == "", F.lit("no function")),
+        )
+    )
+    wanted = manifest.select("path", F.explode("dependencies").alias("need")).distinct()
+    lost = wanted.join(manifest.select(F.col("path").alias("need")).distinct(), "need", "left_anti").select("path", F.concat(F.lit("needs "), "need").alias("fault"))
+    return now.select("path", F.explode(own).alias("fault")).unionByName(lost)

@@ -49,9 +49,19 @@ def match_prefix_not(index: DataFrame, name: str, prefix: str, without: str) ->
     return index.where(F.col("term").startswith(prefix)).select(name).distinct().join(index.where(F.col("term") == without).select(name).distinct(), name, "left_anti")
 
 
-def tfidf_vectors(df: DataFrame, name: str, text: str) -> DataFrame:
-    """(name, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each row of length one."""
-    tf = postings(df, name, text).groupBy(name, "term").agg(F.count("*").alias("tf"))
+def tfidf_vectors(df: DataFrame, name: str, text: str, grams: int = 2, vocabulary: int = 200_000) -> DataFrame:
+    """(name, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each row of length one.
+
+    Terms are runs of up to ``grams`` neighbouring words; the vocabulary, the
+    most frequent of them, has a size of its own.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    rows = df.select(name, F.explode(F.array(words)).alias("__w"))
+    run = lambda k: F.when(F.size("__w") >= k, F.transform(F.sequence(F.lit(1), F.size("__w") - (k - 1)), lambda i: F.array_join(F.slice("__w", i, k), " "))).otherwise(F.array().cast("array<string>"))
+    terms = F.concat("__w", *(run(k) for k in range(2, grams + 1)))
+    tf = written(rows.select(name, F.explode(terms).alias("term")).groupBy(name, "term").agg(F.count("*").alias("tf")), "terms")
+    kept = tf.groupBy("term").agg(F.sum("tf").alias("all")).orderBy(F.desc("all"), "term").limit(vocabulary).select("term")
+    tf = tf.join(kept, "term", "left_semi")
     n = df.select(F.count("*").alias("n"))
     df_ = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))  # n is one row
     weighed = tf.join(df_, "term").select(name, "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
@@ -61,10 +71,20 @@ def tfidf_vectors(df: DataFrame, name: str, text: str) -> DataFrame:
 
 def tfidf_top(vectors: DataFrame, queries: DataFrame, name: str, query: str, k: int) -> DataFrame:
     """(query, name, score, rank): for each query vector the k nearest rows by cosine."""
-    q = queries.select(F.col(query), "term", F.col("weight").alias("qw"))
-    dots = vectors.join(q, "term").groupBy(query, name).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
-    ranked = dots.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), name)))
-    return ranked.where(F.col("rank") <= k)
+    q = written(queries.select(F.col(query), "term", F.col("weight").alias("qw")), "asked")
+    vectors = written(vectors.repartition(name), "vectors")  # the terms of a row stand together, so that its sums are made where they are
+    found = []
+    for block in blocks_of(q, query):
+        dots = vectors.join(F.broadcast(block), "term").groupBy(query, name).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
+        ranked = dots.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), name)))
+        found.append(ranked.where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
+
+
+def blocks_of(queries: DataFrame, query: str, most: int = 1_000_000) -> list[DataFrame]:
+    """The rows of queries in blocks of ``most`` about, all of a query in one."""
+    n = -(-queries.count() // most) or 1
+    return [queries.where(F.pmod(F.xxhash64(query), F.lit(n)) == b) for b in range(n)]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -82,17 +102,21 @@ def vector_top(vectors: DataFrame, queries: DataFrame, score: Column, k: int, na
     The rank's limit also applies before the shuffle, so each task sends k rows
     for each query at most.
     """
-    blocks = -(-queries.count() // MOST_QUERIES) or 1
     order = F.col("score") if ascending else F.desc("score")
     found = []
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+    for block in blocks_of(queries, query, MOST_QUERIES):
         scored = vectors.join(F.broadcast(block)).select(query, name, score.alias("score"))
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(order, name)))
         found.append(ranked.where(F.col("rank") <= k))
     return reduce(DataFrame.unionByName, found)
 
 
+def fused(words: DataFrame, near: DataFrame, name: str) -> DataFrame:
+    """(name, src, pos): the hits of two searches (name, pos) in one list, each once: those of the first (src 0) before those of the second."""
+    both = words.select(name, F.lit(0).alias("src"), "pos").unionByName(near.select(name, F.lit(1).alias("src"), "pos"))
+    return both.groupBy(name).agg(F.min(F.struct("src", "pos")).alias("r")).select(name, "r.*")
+
+
 def within_budget(parts: DataFrame, order: Sequence[str], length: str, budget: int) -> DataFrame:
     """Parts in order until their joined length passes the budget, the crossing one included.
 

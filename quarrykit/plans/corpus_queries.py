@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from quarrykit.functions import columns as c
 from quarrykit.functions import udfs
-from quarrykit.operators import dedupe, graph, payloads, search
+from quarrykit.operators import dedupe, graph, payloads, plans, search
 from quarrykit.plans.registry import BUCKET, EXT, FILES, Tables, query, simple
 from quarrykit.plans.tables import shared_dir
+from quarrykit.sources import extract, sinks
 from quarrykit.streaming import jobs
 
 
@@ -115,16 +116,16 @@ simple("j14_rename_plan", lambda t: t.part.select("p_partkey", "p_name").join(t.
 
 # Groups
 _HASHED = "WITH h AS (SELECT *, sha256(text) AS h FROM documents) "
-simple("a01_duplicate_groups", lambda t: dedupe.duplicate_groups(t.documents.select("doc_id", F.sha2("text", 256).alias("h")), "h", "doc_id").select("h", "copies", F.array_join("members", ",").alias("members")),
-       _HASHED + "SELECT h, count(*) AS copies, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM h GROUP BY h HAVING count(*) > 1")
+simple("a01_duplicate_groups", lambda t: dedupe.duplicate_members(t.documents.select("doc_id", F.sha2("text", 256).alias("h")), "h", "doc_id").select("h", "copies", F.col("first").alias("first_id"), F.col("member").alias("doc_id")),
+       _HASHED + "SELECT h, n AS copies, f AS first_id, doc_id FROM (SELECT h, doc_id, count(*) OVER (PARTITION BY h) AS n, min(doc_id) OVER (PARTITION BY h) AS f FROM h) WHERE n > 1")
 simple("a02_two_phase", lambda t: dedupe.two_phase(t.documents.select("doc_id", "text", "n_chars", F.left("text", F.lit(32)).alias("head")), ["n_chars", "head"], F.sha2("text", 256), ["doc_id"], "doc_id").select("doc_id", "canonical_doc_id"),
        "SELECT doc_id, min(doc_id) OVER (PARTITION BY n_chars, left(text, 32), sha256(text)) AS canonical_doc_id FROM documents")
 simple("a03_quick_only", lambda t: dedupe.with_canonical(t.documents.select("doc_id", "n_chars", F.left("text", F.lit(32)).alias("head")), ["n_chars", "head"], ["doc_id"], "doc_id").select("doc_id", "canonical_doc_id"),
        "SELECT doc_id, min(doc_id) OVER (PARTITION BY n_chars, left(text, 32)) AS canonical_doc_id FROM documents")
 simple("a04_first_seen", lambda t: dedupe.with_canonical(t.files.select("doc_id", "path", "bytes", F.sha2("text", 256).alias("h")), ["h"], ["path", "doc_id"], "doc_id").select("doc_id", F.when(F.col("doc_id") != F.col("canonical_doc_id"), F.col("canonical_doc_id")).alias("duplicate_of")),
        FILES + "SELECT doc_id, nullif(first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY path, doc_id), doc_id) AS duplicate_of FROM files")
-simple("a05_duplicate_notes", lambda t: dedupe.duplicate_groups(t.files.select("path", F.sha2("text", 256).alias("h")), "h", "path").select(F.get("members", F.lit(0)).alias("path"), F.array_join(F.transform(F.slice("members", F.lit(2), F.size("members")), lambda p: F.concat(F.lit("duplicate:"), p)), ",").alias("notes")),
-       FILES + "SELECT ps[1] AS path, array_to_string(list_transform(ps[2:], lambda p: 'duplicate:' || p), ',') AS notes FROM (SELECT list_sort(list(path)) AS ps FROM files GROUP BY sha256(text)) WHERE len(ps) > 1")
+simple("a05_duplicate_notes", lambda t: dedupe.duplicate_members(t.files.select("path", F.sha2("text", 256).alias("h")), "h", "path").where("member != first").select(F.col("first").alias("path"), F.concat(F.lit("duplicate:"), "member").alias("note")),
+       FILES + "SELECT f AS path, 'duplicate:' || path AS note FROM (SELECT path, min(path) OVER (PARTITION BY sha256(text)) AS f FROM files) WHERE path <> f")
 simple("a06_keep_oldest", lambda t: dedupe.keep_oldest(t.files.select("doc_id", "mtime", F.md5("text").alias("h")), "h", "mtime", "doc_id").select("loser", "winner"),
        FILES + "SELECT doc_id AS loser, w AS winner FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY md5(text) ORDER BY mtime, doc_id) AS w FROM files) WHERE doc_id <> w")
 simple("a07_insert_or_ignore", lambda t: dedupe.insert_new(t.documents.where("doc_id % 2 = 0").select("doc_id", F.md5("text").alias("h")), t.documents.select("doc_id", F.md5("text").alias("h")), "h", ["doc_id"]),
@@ -192,13 +193,15 @@ simple("q05_cosine_top", lambda t: _vectors(t, lambda: F.round(search.dot(F.col(
        "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (" + _PAIRS.format(score="list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])") + ") QUALIFY rank <= 5")
 
 
-@query("q06_tfidf_top", """WITH d AS (SELECT doc_id, text FROM documents), p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS term FROM d), tf AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL),
+@query("q06_tfidf_top", """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS x FROM documents), o AS (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM d),
+  p AS (SELECT doc_id, x[i] AS term FROM o UNION ALL SELECT doc_id, x[i] || ' ' || x[i + 1] FROM o WHERE i < len(x)), tf0 AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL),
+  tf AS (SELECT * FROM tf0 WHERE term IN (SELECT term FROM tf0 GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 200000)),
   n AS (SELECT count(*) AS n FROM d), f AS (SELECT term, count(*) AS df FROM tf GROUP BY term), w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN f USING (term), n),
   v AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
-  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.doc_id AS query, v.doc_id, round(sum(q.weight * v.weight), 6) AS score FROM v JOIN v q USING (term) WHERE q.doc_id IN (0, 50, 100) GROUP BY ALL) QUALIFY rank <= 5""")
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.doc_id AS query, v.doc_id, round(sum(q.weight * v.weight), 6) AS score FROM v JOIN v q USING (term) WHERE q.doc_id % 50 = 0 GROUP BY ALL) QUALIFY rank <= 5""")
 def _(t: Tables) -> DataFrame:
     v = search.tfidf_vectors(t.documents, "doc_id", "text")
-    asked = v.where("doc_id IN (0, 50, 100)").withColumnRenamed("doc_id", "query")
+    asked = v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query")
     return search.tfidf_top(v, asked, "doc_id", "query", 5)
 
 
@@ -208,13 +211,17 @@ simple("q07_match_phrase", lambda t: search.match_phrase(search.postings(t.docum
 simple("q07_prefix_and_not", lambda t: search.match_prefix_not(search.postings(t.documents, "doc_id", "text"), "doc_id", "onth", "the"), _INDEX + "SELECT DISTINCT doc_id FROM p WHERE term LIKE 'onth%' AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'the')")
 
 
-@query("q08_hybrid", f"""WITH k AS (SELECT doc_id, score {_ORDERED}), r AS (SELECT doc_id, 0 AS src, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM k UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY n_chars DESC, doc_id) FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20))
+@query("q08_hybrid", f"""WITH k AS (SELECT doc_id, score {_ORDERED}), a AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+  v AS (SELECT vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings, a ORDER BY score DESC, vec_id LIMIT 20),
+  r AS (SELECT doc_id, 0 AS src, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM k UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) FROM v)
   SELECT doc_id, src, pos FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY src, pos) = 1""")
 def _(t: Tables) -> DataFrame:
+    base = t.embeddings.select("vec_id", "embedding")
+    asked = base.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    cosine = F.round(search.dot(F.col("embedding"), F.col("q")) / F.sqrt(search.dot(F.col("embedding"), F.col("embedding")) * search.dot(F.col("q"), F.col("q"))), 5)
+    near = search.vector_top(base, asked, cosine, 20, ascending=False).select(F.col("vec_id").alias("doc_id"), F.col("rank").alias("pos"))
     words = search.keyword_top(t.documents, "doc_id", "text", "th", 20).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
-    longest = t.documents.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(20).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
-    both = words.select("doc_id", F.lit(0).alias("src"), "pos").unionByName(longest.select("doc_id", F.lit(1).alias("src"), "pos"))
-    return both.groupBy("doc_id").agg(F.min(F.struct("src", "pos")).alias("r")).select("doc_id", "r.*")
+    return search.fused(words, near, "doc_id")
 
 
 simple("q09_context", lambda t: t.files.orderBy("doc_id").limit(8).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.lit("["), "basename", F.lit("] "), F.left("text", F.lit(4000))).alias("s")))), lambda r: r["s"]), "\n").alias("context")).select(F.md5("context").alias("md5"), F.length("context").alias("length")),
@@ -264,8 +271,9 @@ simple("n07_task_queue", lambda t: t.events.where(F.col("event_type").isin("clic
        "SELECT event_id, 'queued' AS status, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS queued_at FROM events WHERE event_type IN ('click', 'purchase', 'view')")
 simple("n08_flag_symbols", lambda t: t.labels.select("doc_id", F.when(F.col("toxic") == 1, "!").otherwise("ok").alias("symbol")), "SELECT doc_id, CASE WHEN toxic = 1 THEN '!' ELSE 'ok' END AS symbol FROM labels")
 simple("f05_rules_as_data", lambda t: t.documents.select("doc_id", "text").join(F.broadcast(_rules(t))).where(F.expr("text RLIKE pattern")).groupBy("rule_id").agg(F.count("*").alias("hits")), f"SELECT rule_id, count(*) AS hits FROM documents, {_RULES_SQL} WHERE regexp_matches(text, pattern) GROUP BY rule_id")
-simple("d01_exhibit_letters", lambda t: t.files.orderBy("path", "doc_id").limit(702).withColumn("n", F.row_number().over(Window.orderBy("path", "doc_id"))).select("doc_id", c.letters(F.col("n")).alias("label")),
-       FILES + "SELECT doc_id, CASE WHEN n <= 26 THEN chr((64 + n)::INT) ELSE chr((64 + (n - 1) // 26)::INT) || chr((65 + (n - 1) % 26)::INT) END AS label FROM (SELECT doc_id, row_number() OVER (ORDER BY path, doc_id) AS n FROM files) WHERE n <= 702")
+_LETTERS = " || ".join(f"CASE WHEN n >= {sum(26**i for i in range(k + 1))} THEN chr((65 + (n - {sum(26**i for i in range(k + 1))}) // {26**k} % 26)::INT) ELSE '' END" for k in range(6, -1, -1))
+simple("d01_exhibit_letters", lambda t: dedupe.numbered(t.files.select("path", "doc_id"), ["path", "doc_id"], "n").select("doc_id", c.letters(F.col("n")).alias("label")),
+       FILES + f"SELECT doc_id, {_LETTERS} AS label FROM (SELECT doc_id, row_number() OVER (ORDER BY path, doc_id) AS n FROM files)")
 simple("d02_exhibit_references", lambda t: t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{4,}"), F.lit(0)))).alias("reference")).join(t.part.select(F.col("p_partkey").cast("string").alias("reference"), "p_name"), "reference", "left").select("doc_id", "reference", F.col("p_name").isNull().alias("missing")),
        "SELECT doc_id, reference, p_name IS NULL AS missing FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{4,}'))) AS reference FROM documents) LEFT JOIN (SELECT p_partkey::VARCHAR AS reference, p_name FROM part) USING (reference)")
 simple("d03_required_blocks", lambda t: t.documents.select("doc_id", F.concat_ws(",", *(F.when(~F.col("text").rlike(p), F.lit(n)) for n, p in (("mark", "[.]"), ("the", r"\bthe\b"), ("line", "\n")))).alias("missing")),
@@ -279,11 +287,15 @@ simple("d05_incidents", lambda t: _hits(t).groupBy("source", "rule_id").agg(F.co
 # Python batches and streams
 simple("t02_secret_matches", lambda t: udfs.secret_matches(t.documents, "doc_id", "text").groupBy("doc_id", "rule").agg(F.count("*").alias("n")),
        "SELECT doc_id, rule, n FROM (SELECT doc_id, 'token' AS rule, len(regexp_extract_all(text, 'token = \"[0-9a-f]{40}\"')) AS n FROM documents UNION ALL SELECT doc_id, 'password', len(regexp_extract_all(text, 'password=[0-9a-z]+')) FROM documents UNION ALL SELECT doc_id, 'key', len(regexp_extract_all(text, 'AKIA[0-9A-Z]{16}')) FROM documents) WHERE n > 0")
-simple("p22_json_sniff", lambda t: t.events.select("event_id", udfs.json_sniffer()("props").alias("s")).select("event_id", "s.mode", F.array_join("s.keys", ",").alias("keys")),
-       "SELECT event_id, 'object' AS mode, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events")
+_JSON = "CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '' WHEN 2 THEN '[' || props || ']' WHEN 3 THEN props || chr(10) || props WHEN 4 THEN CAST(event_id AS VARCHAR(20)) ELSE '{' || props END"
+simple("p22_json_sniff", lambda t: t.events.select("event_id", udfs.json_sniffer()(F.expr(_JSON)).alias("s")).select("event_id", "s.mode", F.array_join("s.keys", ",").alias("keys")),
+       "SELECT event_id, (['object', 'empty', 'array', 'jsonl', 'scalar', 'unparseable'])[event_id % 6 + 1] AS mode, CASE WHEN event_id % 6 IN (0, 2, 3) THEN array_to_string(list_sort(json_keys(props)), ',') ELSE '' END AS keys FROM events")
 query("p20_fuzzy_names")(lambda t: t.part.select("p_partkey", udfs.fuzzy("steel")("p_name").alias("ratio")))
-query("f02_embedding")(lambda t: t.benchmark.select("item_id", udfs.embedder(udfs.hashing_model)("text").alias("vector")))
-simple("n05_validation", lambda t: t.events.select("event_id", F.array_join(payloads.issues(F.col("props"), ["nothing"]), ",").alias("issues")), "SELECT event_id, 'missing nothing' AS issues FROM events")
+simple("f02_embedding", lambda t: t.benchmark.select("item_id", F.posexplode(udfs.embedder(udfs.hashing_model)("text")).alias("place", "weight")).where("weight != 0").select("item_id", "place", F.round(F.col("weight").cast("double"), 4).alias("weight")),
+       r"WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS word FROM benchmark), n AS (SELECT item_id, (('0x' || substr(md5(word), 1, 8))::BIGINT % 32)::INT AS place, count(*) AS n FROM w GROUP BY ALL) SELECT item_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 4) AS weight FROM n")
+_CASE = "CASE event_id % 5 WHEN 0 THEN '{\"id\": 1, \"at\": \"' || event_type || '\", \"tags\": [\"a\"]}' WHEN 1 THEN '{\"at\": \"2024-01-01\", \"tags\": 3}' WHEN 2 THEN event_type WHEN 3 THEN '{\"id\": 2, \"tags\": []}' ELSE '{}' END"
+simple("n05_validation", lambda t: t.events.select("event_id", F.array_join(payloads.issues(F.expr(_CASE), ["id"], ["at"], ["tags"]), ",").alias("issues")),
+       "SELECT event_id, (['not a date at', 'missing id,not a list tags', 'not JSON', '', 'missing id'])[event_id % 5 + 1] AS issues FROM events")
 simple("n11_snapshot_diff", lambda t: payloads.snapshot_diff(t.files.where("doc_id % 3 != 0").select("path", F.sha2("text", 256).alias("sha256")), t.files.where("doc_id % 5 != 0").select("path", F.sha2(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")), 256).alias("sha256"))),
        FILES + "SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'added' WHEN doc_id % 5 = 0 THEN 'removed' ELSE 'changed' END AS change FROM files WHERE NOT (doc_id % 3 = 0 AND doc_id % 5 = 0) AND (doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 7 = 0)")
 
@@ -304,3 +316,39 @@ def _streamed(t: Tables, name: str, build, mode: str = "append") -> DataFrame:
 
 simple("x04_first_wins_stream", lambda t: _streamed(t, "documents", lambda s: jobs.first_wins(s, "text").select("sha256")), "SELECT DISTINCT sha256(text) AS sha256 FROM documents")
 simple("x06_counters_stream", lambda t: _streamed(t, "events", lambda s: jobs.counters(s, "event_type"), "complete"), "SELECT event_type, count(*) AS count FROM events GROUP BY 1")
+
+
+# Text by type, ledgers, manifests and names
+simple("s14_text_by_type", lambda t: extract.extracted(t.files.withColumnRenamed("text", "body").withColumn("content", F.col("body").cast("binary")), "basename", "content", {k: v for k, v in extract.BY_TYPE.items() if k != ".docx"}).select("doc_id", "status", F.md5("text").alias("md5")),
+       FILES + r"""SELECT doc_id, CASE WHEN t IS NULL THEN 'unsupported' WHEN trim(t) = '' THEN 'empty' ELSE 'done' END AS status, md5(t) AS md5 FROM (SELECT doc_id, CASE WHEN lower(ext) IN ('.txt', '.csv', '.json', '.py') THEN text WHEN ext = '.html' THEN trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) END AS t FROM files)""")
+simple("k15_ledger_lines", lambda t: sinks.decoded_rows(t.labels.select("doc_id", F.format_string('["q%d", "t%d"]', "quality", "toxic").alias("tags")), {"tags": "array<string>"}),
+       """SELECT '{"doc_id":' || doc_id || ',"tags":["q' || quality || '","t' || toxic || '"]}' AS line FROM labels""")
+_MODULES = FILES + ", m AS (SELECT DISTINCT path, CASE WHEN doc_id % 3 <> 0 THEN lang END AS legal_function, CASE WHEN doc_id % 4 = 0 THEN ['/none'] ELSE [] END AS dependencies FROM files WHERE doc_id % 2 = 0)"
+
+
+def _modules(t: Tables) -> DataFrame:
+    needs = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("/none")))
+    return t.files.where("doc_id % 2 = 0").select("path", F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("legal_function"), needs.alias("dependencies")).distinct()
+
+
+simple("n09_module_manifest", lambda t: payloads.module_manifest(_modules(t), t.files.where("doc_id % 5 != 0").select("path", F.sha2("text", 256).alias("sha256"))).withColumn("dependencies", F.array_join("dependencies", ",")),
+       _MODULES + "SELECT m.path, sha256(f.text) AS sha256, legal_function, array_to_string(dependencies, ',') AS dependencies FROM m LEFT JOIN (SELECT * FROM files WHERE doc_id % 5 <> 0) f ON f.path = m.path")
+simple("j07_manifest_faults", lambda t: payloads.manifest_faults(payloads.module_manifest(_modules(t), t.files.select("path", F.sha2("text", 256).alias("sha256"))), t.files.where("doc_id % 5 != 0").select("path", F.sha2(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")), 256).alias("sha256"))),
+       _MODULES + """, g AS (SELECT m.*, f.doc_id, f.text FROM m JOIN files f ON f.path = m.path) SELECT path, unnest(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'missing' END, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 = 0 AND text <> '' THEN 'changed' END, CASE WHEN legal_function IS NULL THEN 'no function' END, CASE WHEN len(dependencies) > 0 THEN 'needs /none' END], lambda x: x IS NOT NULL)) AS fault FROM g""")
+simple("n10_listing_manifest", lambda t: dedupe.numbered(t.files.select("path", "bytes"), ["path", "bytes"], "n"), FILES + "SELECT path, bytes, row_number() OVER (ORDER BY path, bytes) AS n FROM files")
+simple("w04_free_names", lambda t: plans.free_names(t.part.select("p_partkey", F.col("p_brand").alias("folder"), F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".pdf")).alias("name")), t.part.limit(0).select(F.col("p_brand").alias("folder"), F.col("p_type").alias("name")), ["p_partkey"]).select("p_partkey", "final"),
+       "SELECT p_partkey, CASE WHEN n = 0 THEN name || '.pdf' ELSE name || ' (' || n || ').pdf' END AS final FROM (SELECT p_partkey, replace(p_type, ' ', '_') AS name, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS n FROM part)")
+
+
+def _passes(t: Tables) -> DataFrame:
+    """The ids of a table, catalogued in passes of one batch each until nothing is left."""
+    import uuid
+
+    base = f"{shared_dir(t.spark)}/passes-{uuid.uuid4().hex}"
+    keep = lambda batch, n: batch.select("event_id").write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+    while jobs.daemon_step(t.stream("events", t.events.schema), keep, f"{base}/state", f"{base}/ledger"):
+        pass
+    return t.spark.read.parquet(f"{base}/out").select("event_id")
+
+
+simple("x02_budgeted_passes", _passes, "SELECT event_id FROM events")

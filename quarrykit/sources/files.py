@@ -45,7 +45,9 @@ def scan_files(spark: SparkSession, roots: Sequence[str], extensions: Sequence[s
         found = found.where(F.lower(F.regexp_extract("path", r"[^./](\.[^./]+)$", 1)).isin([e.lower() for e in extensions]))
     label = F.lit(None).cast("string")
     for root in sorted(there, key=len):  # the longest prefix wins
-        label = F.when(F.col("path").contains(root.rstrip("/") + "/"), F.lit(root)).otherwise(label)
+        path = hadoop.Path(root)
+        whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        label = F.when(F.col("path").startswith(whole.rstrip("/") + "/"), F.lit(root)).otherwise(label)
     return found.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("bytes"), label.alias("root"), *(["content"] if content else []))
 
 
@@ -111,6 +113,9 @@ def matching(df: DataFrame, prefix: tuple[str, str], needle: str) -> DataFrame:
 
 
 def decoded(content: Column, limit: int) -> Column:
-    """Text of the first ``limit`` bytes: UTF-8 where it is valid, or else Latin-1."""
+    """Text of the first ``limit`` bytes: UTF-8 where it is valid, but for a character that the limit cuts, or else Windows-1252."""
     cut = F.substring(content, 1, limit)
-    return F.coalesce(F.try_validate_utf8(cut.cast("string")), F.decode(cut, "iso-8859-1"))
+    whole = [F.when(F.octet_length(content) > limit, F.try_validate_utf8(F.substring(content, 1, limit - n).cast("string"))) for n in (1, 2, 3)]
+    high = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+    single = F.translate(F.decode(cut, "iso-8859-1"), "".join(high), "".join(high.values()))
+    return F.coalesce(F.try_validate_utf8(cut.cast("string")), *whole, single)

@@ -56,3 +56,13 @@ def run_manifest(df: DataFrame, added: str, at: str) -> DataFrame:
     """One row: how many were added and skipped, and the seconds between the first and the last."""
     seconds = F.max(at).cast("double") - F.min(at).cast("double")
     return df.agg(F.count_if(F.col(added)).alias("added"), F.count_if(~F.col(added)).alias("skipped"), F.coalesce(seconds, F.lit(0.0)).alias("seconds"))
+
+
+def decoded_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(line): rows as JSON lines, with text columns that hold JSON decoded by their schemas; what can't be decoded is null."""
+    return df.select(F.to_json(F.struct(*(F.from_json(c, columns[c]).alias(c) if c in columns else F.col(c) for c in df.columns)), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def write_ledger_lines(df: DataFrame, columns: dict[str, str], path: str, order: Sequence[str]) -> None:
+    """decoded_rows() as a text file of JSON lines, in order."""
+    decoded_rows(df.orderBy(*order), columns).write.text(path)

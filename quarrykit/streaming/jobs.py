@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quarrykit.operators import dedupe
+from quarrykit.sources.sinks import append_ledger
+
+#: Versions of a catalogue that stay.
+KEPT = 2
 
 
 def _finished(query: StreamingQuery) -> None:
@@ -39,9 +43,65 @@ def catalogue(stream: DataFrame, table: str, checkpoint: str, key: str, version:
             before, found = latest(spark, hits, number), rules(newest)
             (found if before is None else dedupe.replace_children(before, newest, found, key)).write.mode("overwrite").parquet(f"{hits}/v{number:09d}")
 
+        for old_table in (table, hits) if rules is not None else (table,):
+            forget(spark, old_table, number, KEPT)
+
     _finished(stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def forget(spark: SparkSession, table: str, number: int, kept: int) -> None:
+    """Delete the versions of a table but the last few; a batch that runs twice needs the one before it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(table)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    for name in [n for n in names if n.startswith("v") and n <= f"v{number:09d}"][:-kept]:
+        fs.delete(hadoop.Path(path, name), True)
+
+
+def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", most_files: int = 800) -> DataFrame:
+    """A stream of the files of a folder, of which a batch takes ``most_files`` at most."""
+    return spark.readStream.schema(schema).format(kind).option("maxFilesPerTrigger", most_files).load(path)
+
+
+def budgeted_pass(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, batches: int = 1, wait: float = 300.0) -> int:
+    """Work on ``batches`` batches at most, then stop; the next pass goes on where this one ended. Returns how many it did.
+
+    The stream sets the size of a batch. Nothing new, or ``wait`` seconds
+    without a batch, ends the pass too.
+    """
+    done: list[int] = []
+
+    def one(batch: DataFrame, number: int) -> None:
+        if len(done) < batches:
+            work(batch, number)
+            done.append(number)
+        else:
+            raise _Spent
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination(wait)
+    except Exception:  # noqa: BLE001  the batch beyond the budget ends the query on purpose; all else is raised again
+        if len(done) < batches:
+            raise
+    finally:
+        if query.isActive:
+            query.stop()
+    return len(done)
+
+
+class _Spent(Exception):
+    """A pass has done what its budget allows."""
+
+
+def daemon_step(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, ledger: str, batches: int = 1) -> int:
+    """One step of a service: a budgeted pass, and a line of the ledger that says how many batches it did. What calls it again is a scheduler's job."""
+    done = budgeted_pass(stream, work, checkpoint, batches)
+    append_ledger(stream.sparkSession.range(1).select(F.lit(done).alias("batches")), "pass", ["batches"], ledger)
+    return done
+
+
 def latest(spark: SparkSession, table: str, before: int = 10**9) -> DataFrame | None:
     """The last version of a table below a number."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -57,8 +117,11 @@ def latest(spark: SparkSession, table: str, before: int = 10**9) -> DataFrame |
 class KeepOldest(StatefulProcessor):
     """State of a key: its oldest row so far. A later but older row takes its place; each loser is put out with the winner of then."""
 
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.winner = handle.getValueState("winner", "age timestamp, id long")
+        self.winner = handle.getValueState("winner", "age timestamp, id long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.winner.get() if self.winner.exists() else None
@@ -81,14 +144,19 @@ class KeepOldest(StatefulProcessor):
         pass
 
 
-def keep_oldest_stream(stream: DataFrame) -> DataFrame:
-    """(key, loser, winner) of a stream of (key string, age timestamp, id long). Needs the RocksDB state store."""
-    return stream.groupBy("key").transformWithStateInPandas(KeepOldest(), "key string, loser long, winner long", "append", "None")
+def keep_oldest_stream(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """(key, loser, winner) of a stream of (key string, age timestamp, id long). Needs the RocksDB state store.
+
+    A key that nothing came for in ``ttl_ms`` is forgotten; without it the state
+    holds a row for each key for good.
+    """
+    return stream.groupBy("key").transformWithStateInPandas(KeepOldest(ttl_ms), "key string, loser long, winner long", "append", "None" if ttl_ms is None else "ProcessingTime")
 
 
-def first_wins(stream: DataFrame, text: str) -> DataFrame:
-    """The first row of each content digest."""
-    return stream.withColumn("sha256", F.sha2(text, 256)).dropDuplicates(["sha256"])
+def first_wins(stream: DataFrame, text: str, time: str | None = None, within: str = "7 days") -> DataFrame:
+    """The first row of each content digest; with a ``time`` column, digests are forgotten once it is ``within`` behind, and the state is bounded."""
+    hashed = stream.withColumn("sha256", F.sha2(text, 256))
+    return hashed.dropDuplicates(["sha256"]) if time is None else hashed.withWatermark(time, within).dropDuplicatesWithinWatermark(["sha256"])
 
 
 def counters(stream: DataFrame, event: str) -> DataFrame:

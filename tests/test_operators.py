@@ -239,3 +239,100 @@ def test_context_budget_of_short_documents(spark, tmp_path):
             kept.append(i)
         before += 0 if i % 10 == 0 else 20
     assert got == kept and len(kept) > 200
+
+
+@pytest.mark.parametrize(("n", "text"), [(625280, "610.62 KB"), (1152, "1.12 KB"), (1, "1.00 B"), (3 * 2**40, "3.00 TB")])
+def test_human_size_halves_go_to_even(spark, n, text):
+    assert one(spark, n, "long", c.human_size) == text
+
+
+def test_decoded_cuts_no_character(spark):
+    at = lambda data, n: one(spark, bytearray(data), "binary", lambda x: src.decoded(x, n))
+    assert at("éééé..".encode(), 5) == "éé"
+    assert at("aé".encode(), 100) == "aé"
+    assert at("a€".encode(), 3) == "a"
+    assert at(b"\x93x\x94 \xe9", 100) == "“x” é"
+    assert at(b"", 5) == ""
+
+
+def test_members_that_cannot_be_read(spark):
+    import tarfile
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", b"plain")
+        z.writestr("b.txt", b"locked")
+    raw = bytearray(packed.getvalue())
+    for mark, flag in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        raw[raw.rindex(mark) + flag] |= 1  # b.txt is marked as encrypted
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:gz") as t:
+        for name in ("d/x.txt", "../bad"):
+            info = tarfile.TarInfo(name)
+            info.size = 2
+            t.addfile(info, io.BytesIO(b"hi"))
+    files = spark.createDataFrame([("z", raw), ("t", bytearray(tar.getvalue())), ("broken", bytearray(b"no")), ("none", None)], "path string, content binary")
+    got = {r.member: (r.content and bytes(r.content), bool(r.error)) for r in archives.zip_members(files.where("path != 't'"), content=True).collect()}
+    assert got == {"a.txt": (b"plain", False), "b.txt": (None, True)}
+    assert [(r.member, bytes(r.content)) for r in archives.tar_members(files.where("path != 'z'"), content=True).collect()] == [("d/x.txt", b"hi")]
+    assert archives.zip_members(files.where("path = 'z'"), content=True, most_bytes=2).where("error = 'too long'").count() == 2
+
+
+def test_below_ends_in_cycles_and_walks_each_node_once(spark):
+    parents = spark.createDataFrame([(2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (1, 5), (9, None)], "id long, parent long")
+    assert rows(graph.below(parents, 1, 10), "id") == [1, 2, 3, 4, 5]
+    assert rows(graph.below(parents, 1, 2), "id") == [2, 3, 4]
+    assert graph.below(parents, 77, 5).count() == 0
+
+
+@pytest.mark.parametrize(("n", "label"), [(702, "ZZ"), (703, "AAA"), (18278, "ZZZ"), (18279, "AAAA"), (26**8, "YYYYYYYZ")])
+def test_letters_have_no_end(spark, n, label):
+    assert one(spark, n, "long", c.letters) == label
+
+
+def test_partial_ratio_against_subsequences():
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(4)
+    texts = ["", "a", "é😀b", *("".join(rng.choices("abcé ", k=rng.randrange(14))) for _ in range(60))]
+    for needle in ("abc", "é b", "cab ac"):
+        n = len(needle)
+        expected = [max(round(200 * common(needle, t[i : i + n]) / (n + min(n, len(t)))) for i in range(max(1, len(t) - n + 1))) if t else 0 for t in texts]
+        assert udfs.partial_ratios(needle, texts).tolist() == expected
+
+
+def test_passes_stop_at_their_budget_and_go_on(spark, tmp_path):
+    for i in range(5):
+        spark.range(i, i + 1).coalesce(1).write.parquet(f"{tmp_path}/in/part{i}")
+    seen = []
+    stream = lambda: jobs.file_stream(spark, f"{tmp_path}/in/*", "id long", most_files=2)
+    work = lambda batch, n: seen.extend(r.id for r in batch.collect())
+    assert jobs.budgeted_pass(stream(), work, f"{tmp_path}/state", batches=1) == 1
+    assert len(seen) == 2
+    while jobs.daemon_step(stream(), work, f"{tmp_path}/state", f"{tmp_path}/ledger"):
+        pass
+    assert sorted(seen) == [0, 1, 2, 3, 4]
+    assert sinks.read_ledger(spark, f"{tmp_path}/ledger").count() == 3
+
+
+def test_text_by_type(spark):
+    from quarrykit.sources import extract
+
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("word/document.xml", "<w:p><w:r><w:t>One &amp; two</w:t></w:r></w:p><w:p><w:t xml:space='preserve'>three</w:t></w:p>")
+    page = b"<html><script>x</script><p>Hi <b>you</b></p></html>"
+    files = spark.createDataFrame([("a.DOCX", bytearray(packed.getvalue())), ("b.html", bytearray(page)), ("c.txt", bytearray(b" ")), ("d.bin", bytearray(b"x")), ("e.docx", bytearray(b"x")), ("f.md", None)], "name string, content binary")
+    got = {r.name: (r.status, r.text) for r in extract.extracted(files, "name", "content").collect()}
+    assert got == {"a.DOCX": ("done", "One & two\nthree"), "b.html": ("done", "Hi you"), "c.txt": ("empty", " "), "d.bin": ("unsupported", None), "e.docx": ("failed", None), "f.md": ("failed", None)}
+
+
+def test_duplicates_as_rows(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None), (5, "y")], "id long, h string")
+    assert rows(dedupe.duplicate_members(df, "h", "id"), "first", "member") == [(1, 1), (1, 2), (3, 3), (3, 4)]
