@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm import scan
+from quarrykit.llm.store import bounded
 
 SIZE = 2048
 CENTROIDS = 4
@@ -134,13 +135,14 @@ def _predicted(model):
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def identify_language(docs: DataFrame, train: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row of docs(doc_id, text).
 
-    Document frequencies come from all of train(doc_id, text, lang); centroids
+    Document frequencies come from all of train(doc_id, text, lang), where a row
+    without a doc_id only counts for these; centroids
     from about EACH rows of every language, chosen by a hash of doc_id, in a task
     for each language. score is the cosine to the nearest centroid. Null text, or text
     without a letter, gets ``und`` and 0, as does all text if nothing can be
@@ -155,8 +157,10 @@ def identify_language(docs: DataFrame, train: DataFrame) -> DataFrame:
     idf = np.log((1 + n) / (1 + np.array([frequency.get(i, 0) for i in range(SIZE)], np.float64))) + 1
     idf = idf.astype(np.float32)
     shared = spark.sparkContext.broadcast(idf)
+    # Ids are drawn before any text moves, and the few that are drawn are taken to the texts.
     share = train.groupBy("lang").agg((F.lit(EACH * 2**20) / F.count("*")).alias("share"))
-    drawn = train.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < F.col("share")).select("lang", "text")
+    ids = train.select("doc_id", "lang").join(bounded(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < F.col("share")).select("doc_id").distinct()
+    drawn = train.join(bounded(ids), "doc_id", "left_semi").select("lang", "text")
     learned = drawn.mapInArrow(_sampled(shared), "lang string, vector binary").groupBy("lang").applyInArrow(_learned, "lang string, centres binary, least double")
     names, centres, owner, limits = [], [], [], []
     for r in sorted(learned.collect(), key=lambda r: r.lang):

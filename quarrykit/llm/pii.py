@@ -1,14 +1,16 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-Tokens without a digit or an at sign are always outside, so a text falls into
-runs of other tokens that decode on their own; runs of equal length are decoded
-together. The field is trained on a small labelled table and only adds spans:
-those of the patterns stay.
+Tokens further than NEAR from one with a digit or a sign of an address are always
+outside, so a text falls into runs that decode on their own; runs of equal
+length are decoded together. The field is trained on a small labelled table of
+phrases, most of which the patterns miss, and only adds spans: those of the
+patterns stay.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,17 +30,22 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Documents with digits that the labelled table is made from at most.
-LABELLED = 1500
-FEATURES = 1 << 12
+#: Kinds that the field knows: also keys and passwords.
+FIELD_KINDS = (*KINDS, "secret")
+#: Phrases of the labelled table.
+LABELLED = 1600
+FEATURES = 1 << 13
 #: Outside, then the first and the following tokens of each kind.
-STATES = 1 + 2 * len(KINDS)
-#: Tokens of a labelled run at most; longer runs are cut. Decoding cuts nothing.
-RUN = 40
+STATES = 1 + 2 * len(FIELD_KINDS)
+#: Tokens on either side of a telling one that decode with it.
+NEAR = 3
 
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_TOKEN = re.compile(r"\S+")
+_TELLING = re.compile(r"[0-9@]|[(\[{<](?:at|dot)[)\]}>]|(?:pass|secret|token|key)\S*\s*[=:]", re.I)
 _DIGITS = re.compile(r"[0-9]")
-_SHAPES = ((re.compile("[0-9]+"), "9"), (re.compile("[A-Z]+"), "A"), (re.compile(r"[^\W\d_A-Z]+"), "a"))
+_SHAPES = ((re.compile("[0-9]+"), "9"), (re.compile("[A-Z]+"), "A"), (re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"(?:9a){2,}9?|(?:a9){2,}a?|(?:9A){2,}9?|(?:A9){2,}A?"), "x"))
+#: What may stand around a span without being of it.
+_EDGE = ".,;:!?\"'<>[]{}|#*$%&=`"
 
 Span = tuple[int, int, str]
 
@@ -74,46 +81,101 @@ def joined(spans: list[Span]) -> str:
 
 
 def runs_of(text: str) -> list[list[tuple[int, int]]]:
-    """Maximal runs of neighbouring tokens that hold a digit or an at sign."""
+    """Maximal runs of tokens, NEAR at most from a telling one, within lines."""
+    if not _TELLING.search(text):
+        return []
     runs: list[list[tuple[int, int]]] = []
-    for m in _TOKEN.finditer(text):
-        if runs and not text[runs[-1][-1][1] : m.start()].strip(" \t") and "\n" not in text[runs[-1][-1][1] : m.start()]:
-            runs[-1].append(m.span())
-        else:
-            runs.append([m.span()])
+    at = 0
+    for line in text.split("\n"):
+        if _TELLING.search(line):
+            tokens = [(at + m.start(), at + m.end()) for m in _TOKEN.finditer(line)]
+            telling = {i for i, (a, b) in enumerate(tokens) if _TELLING.search(text, a, b)}
+            telling |= {i for i in range(len(tokens) - 1) if _TELLING.search(text[tokens[i][0] : tokens[i + 1][1]])}
+            wanted = sorted({j for i in telling for j in range(max(0, i - NEAR), min(len(tokens), i + NEAR + 1))})
+            for n, j in enumerate(wanted):
+                if n and wanted[n - 1] == j - 1:
+                    runs[-1].append(tokens[j])
+                else:
+                    runs.append([tokens[j]])
+        at += len(line) + 1
     return runs
 
 
 def _shape(token: str) -> str:
     for pattern, sign in _SHAPES:
         token = pattern.sub(sign, token)
-    return token[:24]
+    return token
 
 
 def _features(tokens: list[str]) -> list[list[int]]:
-    shapes = ["^", *map(_shape, tokens), "$"]
+    cores = [t.strip(_EDGE) for t in tokens]
+    shapes = ["^", *map(_shape, cores), "$"]
+    low = ["^", *(c.lower() if c.isalpha() and len(c) < 12 else "-" for c in cores), "$"]
     out = []
-    for i, token in enumerate(tokens, 1):
-        digits = len(_DIGITS.findall(token))
+    for i, (token, core) in enumerate(zip(tokens, cores, strict=True), 1):
+        digits = len(_DIGITS.findall(core))
+        size = min(len(core), 24) // 4
+        hexed = len(core) >= 16 and not core.strip("0123456789abcdefABCDEF")
         names = [
-            "s" + shapes[i], "p" + shapes[i - 1], "n" + shapes[i + 1], f"d{min(digits, 20)}", f"m{'@' in token}{token.count('.')}", f"b{shapes[i][:2]}", f"t{shapes[i]}|{min(digits, 20)}",
+            f"s{shapes[i]}", f"p{shapes[i - 1]}|{shapes[i]}", f"n{shapes[i]}|{shapes[i + 1]}", f"d{min(digits, 20)}|{len(core) == digits}", f"w{low[i]}", f"v{low[i - 1]}", f"u{low[i + 1]}",
+            f"m{'@' in core}{core.count('.')}{core[:1] == '+'}{'=' in token}", f"l{size}|{hexed}", f"e{token[:1]}|{token[-1:]}", f"q{low[i - 2] if i > 1 else '^'}|{shapes[i - 1]}",
         ]
         out.append([zlib.crc32(x.encode()) % FEATURES for x in names])
     return out
 
 
-def labelled_runs(text: str) -> Iterator[tuple[list[list[int]], list[int]]]:
-    """Features and states of a text's runs, by its base spans; a token in two spans takes the first."""
-    spans = base_spans(text)
-    for run in runs_of(text):
-        states, before = [], None
-        for a, b in run:
-            own = next((s for s in spans if s[0] < b and s[1] > a), None)
-            states.append(0 if own is None else 1 + 2 * KINDS.index(own[2]) + (own == before))
-            before = own
-        features = _features([text[a:b] for a, b in run])
-        for i in range(0, len(run), RUN):
-            yield features[i : i + RUN], states[i : i + RUN]
+def _number(rng: random.Random, n: int) -> str:
+    return "".join(rng.choices("0123456789", k=n))
+
+
+def _word(rng: random.Random) -> str:
+    return "".join(rng.choices(("an", "er", "lo", "mi", "sta", "ou", "ver", "que", "th", "en"), k=rng.randint(1, 3)))
+
+
+def _positive(rng: random.Random, kind: str) -> str:
+    """Personal data as it is written, mostly in ways that the fixed patterns miss."""
+    d, w = (lambda n: _number(rng, n)), (lambda: _word(rng))
+    if kind == "email":
+        at, dot = rng.choice([(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("@", "."), (" at ", " dot ")][: 4 if rng.random() < 0.9 else 5])
+        return f"{w()}.{w()}{at}{w()}{dot}{rng.choice(['example', 'mail'])}{dot}com" if rng.random() < 0.5 else f"{w()}{d(2)}{at}{w()}{dot}com"
+    if kind == "ip":
+        parts = [str(rng.randrange(256)) for _ in range(4)]
+        return rng.choice([".".join(parts), ":".join(f"{rng.randrange(65536):x}" for _ in range(8)), ".".join(parts) + f":{d(4)}"])
+    if kind == "card":
+        return rng.choice([d(16), " ".join(d(4) for _ in range(4)), "-".join(d(4) for _ in range(4)), d(15), d(19)])
+    if kind == "phone":
+        return rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(7)}", f"0{d(2)}/{d(8)}", f"+{d(2)} {d(3)} {d(7)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"{d(3)}.{d(3)}.{d(4)}"])
+    key = rng.choice(["token", "secret", "password", "api_key", "key", "passwd", "access_token"])
+    value = rng.choice(["".join(rng.choices("0123456789abcdef", k=rng.choice([32, 40, 64]))), "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMN23456789", k=rng.randint(8, 40))), "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))])
+    return f'{key} {rng.choice(["=", ":"])} \0"{value}"' if rng.random() < 0.7 else f"{key}{rng.choice(['=', ':'])} \0{value}"
+
+
+def _negative(rng: random.Random) -> str:
+    """Numbers and signs that are no personal data."""
+    d, w = (lambda n: _number(rng, n)), (lambda: _word(rng))
+    return rng.choice([
+        f"{rng.randrange(1900, 2100)}", f"20{d(2)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}", f"{rng.randrange(1, 29)}.{rng.randrange(1, 13)}.20{d(2)}", f"{rng.randrange(24)}:{d(2)}",
+        f"{rng.randrange(1, 99)},{d(3)}.{d(2)}", f"{d(2)} %", f"version {d(1)}.{d(1)}.", f"{d(1)}.{d(1)}.{d(2)}", f"page {d(3)}", f"pages {d(2)}-{d(2)}", f"no. {d(5)}", f"{d(2)} {d(3)}", f"{w()}{d(1)}",
+        f"at {d(2)} {w()}", f"CC BY-NC {d(1)}.{d(1)}.", f"section {d(1)}.{d(1)}.{d(1)}", f"({d(1)})", f"{d(3)} x {d(3)}", f"${d(4)}", "the key to", "a token of", f"key: {w()}", f"{d(6)}", f"{d(9)} {w()}", f"id {d(8)}",
+    ])
+
+
+def labelled_table(seed: int = 1, n: int = LABELLED) -> list[tuple[list[str], list[int]]]:
+    """Phrases with the state of each token: one case in plain words, and marks beside it as careless text has them."""
+    rng = random.Random(seed)
+    table = []
+    for _ in range(n):
+        kind = rng.choice([*FIELD_KINDS, None, None, None, None])
+        case = _negative(rng) if kind is None else _positive(rng, kind)
+        skipped, _, body = case.rpartition("\0")
+        before = [_word(rng) for _ in range(rng.randrange(4))] + skipped.split()
+        own = body.split()
+        own[-1] += rng.choice(["", "", "", ".", ",", "!!", "###", "$$$", "%%%", "***", "&&&"])
+        after = [_word(rng) + rng.choice(["", "", "."]) for _ in range(rng.randrange(4))]
+        first = 0 if kind is None else 1 + 2 * FIELD_KINDS.index(kind)
+        states = [0] * len(before) + [first] + [first + 1 if first else 0] * (len(own) - 1) + [0] * len(after)
+        table.append(([*before, *own, *after], states))
+    return table
 
 
 def _by_length(runs: list) -> Iterator[tuple[int, np.ndarray]]:
@@ -122,14 +184,14 @@ def _by_length(runs: list) -> Iterator[tuple[int, np.ndarray]]:
         yield int(n), np.flatnonzero(lengths == n)
 
 
-def train(table: list[tuple[list[list[int]], list[int]]], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def train(table: list[tuple[list[list[int]], list[int]]], rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Weights (feature x state) and transitions, by Adagrad on the conditional log-likelihood."""
     weight, move = np.zeros((FEATURES, STATES)), np.zeros((STATES, STATES))
     if not table:
         weight[:, 0] = 1.0
         return weight, move
     seen_w, seen_m = np.full_like(weight, 1e-8), np.full_like(move, 1e-8)
-    for n in range(len(KINDS)):
+    for n in range(len(FIELD_KINDS)):
         bad = 2 + 2 * n
         move[[s for s in range(STATES) if s not in (bad, bad - 1)], bad] = -20.0
     fixed = move <= -20
@@ -188,17 +250,28 @@ def viterbi(features: np.ndarray, weight: np.ndarray, move: np.ndarray) -> np.nd
 
 def _plausible(kind: str, found: str) -> bool:
     digits = len(_DIGITS.findall(found))
-    return {"email": "@" in found[1:-1], "ip": found.count(".") >= 3 and digits >= 4, "card": 14 <= digits <= 19, "phone": 10 <= digits <= 15}[kind]
+    if kind == "email":
+        return "@" in found[1:-1] or re.search(r"\bat\b", found, re.I) is not None
+    if kind == "ip":
+        return found.count(".") >= 3 or found.count(":") >= 4
+    return {"card": 14 <= digits <= 19, "phone": 9 <= digits <= 15, "secret": len(found) >= 8}[kind]
+
+
+def _core(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without what stands around it; a bracket goes if its other half isn't in the span."""
+    while a < b and (text[a] in _EDGE or text[a] == "(" and ")" not in text[a:b]):
+        a += 1
+    while a < b and (text[b - 1] in _EDGE or text[b - 1] == ")" and "(" not in text[a:b]):
+        b -= 1
+    return a, b
 
 
 def added_spans(texts: list[str], base: list[list[Span]], weight: np.ndarray, move: np.ndarray) -> list[list[Span]]:
     """Of each text the field's spans that are plausible for their kind and apart from the base spans."""
     runs, where = [], []
     for i, text in enumerate(texts):
-        for run in runs_of(text) if _DIGITS.search(text) or "@" in text else ():
-            # A run that base spans cover whole can add nothing.
-            if not all(any(a >= s[0] - 2 and b <= s[1] + 2 for s in base[i]) for a, b in run):
-                runs.append(run), where.append(i)
+        for run in runs_of(text):
+            runs.append(run), where.append(i)
     out: list[list[Span]] = [[] for _ in texts]
     features = [_features([texts[i][a:b] for a, b in run]) for run, i in zip(runs, where, strict=True)]
     for _, own in _by_length(features) if runs else ():
@@ -207,12 +280,9 @@ def added_spans(texts: list[str], base: list[list[Span]], weight: np.ndarray, mo
             begin = None
             for j, state in enumerate([*states, 0]):
                 if begin is not None and not (state and state % 2 == 0 and (state - 2) // 2 == kind):
-                    a, b = runs[at][begin][0], runs[at][j - 1][1]
-                    core = text[a:b].strip(".,;:!?\"'()[]<>")
-                    a += text[a:b].find(core) if core else 0
-                    b = a + len(core)
-                    if core and _plausible(KINDS[kind], core) and not any(s[0] < b and s[1] > a for s in spans):
-                        out[where[at]].append((a, b, KINDS[kind]))
+                    a, b = _core(text, runs[at][begin][0], runs[at][j - 1][1])
+                    if a < b and _plausible(FIELD_KINDS[kind], text[a:b]) and not any(s[0] < b and s[1] > a for s in spans):
+                        out[where[at]].append((a, b, FIELD_KINDS[kind]))
                     begin = None
                 if state % 2 == 1:
                     begin, kind = j, (state - 1) // 2
@@ -227,44 +297,33 @@ def _detected(model):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 base = [base_spans(t) if _DIGITS.search(t) or "@" in t else [] for t in texts]
                 more = added_spans(texts, base, weight, move)
-                every = [sorted(b + m, key=lambda s: (s[0], KINDS.index(s[2]))) for b, m in zip(base, more, strict=True)]
+                every = [sorted(b + m, key=lambda s: (s[0], FIELD_KINDS.index(s[2]))) for b, m in zip(base, more, strict=True)]
                 counts = [pa.array([sum(s[2] == k for s in b) for b in base], pa.int64()) for k in KINDS]
                 digests = [hashlib.sha256(joined(b).encode()).hexdigest() for b in base]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array([joined(x) for x in every], pa.string()), pa.array([len(m) for m in more], pa.int64())],
-                    ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+                    [part.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array([joined(x) for x in every], pa.string()), pa.array([len(m) for m in more], pa.int64()), pa.array([bool(x) for x in every], pa.bool_())],
+                    ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "found"],
                 )
 
     return run
 
 
-def labelled_table(docs: DataFrame) -> list[tuple[list[list[int]], list[int]]]:
-    """Labelled runs of LABELLED documents that hold digits or at signs, in the order of a hash."""
-    drawn = docs.where("doc_id IS NOT NULL AND text RLIKE '[0-9@]'").select("doc_id", F.xxhash64("doc_id").alias("h"))
-    drawn = drawn.orderBy("h", "doc_id").limit(LABELLED).select("doc_id").distinct()  # LABELLED numbers are broadcast at most
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [r for t in batch.column("text").to_pylist() for r in labelled_runs(t or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([str(r) for r in rows], pa.string())], ["run"])
-
-    from ast import literal_eval
-
-    return sorted(literal_eval(r.run) for r in texts.mapInArrow(run, "run string").distinct().collect())
+def trained() -> tuple[np.ndarray, np.ndarray]:
+    """The field's weights and transitions, from labelled_table()."""
+    return train([(_features(tokens), states) for tokens, states in labelled_table()])
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans, for every row of docs(doc_id, text).
 
     Spans are kind:start:end in code points, end exclusive, by start, then in the
-    order of KINDS. The field, trained on labelled_table(), adds spans that don't
-    overlap a base span and hold as many digits (or an at sign) as their kind
-    needs; n_added counts them.
+    order of FIELD_KINDS. The field, trained on labelled_table(), adds spans that
+    don't overlap a base span and are plausible for their kind; n_added counts
+    them, and found says that there is any span.
 
     Null or empty text has no spans. Null doc_ids and repeated rows are kept as
     rows of their own; other columns are ignored; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled_table(docs)))
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
+    model = docs.sparkSession.sparkContext.broadcast(trained())
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, found boolean"
     return docs.select("doc_id", "text").mapInArrow(_detected(model), schema)

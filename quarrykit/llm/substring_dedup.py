@@ -1,14 +1,17 @@
-"""Substring dedup by hashing the units of lines.
+"""Substring dedup by hashing the sentences of lines.
 
-A unit is a sentence of LEAST words, with any shorter ones before it in its
-line; whole lines are units as well. Units are normalised, their digests
-grouped globally, and all but the earliest ranked occurrence removed.
+A unit is a sentence, normalised; a line break ends one too. Digests of all units
+are grouped globally; a unit is repeated if its digest has an earlier ranked
+occurrence. Runs of neighbouring repeated units with enough words are removed,
+so that a long passage goes wherever its sentences are short, and a short line
+that many texts share stays. Offsets are of the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,99 +19,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm import scan
+from quarrykit.llm.store import written
 
-#: Words that a unit needs to be looked for elsewhere.
-LEAST = 8
+#: Words that a run of repeated units needs to be removed.
+LEAST = 25
 
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+", re.MULTILINE)
 
-UNITS = "doc_id long, start long, end long, digest binary"
-
-
-def units_of(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised text) of all units with enough words, in code points."""
-    at = 0
-    for line in text.split("\n"):
-        words = line.lower().split()
-        if len(words) >= LEAST:
-            whole = " ".join(words)
-            yield at, at + len(line), whole
-            begin, held = None, []
-            for m in _SENTENCE.finditer(line):
-                more = m.group().lower().split()
-                if not more:
-                    continue
-                begin = m.end() - len(m.group().lstrip()) if begin is None else begin
-                held += more
-                if len(more) >= LEAST and not (begin == 0 and m.end() == len(line)):
-                    yield at + begin, at + m.end(), " ".join(held)
-                if len(more) >= LEAST:
-                    begin, held = None, []
-        at += len(line) + 1
+UNITS = "doc_id long, key long, seq int, digest long"
+
+
+def units_of(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, normalised words) of all units in order, in code points."""
+    for m in _SENTENCE.finditer(text):
+        words = m.group().lower().split()
+        if words:
+            yield m.end() - len(m.group().lstrip()), m.end(), words
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in scan.slices(batch, "text", most_bytes=2 << 20, most_rows=500):
-            ids, starts, ends, digests = [], [], [], []
+            ids, keys, places, digests = [], [], [], []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 if doc_id is None or not text:
                     continue
-                for start, end, unit in units_of(text):
-                    ids.append(doc_id), starts.append(start), ends.append(end)
-                    digests.append(hashlib.blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=12).digest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(digests, pa.binary())],
-                ["doc_id", "start", "end", "digest"],
-            )
-
+                key = zlib.crc32(_bytes(text))
+                for seq, (_, _, words) in enumerate(units_of(text)):
+                    ids.append(doc_id), keys.append(key), places.append(seq)
+                    digests.append(int.from_bytes(hashlib.blake2b(_bytes(" ".join(words)), digest_size=8).digest(), "little", signed=True))
+            columns = [pa.array(x, kind) for x, kind in zip((ids, keys, places, digests), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "seq", "digest"])
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans, n_removed_chars) of the documents that repeat units of earlier ones.
 
-    Occurrences are ranked by (doc_id, start); every later one is a span in code
-    points of the original text, end exclusive; spans that touch or overlap,
-    but for white space that the operator doesn't look at, stay as they are.
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, seqs) of the documents with units that occur earlier: key is the CRC-32 of the text, seqs the numbers of the units.
 
-    Null or blank text and null doc_ids have no units. Rows with the same doc_id
-    and text are one document. Other columns of docs are ignored; an empty table
-    gives no rows.
+    Occurrences are ranked by (doc_id, key, number). Null or blank text and null
+    doc_ids have no units. Rows with the same doc_id and text are one document;
+    texts of one doc_id that differ are apart. Other columns of docs are ignored;
+    an empty table gives no rows.
     """
-    units = docs.select("doc_id", "text").mapInArrow(_units, UNITS)
-    first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("other"))
-    first = first.where("first != other").drop("other")
-    later = units.join(first, "digest").where("doc_id != first.doc_id OR start != first.start")
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    units = written(docs.select("doc_id", "text").mapInArrow(_units, UNITS), "units")
+    place = F.struct("doc_id", "key", "seq")
+    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("other")).where("first != other").drop("other")
+    later = units.join(first, "digest").where(place != F.col("first"))
+    return later.groupBy("doc_id", "key").agg(F.collect_set("seq").alias("seqs"))
+
+
+def spans_of(text: str, repeated: set[int]) -> list[tuple[int, int]]:
+    """The runs of repeated units with LEAST words or more, each from its first unit's start to its last one's end."""
+    out, begin, end, n = [], 0, 0, 0
+    for seq, (a, b, words) in enumerate([*units_of(text), (0, 0, [])]):
+        if seq in repeated:
+            begin, end, n = (begin if n else a), b, n + len(words)
+        else:
+            if n >= LEAST:
+                out.append((begin, end))
+            n = 0
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, removed = [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-            at, out, gone = 0, [], []
-            for s in sorted((x["start"], x["end"]) for x in spans or ()):
-                if s[1] <= at:
-                    continue
-                begin = max(s[0], at)
-                out.append(text[at:begin])
-                gone.append({"start": begin, "end": s[1]})
-                at = s[1]
+        for text, seqs in zip(batch.column("text").to_pylist(), batch.column("__seqs").to_pylist(), strict=True):
+            at, out, gone = 0, [], spans_of(text, set(seqs)) if seqs else []
+            for a, b in gone:
+                out.append(text[at:a])
+                at = b
             texts.append(text if not gone else "".join([*out, text[at:]]))
-            removed.append(gone)
+            removed.append([{"start": a, "end": b} for a, b in gone])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        columns = [c for c in batch.schema.names if c not in ("text", "__spans")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in columns), pa.array(texts, pa.string()), pa.array(removed, kind)], [*columns, "text", "removed"]
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, kind)], ["doc_id", "text", "removed"])
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with the text left, and ``removed``: the spans of the original text that went.
+    """(doc_id, text, removed) for every row of docs(doc_id, text): the text left, and the spans of the original text that went.
 
-    What counts as repeated, and nulls and ties, are those of repeated_spans();
-    overlapping spans are merged from the left. Rows without repeats keep their
-    text, also a null, and have an empty list.
+    What counts as repeated, and nulls and ties, are those of repeated_units();
+    a run of such units goes from LEAST words on. Rows without such runs keep
+    their text, also a null, and have an empty list.
     """
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("__doc_id"), F.col("spans").alias("__spans"))
-    joined = docs.select("doc_id", "text").join(spans, F.col("doc_id") == F.col("__doc_id"), "left").select("doc_id", "text", "__spans")
-    return joined.mapInArrow(_cut, "doc_id long, text string, removed array<struct<start:long,end:long>>")
+    seqs = repeated_units(docs).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"), F.col("seqs").alias("__seqs"))
+    key = F.crc32(F.col("text").cast("binary"))
+    joined = docs.select("doc_id", "text").join(seqs, (F.col("doc_id") == F.col("__doc_id")) & (key == F.col("__key")), "left")
+    return joined.select("doc_id", "text", "__seqs").mapInArrow(_cut, "doc_id long, text string, removed array<struct<start:long,end:long>>")

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, scan, substring_dedup, warc
 
@@ -85,20 +87,20 @@ def brute_lines(rows):
         lines[i] = (t or "").split("\n")
         full[i] = [j for j, x in enumerate(lines[i]) if x.strip(" ")]
         hs = [h(lines[i][j]) for j in full[i]]
-        grams = [int(h("".join(hs[j : j + 3]))[:15], 16) for j in range(len(hs) - 2)]
+        grams = [int(h("".join(hs[j : j + 2]))[:15], 16) for j in range(len(hs) - 1)]
         for j, g in enumerate(grams):
             right = j + 1 < len(grams) and g < grams[j + 1]
             left = j > 0 and g <= grams[j - 1]
             if right or left or len(grams) == 1:
-                marks.append((g, i, j, hs[j - 1] if j else None, hs[j + 3] if j + 3 < len(hs) else None))
-    first = {}
-    for m in sorted(marks, key=lambda m: m[1:3]):
-        first.setdefault(m[0], m)
+                marks.append((i, j, g, hs[j - 1] if j else None, hs[j + 2] if j + 2 < len(hs) else None))
+    seen, seen_before, seen_after = set(), set(), set()
     gone = collections.defaultdict(set)
-    for g, i, j, before, after in marks:
-        f = first[g]
-        if (i, j) != f[1:3]:
-            gone[i] |= set(range(j - (before is not None and before == f[3]), j + 3 + (after is not None and after == f[4])))
+    for i, j, g, before, after in sorted(marks, key=lambda m: m[:2]):
+        if g in seen:
+            gone[i] |= set(range(j - ((g, before) in seen_before), j + 2 + ((g, after) in seen_after)))
+        seen.add(g)
+        seen_before |= {(g, before)} if before else set()
+        seen_after |= {(g, after)} if after else set()
     return {i: (len(full[i]), len(gone[i]), "\n".join(x for j, x in enumerate(lines[i]) if j not in {full[i][k] for k in gone[i]})) for i, _ in rows}
 
 
@@ -176,6 +178,28 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify_language(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def test_language_is_that_of_the_nearest_centroid(spark):
+    import pyarrow as pa
+
+    rng = random.Random(41)
+    kinds = {"a": ["xa", "ya", "za"], "b": ["ob", "ub", "ib"]}
+    rows = [(i, " ".join("".join(rng.choices(kinds[lang], k=3)) for _ in range(30)), lang) for i, lang in enumerate(list(kinds) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify_language(docs, docs).collect()}
+    counts = np.concatenate([langid._counts(pa.RecordBatch.from_pydict({"text": [t]})) for _, t, _ in rows]).astype(np.float64)
+    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 1
+    vectors = np.sqrt(counts) * idf
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    centres = {}
+    for lang in kinds:
+        own = vectors[[i for i, _, x in rows if x == lang]].astype(np.float32)
+        centres[lang] = langid._clustered(own[np.lexsort(own[:, :8].T)], langid.CENTROIDS)
+    for i, _, _ in rows:
+        near = {lang: max(float(vectors[i] @ c) for c in cs) for lang, cs in centres.items()}
+        assert got[i].lang_pred == max(near, key=near.get)
+        assert got[i].score == pytest.approx(max(near.values()), abs=1e-4)
+
+
 def test_languages_in_later_partitions(spark):
     rows = [(i, " ".join(chr(97 + 3 * (i // 1000) + j) * 3 for j in (0, 1, 2, i % 3)), f"l{i // 1000}") for i in range(8000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
@@ -183,6 +207,61 @@ def test_languages_in_later_partitions(spark):
     assert len(got) == 80 and all(r.lang_pred == f"l{r.doc_id // 1000}" for r in got)
 
 
+def test_line_runs_of_three_go_whole(spark):
+    rng = random.Random(31)
+    texts = []
+    for n in range(60):
+        run = [prose(rng, 6) for _ in range(3)]
+        texts += ["\n".join([prose(rng, 5), *run, prose(rng, 5)]), "\n".join([prose(rng, 7), *run, prose(rng, 4)])]
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(docs_of(spark, texts)).collect()}
+    assert all(got[i] == 3 * (i % 2) for i in got)
+
+
+def test_texts_of_one_id_are_apart(spark):
+    run = "\n".join(f"line {i}" for i in range(6))
+    docs = docs_of(spark, [run, "u1\nu2\nu3\nu4", run, None], [1, 2, 2, 2]).withColumn("n_removed", F.lit("own"))
+    got = sorted((r.doc_id, r.text or "", r.n_removed) for r in line_dedup.line_dedup(docs).collect())
+    assert got == [(1, run, 0), (2, "", 0), (2, "", 6), (2, "u1\nu2\nu3\nu4", 0)]
+    passage = " ".join(f"word{i} and {i}." for i in range(30))
+    docs = docs_of(spark, [passage, "All of it is new here, said nobody.", passage, None], [1, 2, 2, 2])
+    got = sorted((r.doc_id, r.text or "") for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == [(1, passage), (2, ""), (2, ""), (2, "All of it is new here, said nobody.")]
+
+
+def test_short_sentences_of_a_long_passage(spark):
+    rng = random.Random(32)
+    passage = " ".join(prose(rng, 5, 10**6).capitalize() + "." for _ in range(10))
+    line = prose(rng, 12, 10**6) + "."
+    texts = [f"{prose(rng, 9)}. {passage} {prose(rng, 9)}.", f"{prose(rng, 3)}.\n{passage}\nx", line, line, f"{line} more"]
+    got = {r.doc_id: r.text for r in substring_dedup.substring_dedup(docs_of(spark, texts)).collect()}
+    assert got[0] == texts[0] and passage[:40] not in got[1] and got[1].endswith("\nx")
+    assert got[3] == texts[3] and got[4] == texts[4]
+
+
+def test_substrings_against_plain_python(spark):
+    rng = random.Random(33)
+    pool = [prose(rng, n, 300) + "." for n in (2, 4, 6, 9, 14, 30)] * 3
+    texts = [*ODD, *("\n".join(" ".join(rng.choices(pool, k=rng.randint(1, 6))) for _ in range(3)) for _ in range(40)), "x. " * 3000]
+    seen, expected = set(), {}
+    for i, t in enumerate(texts):
+        left, at, run = [], 0, []
+        for u in [*re.finditer(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+", t or ""), None]:
+            words = u and u.group().lower().split()
+            if u and not words:
+                continue
+            if u and tuple(words) in seen:
+                run.append((u.end() - len(u.group().lstrip()), u.end(), len(words)))
+            else:
+                if sum(r[2] for r in run) >= 25:
+                    left.append((t or "")[at : run[0][0]])
+                    at = run[-1][1]
+                run = []
+            if u:
+                seen.add(tuple(words))
+        expected[i] = None if t is None else "".join([*left, t[at:]])
+    assert {r.doc_id: r.text for r in substring_dedup.substring_dedup(docs_of(spark, texts)).collect()} == expected
+
+
 def test_substring_dedup(spark):
     rng = random.Random(2)
     sentence = lambda n: prose(rng, n, 10**6) + "."
@@ -351,6 +430,49 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def field_spans(states):
+    out, begin = set(), None
+    for j, state in enumerate([*states, 0]):
+        if begin is not None and not (state and state % 2 == 0 and (state - 2) // 2 == kind):
+            out.add((begin, j, kind))
+            begin = None
+        if state % 2:
+            begin, kind = j, (state - 1) // 2
+    return out
+
+
+def test_field_on_phrases_it_has_not_seen():
+    weight, move = pii.trained()
+    hit = found = there = 0
+    for tokens, states in pii.labelled_table(seed=99, n=800):
+        got = field_spans(pii.viterbi(np.array([pii._features(tokens)]), weight, move)[0])
+        hit, found, there = hit + len(got & field_spans(states)), found + len(got), there + len(field_spans(states))
+    assert hit >= 0.9 * there and hit >= 0.95 * found
+
+
+def test_viterbi_against_enumeration():
+    rng = np.random.default_rng(3)
+    weight, move = rng.normal(size=(pii.FEATURES, pii.STATES)), rng.normal(size=(pii.STATES, pii.STATES))
+    for n in (1, 2, 3):
+        features = rng.integers(0, pii.FEATURES, (5, n, 4))
+        best = pii.viterbi(features, weight, move)
+        for run, got in zip(features, best, strict=True):
+            emit = weight[run].sum(axis=1)
+            score = lambda path, emit=emit: sum(emit[t, s] for t, s in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:])) - (20 if path[0] and path[0] % 2 == 0 else 0)
+            assert tuple(got) == max(itertools.product(range(pii.STATES), repeat=n), key=score)
+
+
+def test_field_adds_spans(spark):
+    texts = ["reach me under 030 1234567 please", "mail jan (at) mail (dot) example now", 'set token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here', "card 9807915762804490 and x@y.example.com", "in 2024 we had 3 of 12 at 10:30", None, ""]
+    got = {r.doc_id: r for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
+    held = lambda i: {x.split(":")[0]: texts[i][int(x.split(":")[1]) : int(x.split(":")[2])] for x in got[i].spans.split(",") if x}
+    assert held(0) == {"phone": "030 1234567"} and held(1) == {"email": "jan (at) mail (dot) example"}
+    assert held(2) == {"secret": "04dbebab91ab85687d33eeaaf9ac699e1188f962"}
+    assert held(3) == {"card": "9807915762804490", "email": "x@y.example.com"}
+    assert held(4) == {} and not got[4].found and got[5].spans == got[6].spans == ""
+    assert [got[i].n_added for i in range(5)] == [1, 1, 1, 1, 0]
+
+
 def test_decontamination(spark):
     rng = random.Random(10)
     items = [prose(rng, n, 60) for n in (30, 12, 10, 4, 1)] + [None, "", "Été à l'eau"]
