@@ -1,7 +1,8 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
 The index is a table of segments. A segment covers a bounded slice of the
-corpus and holds, for each term, the sorted list of its positions; positions of
+corpus and holds, for each term that some test item has, the sorted list of its
+positions; a filter of fixed size leaves the other terms out. Positions of
 different documents are further apart than a window is long. Test items come in
 blocks of bounded size. For each window of a block the lists of its terms,
 shifted by their offsets, are intersected in order of rarity in the corpus.
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from quarrykit.llm import scan
 from quarrykit.llm.store import written
 
-#: Test words in a block, the most that is broadcast at once (8 bytes each).
-BLOCK_WORDS = 2_000_000
-#: Test words in a piece of an item; pieces overlap so that every window is in one.
+#: Test words in a block, about: an item is in one block whole. A window has six bytes for each of its words, so a block takes 60 MB.
+BLOCK_WORDS = 1_000_000
+#: Test words in a row of the table of items; rows of an item overlap so that every window is in one.
 PIECE_WORDS = 20_000
 #: The filter of terms that are worth a posting has a fixed size of 2^23 bits.
 FILTER_SHIFT = np.uint64(41)
@@ -91,24 +92,34 @@ class _Block(NamedTuple):
     length: np.ndarray  # of each window
     terms: np.ndarray  # of each window, rarest first; -1 beyond its length
     shifts: np.ndarray
-    rarest: list[np.ndarray]  # of each item, a few distinct terms
+    rarest: np.ndarray  # of each item, a few distinct terms; -1 beyond
+
+
+def _padded(x: np.ndarray, width: int, kind: type) -> np.ndarray:
+    return np.pad(x.astype(kind), ((0, 0), (0, width - x.shape[1])), constant_values=-1)
 
 
 def _block(rows: list, counts: dict[int, int], window: int) -> _Block:
     vocabulary = np.unique(np.concatenate([np.asarray(r.terms, np.int64) for r in rows]))
     rarity = np.array([counts.get(int(t), 0) for t in vocabulary], np.int64)
-    item, length, terms, shifts, rarest = [], [], [], [], []
-    for i, r in enumerate(rows):
+    names = sorted({r.item_id for r in rows})
+    number = {name: i for i, name in enumerate(names)}
+    item, length, terms, shifts = [], [], [], []
+    distinct: list[list[np.ndarray]] = [[] for _ in names]
+    for r in rows:
         own = np.searchsorted(vocabulary, np.asarray(r.terms, np.int64))
-        distinct = np.unique(own)
-        rarest.append(distinct[np.argsort(rarity[distinct], kind="stable")][:NEAR_TERMS])
-        for s in range(max(1, own.size - window + 1)):
-            part = own[s : s + window]
-            order = np.argsort(rarity[part], kind="stable")
-            pad = np.full(window - part.size, -1)
-            item.append(i), length.append(part.size)
-            terms.append(np.concatenate([part[order], pad])), shifts.append(np.concatenate([order, pad]))
-    return _Block(vocabulary, [r.item_id for r in rows], np.array(item), np.array(length), np.array(terms), np.array(shifts), rarest)
+        distinct[number[r.item_id]].append(own)
+        n = min(window, own.size)
+        windows = np.lib.stride_tricks.sliding_window_view(own, n)
+        order = np.argsort(rarity[windows], axis=1, kind="stable")
+        terms.append(_padded(np.take_along_axis(windows, order, 1), window, np.int32)), shifts.append(_padded(order, window, np.int16))
+        item.append(np.full(len(windows), number[r.item_id], np.int32)), length.append(np.full(len(windows), n, np.int32))
+    rarest = np.full((len(names), NEAR_TERMS), -1, np.int32)
+    for i, parts in enumerate(distinct):
+        own = np.unique(np.concatenate(parts))
+        own = own[np.argsort(rarity[own], kind="stable")][:NEAR_TERMS]
+        rarest[i, : own.size] = own
+    return _Block(vocabulary, names, *map(np.concatenate, (item, length, terms, shifts)), rarest)
 
 
 def _counted(vocabulary):
@@ -133,7 +144,9 @@ def _among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def _matches(block, window: int, gap: int, slop: int):
+def _matches(block, gap: int, slop: int, every: bool):
+    """Of each segment its documents with what of the block is in them; without ``every``, only those that hold something."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: _Block = block.value
         for batch in batches:
@@ -151,17 +164,18 @@ def _matches(block, window: int, gap: int, slop: int):
 
                 found: dict[int, list] = {}
                 near: dict[int, set] = {}
-                for w in np.flatnonzero((there[known.terms] | (known.terms < 0)).all(axis=1)):
+                for w in np.flatnonzero((there[known.terms] | (known.terms < 0)).all(axis=1)) if there.size else ():
                     n = known.length[w]
-                    at = listed(known.terms[w, 0]) - known.shifts[w, 0]
+                    at = listed(known.terms[w, 0]) - int(known.shifts[w, 0])
                     for term, shift in zip(known.terms[w, 1:n], known.shifts[w, 1:n], strict=True):
-                        at = at[_among(listed(term), at + shift)]
+                        at = at[_among(listed(term), at + int(shift))]
                         if not at.size:
                             break
                     for doc, start in zip(np.searchsorted(begins, at, "right") - 1, at, strict=True):
                         found.setdefault(int(doc), []).append((int(start - begins[doc]), int(start - begins[doc] + n), known.names[known.item[w]]))
-                for i, terms in enumerate(known.rarest):
-                    if there[terms].all():
+                for i in np.flatnonzero((there[known.rarest] | (known.rarest < 0)).all(axis=1)) if there.size else ():
+                    terms = known.rarest[i][known.rarest[i] >= 0]
+                    if terms.size:
                         at = listed(terms[0])
                         doc = np.searchsorted(begins, at, "right")
                         for term in terms[1:]:
@@ -173,16 +187,16 @@ def _matches(block, window: int, gap: int, slop: int):
                             at, doc = at[close], doc[close]
                         for d in np.unique(doc):
                             near.setdefault(int(d) - 1, set()).add(known.names[i])
-                total = n_words.size
-                hits = [found.get(d, ()) for d in range(total)]
+                which = np.arange(n_words.size) if every else np.array(sorted({*found, *near}), np.int64)
+                hits = [found.get(int(d), ()) for d in which]
                 ranges = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([batch.column("segment")[row].as_py()] * total), pa.array(np.arange(total), pa.int32()),
-                        batch.column("doc_ids")[row].values, pa.array(n_words, pa.int64()),
+                        pa.array([batch.column("segment")[row].as_py()] * which.size, pa.string()), pa.array(which, pa.int32()),
+                        batch.column("doc_ids")[row].values.take(pa.array(which, pa.int64())), pa.array(n_words[which], pa.int64()),
                         pa.array([[x[0] for x in h] for h in hits], ranges), pa.array([[x[1] for x in h] for h in hits], ranges),
                         pa.array([sorted({x[2] for x in h}) for h in hits], pa.list_(pa.string())),
-                        pa.array([sorted(near.get(d, ())) for d in range(total)], pa.list_(pa.string())),
+                        pa.array([sorted(near.get(int(d), ())) for d in which], pa.list_(pa.string())),
                     ],
                     ["segment", "place", "doc_id", "n_words", "starts", "ends", "items", "near"],
                 )
@@ -223,8 +237,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     characters, A-Z lower-cased. A window is ``window`` consecutive words of an
     item, or all of a shorter item. n_hit counts the document's words inside any
     occurrence, spans gives them as word ranges, items_sha256 digests the sorted
-    item ids; n_near counts the items whose rarest terms stand within ``slop``
-    words of each other.
+    item ids; n_near counts the items whose NEAR_TERMS rarest terms stand within
+    ``slop`` words of the rarest.
 
     Null or blank text has no words and no hits; an item without words has no
     window; a null item_id counts under the empty name. Null doc_ids and
@@ -245,18 +259,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     n_blocks = -(-n_words // BLOCK_WORDS) or 1
     parts = []
     for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "terms"), F.lit(n_blocks)) == b).orderBy("item_id", "terms").collect()
-        if not rows and (parts or b + 1 < n_blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).orderBy("item_id", "terms").collect()
+        if not rows and n_blocks > 1:
             continue
         terms = np.unique(np.concatenate([np.asarray(r.terms, np.int64) for r in rows])) if rows else np.zeros(0, np.int64)
         counts = index.select("terms", "starts").mapInArrow(_counted(context.broadcast(terms)), "term long, n long")
         counts = dict(counts.groupBy("term").agg(F.sum("n")).collect()) if rows else {}
-        block = _block(rows, counts, window) if rows else _Block(terms, [], *np.zeros((2, 0), np.int64), *np.zeros((2, 0, window), np.int64), [])
-        parts.append(index.mapInArrow(_matches(context.broadcast(block), window, window, slop), HITS))
+        block = _block(rows, counts, window) if rows else _Block(terms, [], *np.zeros((2, 0), np.int32), *np.zeros((2, 0, window), np.int32), np.zeros((0, NEAR_TERMS), np.int32))
+        parts.append(index.mapInArrow(_matches(context.broadcast(block), window, slop, n_blocks == 1), HITS))
     found = parts[0]
-    if len(parts) > 1:
+    if n_blocks > 1:
         for part in parts[1:]:
             found = found.unionByName(part)
-        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items", "near")]
-        found = found.groupBy("segment", "place", "doc_id", "n_words").agg(*lists)
+        names = ["starts", "ends", "items", "near"]
+        found = found.groupBy("segment", "place").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in names))
+        rows = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("place", "d")).select("segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
+        empty = {c: F.array().cast("array<long>" if c in names[:2] else "array<string>") for c in names}
+        found = rows.join(found, ["segment", "place"], "left").select("segment", "place", "doc_id", "n_words", *(F.coalesce(c, empty[c]).alias(c) for c in names))
     return found.drop("segment", "place").mapInArrow(_finished, RESULT)

@@ -506,6 +506,24 @@ def test_decontamination(spark):
     assert decontam.find_contamination(docs_of(spark, ["a"]).limit(0), bench).count() == 0
 
 
+def test_near_terms_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 15)  # items are in several rows
+    rng = random.Random(51)
+    texts = [prose(rng, n, 40) for n in (60, 5, 30, 80, 1) * 8] + [None, ""]
+    items = {i: prose(rng, n, 60) for i, n in enumerate((3, 2, 1, 40, 26))}
+    count = collections.Counter(w for t in texts for w in (t or "").split())
+    digest = {w: int(scan.signed(scan.words_of(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), scan.ALNUM, True).hash)[0]) for t in items.values() for w in t.split()}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for r in decontam.find_contamination(docs_of(spark, texts), bench, slop=6).collect():
+        words = (texts[r.doc_id] or "").split()
+        expected = 0
+        for t in items.values():
+            rare = sorted(set(t.split()), key=lambda w: (count[w], digest[w]))[: decontam.NEAR_TERMS]
+            at = lambda w, words=words: [j for j, x in enumerate(words) if x == w]
+            expected += any(all(any(abs(j - k) <= 6 for k in at(w)) for w in rare[1:]) for j in at(rare[0]))
+        assert r.n_near == expected
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(11)
     texts = [prose(rng, 40, 15) for _ in range(30)]
