@@ -57,9 +57,10 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _first(found: DataFrame, *by: str) -> DataFrame:
-    """(by..., first): the earliest place of what has more than one."""
+    """(by..., first), written, so that a join with it can be split where a key is hot: the earliest place of what has more than one."""
     place = F.struct(*_PLACE)
-    return found.dropna(subset=list(by)).groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("other")).where("first != other").drop("other")
+    first = found.dropna(subset=list(by)).groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("other"))
+    return written(first.where("first != other").drop("other"), "first")
 
 
 def _winnowed(docs: DataFrame) -> DataFrame:

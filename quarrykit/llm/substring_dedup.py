@@ -67,6 +67,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     units = written(docs.select("doc_id", "text").mapInArrow(_units, UNITS), "units")
     place = F.struct("doc_id", "key", "seq")
     first = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("other")).where("first != other").drop("other")
+    first = written(first, "first")  # so that the join can be split where a digest is hot
     later = units.join(first, "digest").where(place != F.col("first"))
     return later.groupBy("doc_id", "key").agg(F.collect_set("seq").alias("seqs"))
 

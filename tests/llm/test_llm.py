@@ -544,3 +544,35 @@ def test_words_across_pieces(monkeypatch):
     w = scan.words_of(buf, offsets, scan.SPACED, False)
     got = [[bytes(buf[w.start[i] : w.end[i]]).decode() for i in range(w.first[r], w.first[r + 1])] for r in range(len(texts))]
     assert got == [words_of(t) for t in texts]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(61)
+    clean = [prose(rng, 60, 150) + "." for _ in range(40)]
+    item = prose(rng, 14, 10**6)
+    texts = [*clean, clean[3] + " one", clean[5], f"{prose(rng, 40, 150)} {item} end", "###!! " * 80, None, "", " \n"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(None, "no id", None, None, None), (7, clean[7], "en", "s", 1), (7, "another text of seven", None, "s", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(i, 1, 0) for i in range(38)] + [(43, 0, 0), (39, 1, 1), (None, 1, 0), (3, 1, 0)]
+    for name, df in (
+        ("documents", docs), ("labels", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")),
+    ):
+        df.write.parquet(f"{tmp_path}/all/{name}.parquet")
+        df.limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    at = f"{tmp_path}/all"
+    kept = corpus_pipeline.quality(spark, docs, at)
+    assert kept.columns == list(corpus_pipeline.DOCUMENT)
+    ids = {r.doc_id for r in kept.collect()}
+    assert set(range(40)) | {44, 45, 46, None} <= ids and 43 not in ids
+    assert {r.doc_id for r in corpus_pipeline.lines(spark, docs, at).collect()} == {r[0] for r in rows} - {41}
+    one_each = corpus_pipeline.near_duplicates(spark, docs, at).collect()
+    assert collections.Counter(r.doc_id for r in one_each) == collections.Counter({r[0] for r in rows} - {40, 41})
+    assert next(r.text for r in one_each if r.doc_id == 7) == "another text of seven"
+    assert {r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, at).collect()} == {r[0] for r in rows} - {42}
+    left = corpus_pipeline.run(spark, at)
+    assert "text" not in left.columns and {"doc_id", "lang", "source", "n_chars", "n_tokens", "rate", "residual", "converged"} <= set(left.columns)
+    gone = {40, 41, 42, 43}
+    assert not gone & {r.doc_id for r in left.collect()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
