@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, scan, substring_dedup, warc
+from quarrykit.plans.tables import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, component string"
 
@@ -571,7 +573,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert collections.Counter(r.doc_id for r in one_each) == collections.Counter({r[0] for r in rows} - {40, 41})
     assert next(r.text for r in one_each if r.doc_id == 7) == "another text of seven"
     assert {r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, at).collect()} == {r[0] for r in rows} - {42}
+    folders = lambda: set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    before = folders()
     left = corpus_pipeline.run(spark, at)
+    assert not [x for x in folders() - before if re.match("(stage|index|items|scores|lines|first|posteriors|cells)-", x)]  # only checkpoints stay
     assert "text" not in left.columns and {"doc_id", "lang", "source", "n_chars", "n_tokens", "rate", "residual", "converged"} <= set(left.columns)
     gone = {40, 41, 42, 43}
     assert not gone & {r.doc_id for r in left.collect()}
