@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql.window import Window
 
 from quarrykit.plans.tables import written
 
+#: Keys that are broadcast at most.
+MOST_KEYS = 1_000_000
+
 
 def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
     """(key, copies, members) of the keys that more than one row has, where a group is small enough for one row; else duplicate_members()."""
@@ -19,33 +23,55 @@ def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
 def duplicate_members(df: DataFrame, key: str, member: str) -> DataFrame:
     """(key, copies, first, member): a row for each member of the keys that more than one row has, however many; nulls share a key too."""
     groups = df.groupBy(key).agg(F.count("*").alias("copies"), F.min(member).alias("first")).where("copies > 1")
-    back = groups.select(F.col(key).alias("__key"), "copies", "first")
-    return df.select(key, F.col(member).alias("member")).join(back, F.col(key).eqNullSafe(F.col("__key"))).select(key, "copies", "first", "member")
+    return rejoined(df.select(key, F.col(member).alias("member")), groups, [key]).select(key, "copies", "first", "member")
+
+
+def rejoined(df: DataFrame, per_key: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """df with what ``per_key`` says of each key; null keys meet null keys, and no row is lost to them.
+
+    ``per_key`` is written first: an aggregate on the very key of the join would
+    bind its partitions, and AQE could not split a key with a great many rows.
+    """
+    own = {k: f"__k{i}" for i, k in enumerate(key)}
+    side = written(per_key.withColumnsRenamed(own), "per_key")
+    same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(side[o]) for k, o in own.items()))
+    return df.join(side, same, how).drop(*own.values())
 
 
 def with_canonical(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """df with the ``name`` of the first row, by ``order``, that has the same key.
+    """df with the ``name`` of the first row, by ``order``, that has the same key; null is a key like any other.
 
     A grouped minimum and a join, so that one key with a great many rows is
     combined before the shuffle and split after it.
     """
     first = df.groupBy(*key).agg(F.min(F.struct(*order, F.col(name).alias("__name"))).alias("__first"))
-    return df.join(first, list(key)).withColumn(f"canonical_{name}", F.col("__first.__name")).drop("__first")
+    return rejoined(df, first, key).withColumn(f"canonical_{name}", F.col("__first.__name")).drop("__first")
 
 
-def two_phase(df: DataFrame, cheap: Sequence[str], full: Column, order: Sequence[str], name: str) -> DataFrame:
-    """Canonical rows by a full hash that is only taken where the cheap key collides."""
-    shared = df.groupBy(*cheap).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    hashed = df.join(shared, list(cheap), "left_semi").withColumn("digest", full)
-    picked = with_canonical(hashed, [*cheap, "digest"], order, name)
-    alone = df.join(shared, list(cheap), "left_anti").withColumn("digest", F.lit(None).cast("string")).withColumn(f"canonical_{name}", F.col(name))
-    return picked.unionByName(alone)
+def two_phase(df: DataFrame, cheap: Sequence[str], full: Column, order: Sequence[str], name: str, content: Sequence[str] = ()) -> DataFrame:
+    """Canonical rows by a full hash that is only taken where the cheap key collides; null keys and null hashes are keys too.
+
+    Colliding cheap keys are found first, without content. While they are a
+    million at most they are broadcast, so the hash is taken where a row is read
+    and only its value moves; beyond that rows meet them in a join. ``content``
+    names columns that only the hash needs and that the result leaves out.
+    """
+    counts = df.groupBy(*cheap).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    own = {k: f"__c{i}" for i, k in enumerate(cheap)}
+    shared = written(counts.withColumnsRenamed(own), "colliding").withColumn("__shared", F.lit(True))
+    if shared.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        shared = F.broadcast(shared)
+    same = reduce(lambda a, b: a & b, (df[k].eqNullSafe(shared[o]) for k, o in own.items()))
+    hashed = df.join(shared, same, "left").withColumn("digest", F.when(F.col("__shared"), full)).drop(*own.values(), *content)
+    first = hashed.where("__shared").groupBy(*cheap, "digest").agg(F.min(F.struct(*order, F.col(name).alias("__name"))).alias("__first"))
+    found = rejoined(hashed, first, [*cheap, "digest"], "left")
+    return found.withColumn(f"canonical_{name}", F.when(F.col("__shared"), F.col("__first.__name")).otherwise(F.col(name))).drop("__shared", "__first")
 
 
 def keep_oldest(df: DataFrame, key: str, age: str, name: str) -> DataFrame:
-    """(loser, winner) for each row that isn't the oldest of its key; a missing age is youngest."""
+    """(loser, winner) for each row that isn't the oldest of its key; a missing age is youngest, and null is a key like any other."""
     first = df.groupBy(key).agg(F.min(F.struct(F.col(age).isNull(), age, name)).alias("w")).select(key, F.col(f"w.{name}").alias("winner"))
-    return df.join(first, key).where(F.col(name) != F.col("winner")).select(key, F.col(name).alias("loser"), "winner")
+    return rejoined(df, first, [key]).where(F.col(name) != F.col("winner")).select(key, F.col(name).alias("loser"), "winner")
 
 
 def summary(df: DataFrame, key: str, size: str) -> DataFrame:
@@ -69,9 +95,16 @@ def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionAll(new.select(*old.columns).subtract(old))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """new rows replace those of the same key; a key comes once in new."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def upsert(old: DataFrame, new: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """new rows replace those of the same key; null is a key like any other.
+
+    A key that comes more than once in ``new`` gives one row: the one of the
+    greatest ``version``, a missing one being least, and of equals the greatest row.
+    """
+    rest = [c for c in new.columns if c not in (key, version)]
+    latest = new.groupBy(key).agg(F.max(F.struct(*([version] if version else []), *rest)).alias("__r")).select(key, "__r.*").select(*new.columns)
+    there = latest.select(F.col(key).alias("__key"))
+    return old.join(there, F.col(key).eqNullSafe(F.col("__key")), "left_anti").unionByName(latest)
 
 
 def replace_children(children: DataFrame, changed: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -99,7 +132,7 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, start: int = 1) ->
 
 
 def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """df with each row's place in its group; a group of a great many rows is spread over tasks."""
+    """df with each row's place in its group; a group of a great many rows is spread over tasks, and nulls are a group."""
     placed = numbered(df, [*key, *order], "__place")
     first = placed.groupBy(*key).agg(F.min("__place").alias("__first"))
-    return placed.join(first, list(key)).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")
+    return rejoined(placed, first, key).withColumn(name, F.col("__place") - F.col("__first") + 1).drop("__place", "__first")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions.columns import stem
-from quarrykit.operators.dedupe import ranked
+from quarrykit.operators.dedupe import ranked, rejoined
+from quarrykit.plans.tables import written
 
 
 def free_names(moves: DataFrame, taken: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -27,14 +28,16 @@ def free_names(moves: DataFrame, taken: DataFrame, order: Sequence[str]) -> Data
         tried = left.withColumn("final", F.when(F.col("__n") == 0, F.col("name")).otherwise(numbered))
         # Names made from different stems may meet: the first by order has it.
         wins = tried.groupBy("folder", "final").agg(F.min(F.struct("name", *order)).alias("__w"))
-        judged = tried.join(wins, ["folder", "final"]).withColumn("__first", F.col("__w") == F.struct("name", *order)).drop("__w")
-        judged = judged.join(used.withColumn("__taken", F.lit(True)), ["folder", "final"], "left")
-        good = judged.where("__first AND __taken IS NULL").drop("__first", "__taken", "__n")
+        there = used.withColumn("__taken", F.lit(True))
+        judged = rejoined(rejoined(tried, wins, ["folder", "final"]), there, ["folder", "final"], "left")
+        # Written, so that neither the test for an end nor the next round does this one again.
+        judged = written(judged.withColumn("__good", (F.col("__w") == F.struct("name", *order)) & F.col("__taken").isNull()).drop("__w", "__taken"), "judged")
+        good = judged.where("__good").drop("__good", "__n")
         done = good if done is None else done.unionByName(good)
-        bad = judged.where("NOT __first OR __taken IS NOT NULL")
+        bad = judged.where("NOT __good")
         if bad.isEmpty():
             return done
         # Past all numbers that this name was given in the round, so that no two of its moves meet again.
-        most = left.groupBy("folder", "name").agg((F.max("__n") + 1).alias("__most"))
-        used = used.unionByName(good.select("folder", "final")).distinct()
-        left = ranked(bad.drop("__first", "__taken", "__n", "final").join(most, ["folder", "name"]), ["folder", "name"], order, "__n").withColumn("__n", F.col("__n") - 1 + F.col("__most")).drop("__most")
+        most = judged.groupBy("folder", "name").agg((F.max("__n") + 1).alias("__most"))
+        used = written(used.unionByName(good.select("folder", "final")).distinct(), "used")
+        left = ranked(rejoined(bad.drop("__good", "__n", "final"), most, ["folder", "name"]), ["folder", "name"], order, "__n").withColumn("__n", F.col("__n") - 1 + F.col("__most")).drop("__most")

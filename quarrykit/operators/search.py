@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrykit.plans.tables import written
-
 from quarrykit.functions.columns import occurrences
+from quarrykit.operators.dedupe import rejoined
+from quarrykit.plans.tables import written
 
 #: Queries that are broadcast at once, about.
 MOST_QUERIES = 10_000
@@ -133,10 +133,9 @@ def within_budget(parts: DataFrame, order: Sequence[str], length: str, budget: i
 
 
 def masked_softmax(df: DataFrame, group: str, score: str, mask: str) -> DataFrame:
-    """Softmax of a group's scores where the mask holds, else 0; null where a group is wholly masked."""
+    """Softmax of a group's scores where the mask holds, else 0; null where a group is wholly masked. A null group is one."""
     s = F.when(F.col(mask), F.col(score))
-    top = df.groupBy(group).agg(F.max(s).alias("__top"))
-    with_top = df.join(top, group)
+    with_top = rejoined(df, df.groupBy(group).agg(F.max(s).alias("__top")), [group])
     e = F.when(F.col(mask), F.exp(F.col(score) - F.col("__top")))
     total = with_top.groupBy(group).agg(F.sum(e).alias("__sum"))
-    return with_top.join(total, group).withColumn("weight", F.when(F.col("__sum").isNotNull(), F.coalesce(e, F.lit(0.0)) / F.col("__sum"))).drop("__top", "__sum")
+    return rejoined(with_top, total, [group]).withColumn("weight", F.when(F.col("__sum").isNotNull(), F.coalesce(e, F.lit(0.0)) / F.col("__sum"))).drop("__top", "__sum")

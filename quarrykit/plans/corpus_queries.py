@@ -118,7 +118,7 @@ simple("j14_rename_plan", lambda t: t.part.select("p_partkey", "p_name").join(t.
 _HASHED = "WITH h AS (SELECT *, sha256(text) AS h FROM documents) "
 simple("a01_duplicate_groups", lambda t: dedupe.duplicate_members(t.documents.select("doc_id", F.sha2("text", 256).alias("h")), "h", "doc_id").select("h", "copies", F.col("first").alias("first_id"), F.col("member").alias("doc_id")),
        _HASHED + "SELECT h, n AS copies, f AS first_id, doc_id FROM (SELECT h, doc_id, count(*) OVER (PARTITION BY h) AS n, min(doc_id) OVER (PARTITION BY h) AS f FROM h) WHERE n > 1")
-simple("a02_two_phase", lambda t: dedupe.two_phase(t.documents.select("doc_id", "text", "n_chars", F.left("text", F.lit(32)).alias("head")), ["n_chars", "head"], F.sha2("text", 256), ["doc_id"], "doc_id").select("doc_id", "canonical_doc_id"),
+simple("a02_two_phase", lambda t: dedupe.two_phase(t.documents.select("doc_id", "text", "n_chars", F.left("text", F.lit(32)).alias("head")), ["n_chars", "head"], F.sha2("text", 256), ["doc_id"], "doc_id", ["text"]).select("doc_id", "canonical_doc_id"),
        "SELECT doc_id, min(doc_id) OVER (PARTITION BY n_chars, left(text, 32), sha256(text)) AS canonical_doc_id FROM documents")
 simple("a03_quick_only", lambda t: dedupe.with_canonical(t.documents.select("doc_id", "n_chars", F.left("text", F.lit(32)).alias("head")), ["n_chars", "head"], ["doc_id"], "doc_id").select("doc_id", "canonical_doc_id"),
        "SELECT doc_id, min(doc_id) OVER (PARTITION BY n_chars, left(text, 32)) AS canonical_doc_id FROM documents")
@@ -336,8 +336,17 @@ simple("n09_module_manifest", lambda t: payloads.module_manifest(_modules(t), t.
 simple("j07_manifest_faults", lambda t: payloads.manifest_faults(payloads.module_manifest(_modules(t), t.files.select("path", F.sha2("text", 256).alias("sha256"))), t.files.where("doc_id % 5 != 0").select("path", F.sha2(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")), 256).alias("sha256"))),
        _MODULES + """, g AS (SELECT m.*, f.doc_id, f.text FROM m JOIN files f ON f.path = m.path) SELECT path, unnest(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'missing' END, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 = 0 AND text <> '' THEN 'changed' END, CASE WHEN legal_function IS NULL THEN 'no function' END, CASE WHEN len(dependencies) > 0 THEN 'needs /none' END], lambda x: x IS NOT NULL)) AS fault FROM g""")
 simple("n10_listing_manifest", lambda t: dedupe.numbered(t.files.select("path", "bytes"), ["path", "bytes"], "n"), FILES + "SELECT path, bytes, row_number() OVER (ORDER BY path, bytes) AS n FROM files")
-simple("w04_free_names", lambda t: plans.free_names(t.part.select("p_partkey", F.col("p_brand").alias("folder"), F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".pdf")).alias("name")), t.part.limit(0).select(F.col("p_brand").alias("folder"), F.col("p_type").alias("name")), ["p_partkey"]).select("p_partkey", "final"),
-       "SELECT p_partkey, CASE WHEN n = 0 THEN name || '.pdf' ELSE name || ' (' || n || ').pdf' END AS final FROM (SELECT p_partkey, replace(p_type, ' ', '_') AS name, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS n FROM part)")
+def _taken(t: Tables) -> DataFrame:
+    """Names that are there: of every third type the plain one, of every fifth the one with a 2."""
+    kinds = t.part.select(F.col("p_brand").alias("folder"), F.replace("p_type", F.lit(" "), F.lit("_")).alias("kind"), F.length("p_type").alias("n")).distinct()
+    return kinds.where("n % 3 = 0").select("folder", F.concat("kind", F.lit(".pdf")).alias("name")).unionByName(kinds.where("n % 5 = 0").select("folder", F.concat("kind", F.lit(" (2).pdf")).alias("name")))
+
+
+simple("w04_free_names", lambda t: plans.free_names(t.part.select("p_partkey", F.col("p_brand").alias("folder"), F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit(".pdf")).alias("name")), _taken(t), ["p_partkey"]).select("p_partkey", "final"),
+       """WITH m AS (SELECT p_partkey, replace(p_type, ' ', '_') AS name, length(p_type) AS l, p_brand, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) - 1 AS i, count(*) OVER (PARTITION BY p_brand, p_type) AS c FROM part),
+       b AS (SELECT *, (i = 0 AND l % 3 = 0) OR (i = 2 AND l % 5 = 0) AS bad FROM m), r AS (SELECT *, c - 1 + row_number() OVER (PARTITION BY p_brand, name, bad ORDER BY p_partkey) AS later FROM b),
+       n AS (SELECT p_partkey, name, CASE WHEN NOT bad THEN i WHEN later = 2 AND l % 5 = 0 THEN 3 ELSE later END AS n FROM r)
+       SELECT p_partkey, CASE WHEN n = 0 THEN name || '.pdf' ELSE name || ' (' || n || ').pdf' END AS final FROM n""")
 
 
 def _passes(t: Tables) -> DataFrame:
@@ -346,7 +355,7 @@ def _passes(t: Tables) -> DataFrame:
 
     base = f"{shared_dir(t.spark)}/passes-{uuid.uuid4().hex}"
     keep = lambda batch, n: batch.select("event_id").write.mode("overwrite").parquet(f"{base}/out/batch={n}")
-    while jobs.daemon_step(t.stream("events", t.events.schema), keep, f"{base}/state", f"{base}/ledger"):
+    while jobs.daemon_step(t.stream("events", t.events.schema, 4), keep, f"{base}/state", f"{base}/ledger"):
         pass
     return t.spark.read.parquet(f"{base}/out").select("event_id")
 

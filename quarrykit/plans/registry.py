@@ -30,7 +30,7 @@ class Tables:
         ship(spark)
         self._read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
         # A glob, which a stream of files takes for a single file as well as for a folder.
-        self.stream = lambda name, schema: spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
+        self.stream = lambda name, schema, files=1000: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}[.]parquet")
         self.spark = spark
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master."""
@@ -25,10 +30,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back with the same schema."""
+    """``df`` as a table in the shared folder, read back with the same schema; inside scratch() it goes at its end."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    held = _MADE.get()
+    if held is not None:
+        held.append(made)
+    return made
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """All tables written inside are deleted at the end: what outlives it must be settled or written elsewhere by then."""
+    held: list[DataFrame] = []
+    token = _MADE.set(held)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for made in held:
+            discard(made)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept in the shared folder, so that the tables it came from can go.
+
+    It is a checkpoint, which Spark itself deletes once nothing refers to it, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def discard(table: DataFrame) -> None:

@@ -67,8 +67,9 @@ def file_stream(spark: SparkSession, path: str, schema, kind: str = "parquet", m
 def budgeted_pass(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, batches: int = 1, wait: float = 300.0) -> int:
     """Work on ``batches`` batches at most, then stop; the next pass goes on where this one ended. Returns how many it did.
 
-    The stream sets the size of a batch. Nothing new, or ``wait`` seconds
-    without a batch, ends the pass too.
+    The stream sets the size of a batch. Nothing new ends the pass too. ``wait``
+    seconds in which no batch ends raise TimeoutError, so that a caller that goes
+    on until nothing is left never takes a stuck pass for the end.
     """
     done: list[int] = []
 
@@ -81,7 +82,13 @@ def budgeted_pass(stream: DataFrame, work: Callable[[DataFrame, int], None], che
 
     query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        query.awaitTermination(wait)
+        seen = -1
+        while not query.awaitTermination(wait):
+            if len(done) == seen:
+                raise TimeoutError(f"no batch ended in {wait} seconds; {len(done)} are done")
+            seen = len(done)
+    except TimeoutError:
+        raise
     except Exception:  # noqa: BLE001  the batch beyond the budget ends the query on purpose; all else is raised again
         if len(done) < batches:
             raise

@@ -336,3 +336,34 @@ def test_text_by_type(spark):
 def test_duplicates_as_rows(spark):
     df = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None), (5, "y")], "id long, h string")
     assert rows(dedupe.duplicate_members(df, "h", "id"), "first", "member") == [(1, 1), (1, 2), (3, 3), (3, 4)]
+
+
+def test_null_keys(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, None, "x"), (3, "k", "y"), (4, "k", None), (5, "k", None), (6, "j", "z")], "id long, k string, t string")
+    assert rows(dedupe.with_canonical(df, ["k"], ["id"], "id"), "id", "canonical_id") == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6)]
+    assert rows(dedupe.two_phase(df, ["k"], F.md5("t"), ["id"], "id"), "id", "canonical_id") == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)]
+    assert rows(dedupe.two_phase(df, ["k"], F.md5("t"), ["id"], "id", ["t"]), "id", "canonical_id") == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)]
+    assert rows(dedupe.ranked(df, ["k"], ["id"], "n"), "id", "n") == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 3), (6, 1)]
+    assert rows(dedupe.keep_oldest(df.withColumn("a", F.lit(1)), "k", "a", "id"), "loser", "winner") == [(2, 1), (4, 3), (5, 3)]
+    soft = search.masked_softmax(df.select("id", "k", F.lit(1.0).alias("s"), F.lit(True).alias("m")), "k", "s", "m")
+    assert [round(x, 6) for _, x in rows(soft, "id", "weight")] == [0.5, 0.5, 0.333333, 0.333333, 0.333333, 1.0]
+    empty = df.limit(0)
+    assert dedupe.two_phase(empty, ["k"], F.md5("t"), ["id"], "id").count() == dedupe.ranked(empty, ["k"], ["id"], "n").count() == 0
+
+
+def test_upsert_of_repeated_and_null_keys(spark):
+    kind = "k string, v int, x string"
+    old = spark.createDataFrame([("a", 1, "old"), (None, 1, "old"), ("b", 1, "old")], kind)
+    new = spark.createDataFrame([("a", 2, "p"), ("a", 3, "q"), ("a", None, "r"), (None, 2, "n"), (None, 3, "m")], kind)
+    once = dedupe.upsert(old, new, "k", "v")
+    assert {(r.k, r.v, r.x) for r in once.collect()} == {("a", 3, "q"), (None, 3, "m"), ("b", 1, "old")}
+    assert dedupe.upsert(once, new, "k", "v").count() == 3
+
+
+def test_a_stuck_pass_raises(spark, tmp_path):
+    import time
+
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    with pytest.raises(TimeoutError):
+        jobs.budgeted_pass(stream, lambda batch, n: time.sleep(20), str(tmp_path / "state"), wait=1.0)
