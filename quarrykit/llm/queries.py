@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, substring_dedup, warc
-from quarrykit.llm.store import table
+from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, pii, prefix_trie, quality_lm, quality_rules, substring_dedup, warc
+from quarrykit.llm.store import scratch, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("spans")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch():
+        return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(prefix_trie.digested(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_to_targets": op8_mixing_to_targets,
     "op9_personal_data": op9_personal_data,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 SQL: dict[str, str] = {

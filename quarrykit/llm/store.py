@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.plans import tables
 from quarrykit.plans.shipping import ship
-from quarrykit.plans.tables import discard, shared_dir
+from quarrykit.plans.tables import discard, scratch, settled, written
 
 __all__ = ["SETTINGS", "bounded", "computed", "discard", "prepare", "scratch", "settled", "table", "without_ids", "written"]
 
-_MADE: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
-
-
 #: What ``prepare`` sets: the bytes of a batch that goes to or from a Python worker, since whole texts are long; and that
 #: shuffle files go as soon as a query ends, since every table that is read again is written.
 SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
@@ -39,38 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back with the same schema; inside scratch() it goes at its end."""
-    made = tables.written(df, name)
-    held = _MADE.get()
-    if held is not None:
-        held.append(made)
-    return made
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """All tables written inside are deleted at the end: what outlives it must be settled or written elsewhere by then."""
-    held: list[DataFrame] = []
-    token = _MADE.set(held)
-    try:
-        yield
-    finally:
-        _MADE.reset(token)
-        for made in held:
-            discard(made)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept in the shared folder, so that the tables it came from can go.
-
-    It is a checkpoint, which Spark itself deletes once nothing refers to it, if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def bounded(small: DataFrame) -> DataFrame:
     """``small``, an id or key and a few numbers a row, marked for broadcast if it is counted to have BROADCAST_ROWS at most."""
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
