@@ -112,7 +112,7 @@ def _packing(path: str, last: int, size: int, most: int):
             p = packed(np.array([x[3].size for x in held], np.int64), size)
             place = p.sequence
             # Sequences that aren't full wait for what comes, but for the last.
-            open_ = ~final & (np.bincount(place, p.length)[place] < size)
+            open_ = (np.bincount(place, p.length)[place] < size) & (not final)
             crc, base = np.zeros(place.size, np.int64), np.array([x[2] for x in held], np.int64)
             for i, (item, start, length) in enumerate(zip(p.item.tolist(), p.start.tolist(), p.length.tolist(), strict=True)):
                 crc[i] = zlib.crc32(held[item][3][start : start + length].tobytes())
