@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality_lm, quality_rules, substring_dedup, tokens, warc
+from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality_lm, quality_rules, substring_dedup, token_alignment, tokens, warc
 from quarrykit.llm.store import scratch, table
 
 
@@ -62,6 +62,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(prefix_trie.digested(table(spark, sf_dir, "conversations"))))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("piece_bpe_32k.model"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_alignment": op12_token_alignment,
     "op13_packing": op13_packing,
 }
 
