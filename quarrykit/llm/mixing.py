@@ -39,26 +39,26 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{M}]+")
 
 
-def _features(docs: DataFrame, own: list[str]) -> DataFrame:
-    """docs with n_tokens, __own (the place in ``own`` of its language, or -1) and __f: places of its words, their prefixes and some shares."""
+def _features(docs: DataFrame, own: list[str], rest: list[str]) -> DataFrame:
+    """The columns ``rest`` of docs with n_tokens, __own (the place in ``own`` of its language, or -1) and __f: places of its words, their prefixes and some shares."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     listed = F.array(*map(F.lit, own)).cast("array<string>")
-    out = docs.withColumn("__own", (F.array_position(listed, lang) - 1).cast("int"))
-    out = computed(out, "__w", F.array_remove(_words(text), "")).withColumn("n_tokens", F.regexp_count(text, F.lit("[^ \\t-\\r]+")).cast("long"))
-    out = computed(out, "__d", F.array_distinct("__w"))
-    steps = [
-        F.least(F.lit(6), F.floor(F.log2(1 + F.lit(100) * F.regexp_count(text, F.lit(c)) / F.greatest(F.length(text), F.lit(1)))))
-        for c in ("[#*$%&|<>]", "[A-Z]", "!")
-    ]
-    steps.append(F.floor(F.lit(8) * F.size("__d") / F.greatest(F.size("__w"), F.lit(1))))
-    steps.append(F.least(F.lit(12), F.floor(F.log2(1 + F.size("__w")))))
+    counts = [F.regexp_count(text, F.lit(c)) for c in ("[#*$%&|<>]", "[A-Z]", "!")]
+    tokens = F.regexp_count(F.concat(F.lit(" "), text), F.lit("[ \\t-\\r][^ \\t-\\r]")).cast("long")
+    own_place = (F.array_position(listed, lang) - 1).cast("int")
+    # The text is read here and goes no further, unless it is among the rest.
+    read = F.struct(F.array_remove(_words(text), "").alias("w"), tokens.alias("n_tokens"), F.length(text).alias("n"), *(c.alias(f"c{i}") for i, c in enumerate(counts)))
+    out = computed(docs.select("*", own_place.alias("__own")), "__r", read).select(*rest, "__own", "__r.n_tokens", "__r")
+    out = computed(out, "__d", F.array_distinct("__r.w"))
+    steps = [F.least(F.lit(6), F.floor(F.log2(1 + F.lit(100) * F.col(f"__r.c{i}") / F.greatest(F.col("__r.n"), F.lit(1))))) for i in range(len(counts))]
+    steps.append(F.floor(F.lit(8) * F.size("__d") / F.greatest(F.size("__r.w"), F.lit(1))))
+    steps.append(F.least(F.lit(12), F.floor(F.log2(1 + F.size("__r.w")))))
     names = [F.format_string(f"{kind}%d", x.cast("int")) for kind, x in zip("#A!~n", steps, strict=True)]
     place = lambda x: F.pmod(F.hash("__own", x), F.lit(SIZE))
-    long = F.filter("__d", lambda w: F.length(w) > PREFIX)
-    starts = F.transform(long, lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("*")))
-    found = F.concat(F.transform("__d", place), F.transform(starts, place), F.transform(F.array(*names), place))
-    return computed(out, "__f", F.array_distinct(found)).drop("__w", "__d")
+    start = lambda w: F.when(F.length(w) > PREFIX, F.pmod(F.hash("__own", F.lit("*"), F.substring(w, 1, PREFIX)), F.lit(SIZE)))
+    found = F.concat(F.transform("__d", place), F.array_compact(F.transform("__d", start)), F.transform(F.array(*names), place))
+    return computed(out, "__f", F.array_distinct(found)).drop("__r", "__d")
 
 
 def _languages(docs: DataFrame, marked: DataFrame) -> list[str]:
@@ -111,11 +111,12 @@ def _posteriors(features: DataFrame, model: tuple[dict[int, list[float]], list[l
     base, adds = model
 
     def score(i: int) -> Column:
-        start = reduce(lambda out, own: F.when(F.col("__own") == own, F.lit(base[own][i])).otherwise(out), sorted(base), F.lit(0.0))
-        table = F.split(F.lit(",".join(f"{x:g}" for x in adds[i])), ",").cast("array<float>")  # the optimizer makes a constant of it
+        """Beyond the first domain's, which saves a pass over the words."""
+        start = reduce(lambda out, own: F.when(F.col("__own") == own, F.lit(base[own][i] - base[own][0])).otherwise(out), sorted(base), F.lit(0.0))
+        table = F.split(F.lit(",".join(f"{x - y:g}" for x, y in zip(adds[i], adds[0], strict=True))), ",").cast("array<float>")  # the optimizer makes a constant of it
         return F.aggregate("__f", start, lambda acc, f: acc + F.get(table, f))
 
-    out = computed(features, "__s", F.array(*map(score, range(k))))
+    out = computed(features, "__s", F.array(F.lit(0.0), *map(score, range(1, k))))
     top = F.array_max("__s")
     odds = [F.exp(F.get("__s", F.lit(i)) - top) for i in range(k)]
     whole = reduce(lambda a, b: a + b, odds)
@@ -203,7 +204,7 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     domain = F.when(F.expr("quality = 1 AND coalesce(toxic, 0) = 0"), 0).when(F.expr("toxic = 1"), 1).when(F.expr("quality = 0"), 2)
     marked = labels.select(F.col("doc_id").alias("__id"), domain.alias("domain")).where("domain IS NOT NULL AND __id IS NOT NULL")
     own = _languages(docs, marked)
-    features = _features(docs.select("*", F.col("doc_id").alias("__doc")), own).select(*keep, "__doc", "n_tokens", "__own", "__f")
+    features = _features(docs.select("*", F.col("doc_id").alias("__doc")), own, [*keep, "__doc"]).select(*keep, "__doc", "n_tokens", "__own", "__f")
     features = written(features, "features")
     model = _model(features.select("__doc", "__own", "__f").join(bounded(marked), F.col("__doc") == F.col("__id")))
     names = [f"__c{i}" for i in range(k - 1)]
@@ -213,7 +214,8 @@ def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     # The mean posterior of a cell's tokens stands for all of them in every sum, exactly.
     weight = F.col("n_tokens") + F.lit(1e-9)
     mean = [(F.sum(weight * F.get("p", F.lit(i))) / F.sum(weight)) for i in range(k)]
-    cells = written(small.groupBy(*names).agg(F.sum("n_tokens").alias("n"), F.array(*mean).alias("p")).coalesce(1), "cells")
+    cells = written(small.groupBy(*names).agg(F.sum("n_tokens").alias("n"), F.array(*mean).alias("p")), "cells")
+    cells = written(cells.coalesce(1), "cells")  # GRID bounds its rows; one file, since each step reads it
     total = cells.agg(F.sum("n")).first()[0] or 1
     steps, beyond = _fitted(cells.withColumn("w", F.col("n") / F.lit(float(total))), [targets[d] for d in DOMAINS])
     residual = max(map(abs, beyond))
