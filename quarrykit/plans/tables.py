@@ -29,13 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back with the same schema; inside scratch() it goes at its end."""
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder, read back with the same schema; inside scratch() it goes at its end, unless it is kept."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     held = _MADE.get()
-    if held is not None:
+    if held is not None and not kept:
         held.append(made)
     return made
 
