@@ -145,3 +145,8 @@ def letters(n: Column) -> Column:
         digit = F.floor((n - F.lit(least)) / F.lit(26**place)) if place else n - 1
         parts.append(F.when(n >= least, F.char(F.lit(65) + digit % 26)).otherwise(""))
     return F.concat(*parts)
+
+
+def terms_of(text: Column) -> Column:
+    """The terms of a text in order: runs of two or more of a-z and 0-9, lower-cased; a null has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarrykit.functions import columns as c
 from quarrykit.functions import udfs
-from quarrykit.operators import dedupe, graph, payloads, plans, search
+from quarrykit.operators import dedupe, graph, payloads, plans, search, text_index
 from quarrykit.plans.registry import BUCKET, EXT, FILES, Tables, query, simple
 from quarrykit.plans.tables import shared_dir
 from quarrykit.sources import extract, sinks
@@ -206,9 +206,46 @@ def _(t: Tables) -> DataFrame:
 
 
 _INDEX = "WITH p AS (SELECT doc_id, unnest(x) AS term, generate_subscripts(x, 1) AS position FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS x FROM documents)) "
-simple("q07_match_all", lambda t: search.match_all(search.postings(t.documents, "doc_id", "text"), "doc_id", ["the", "and"]), _INDEX + "SELECT doc_id FROM p WHERE term IN ('the', 'and') GROUP BY doc_id HAVING count(DISTINCT term) = 2")
-simple("q07_match_phrase", lambda t: search.match_phrase(search.postings(t.documents, "doc_id", "text"), "doc_id", ["of", "the"]), _INDEX + "SELECT a.doc_id, count(*) AS hits FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id")
-simple("q07_prefix_and_not", lambda t: search.match_prefix_not(search.postings(t.documents, "doc_id", "text"), "doc_id", "onth", "the"), _INDEX + "SELECT DISTINCT doc_id FROM p WHERE term LIKE 'onth%' AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'the')")
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(t: Tables) -> text_index.TextIndex:
+    """The index of a folder's documents, built by the first query of a session that asks for it."""
+    import uuid
+
+    key = (t.spark.sparkContext.applicationId, t.documents.inputFiles()[0])
+    if key not in _INDEXES:
+        path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+        text_index.TextIndex(t.spark, path).add(t.documents, "doc_id", "text")
+        _INDEXES[key] = path
+    return text_index.TextIndex(t.spark, _INDEXES[key])
+
+
+def _changed_index(t: Tables, merged: bool) -> text_index.TextIndex:
+    """Even documents, then the multiples of three with the text of their source in front, then without the multiples of seven."""
+    import uuid
+
+    index = text_index.TextIndex(t.spark, f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}", 16)
+    index.add(t.documents.where("doc_id % 2 = 0"), "doc_id", "text")
+    index.add(t.documents.where("doc_id % 3 = 0").select("doc_id", F.concat_ws(" ", "source", "text").alias("text")), "doc_id", "text")
+    index.delete(t.documents.where("doc_id % 7 = 0"), "doc_id")
+    if merged:
+        index.merge()
+        index.drop_old()
+    return index
+
+
+def _id(found: DataFrame) -> DataFrame:
+    return found.withColumnRenamed("id", "doc_id")
+
+
+_CHANGED = "WITH p AS (SELECT doc_id, unnest(x) AS term, generate_subscripts(x, 1) AS position FROM (SELECT doc_id, regexp_extract_all(lower(CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', source, text) ELSE text END), '[a-z0-9]{2,}') AS x FROM documents WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0) AND doc_id % 7 <> 0)) "
+simple("q07_match_all", lambda t: _id(_index(t).all_of(["the", "and"])), _INDEX + "SELECT doc_id FROM p WHERE term IN ('the', 'and') GROUP BY doc_id HAVING count(DISTINCT term) = 2")
+simple("q07_match_any", lambda t: _id(_index(t).any_of(["und", "les", "nothere"])), _INDEX + "SELECT doc_id, count(*) AS hits FROM p WHERE term IN ('und', 'les', 'nothere') GROUP BY doc_id")
+simple("q07_match_phrase", lambda t: _id(_index(t).phrase(["of", "the"])), _INDEX + "SELECT a.doc_id, count(*) AS hits FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id")
+simple("q07_prefix_and_not", lambda t: _id((i := _index(t)).without(i.prefix("on"), ["and"])), _INDEX + "SELECT DISTINCT doc_id FROM p WHERE term LIKE 'on%' AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'and')")
+simple("q07_after_changes", lambda t: _id(_changed_index(t, False).phrase(["the", "and"])), _CHANGED + "SELECT a.doc_id, count(*) AS hits FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'the' AND b.term = 'and' GROUP BY a.doc_id")
+simple("q07_after_merge", lambda t: _id((i := _changed_index(t, True)).without(i.any_of(["src1", "src2", "the"]), ["und"])), _CHANGED + "SELECT doc_id, count(*) AS hits FROM p WHERE term IN ('src1', 'src2', 'the') AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'und') GROUP BY doc_id")
 
 
 @query("q08_hybrid", f"""WITH k AS (SELECT doc_id, score {_ORDERED}), a AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),

@@ -367,3 +367,36 @@ def test_a_stuck_pass_raises(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
     with pytest.raises(TimeoutError):
         jobs.budgeted_pass(stream, lambda batch, n: time.sleep(20), str(tmp_path / "state"), wait=1.0)
+
+
+def test_text_index(spark, tmp_path):
+    from quarrykit.operators.text_index import TextIndex
+
+    kind = "doc_id long, text string, term string"
+    docs = spark.createDataFrame([(1, "the cat and the hat", "x"), (2, "the dog and cat", "x"), (3, None, "x"), (None, "the cat", "x"), (4, "", "x"), (5, "THE CAT! cat-cat", "x")], kind)
+    index = TextIndex(spark, str(tmp_path / "i"), 8)
+    with pytest.raises(ValueError):
+        index.all_of(["cat"])
+    index.add(docs, "doc_id", "text")
+    assert rows(index.all_of(["the", "cat"]), "id") == [1, 2, 5]
+    assert rows(index.any_of(["cat", "hat", "none"]), "id", "hits") == [(1, 2), (2, 1), (5, 3)]
+    assert rows(index.phrase(["the", "cat"]), "id", "hits") == [(1, 1), (5, 1)]
+    assert rows(index.phrase(["cat", "cat"]), "id", "hits") == [(5, 2)]
+    assert rows(index.without(index.prefix("ha"), ["dog"]), "id") == [1]
+    plan = index.phrase(["the", "cat"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+    # Another handle reads the same log; an added id hides its old rows, a deleted one all.
+    other = TextIndex(spark, str(tmp_path / "i"))
+    other.add(spark.createDataFrame([(1, "only dogs", "x"), (6, "the cat", "x")], kind), "doc_id", "text")
+    other.delete(spark.createDataFrame([(2,), (None,), (99,)], "k long"), "k")
+    assert rows(other.all_of(["cat"]), "id") == [5, 6] and rows(other.any_of(["dogs", "dog"]), "id", "hits") == [(1, 1)]
+    assert rows(index.all_of(["cat"]), "id") == [1, 2, 5]  # as it was when opened
+    with pytest.raises(Exception, match="lready exists"):
+        index.delete(docs, "doc_id")
+    other.add(docs.where("doc_id = 2"), "doc_id", "text")
+    before = rows(other.any_of(["cat", "the", "only"]), "id", "hits")
+    other.merge()
+    other.drop_old()
+    assert before == [(1, 1), (2, 2), (5, 4), (6, 2)] == rows(TextIndex(spark, str(tmp_path / "i")).any_of(["cat", "the", "only"]), "id", "hits")
+    assert rows(other.frequencies(["cat", "dog"]), "term", "documents") == [("cat", 3), ("dog", 1)]
+    assert len(list((tmp_path / "i/postings").iterdir())) == 1
