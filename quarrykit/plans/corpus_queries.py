@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarrykit.functions import columns as c
 from quarrykit.functions import udfs
-from quarrykit.operators import dedupe, graph, payloads, plans, search, text_index
+from quarrykit.operators import dedupe, graph, payloads, plans, rules, search, text_index
 from quarrykit.plans.registry import BUCKET, EXT, FILES, Tables, query, simple
 from quarrykit.plans.tables import shared_dir
 from quarrykit.sources import extract, sinks
@@ -46,9 +46,9 @@ def _rules(t: Tables) -> DataFrame:
 
 
 def _hits(t: Tables) -> DataFrame:
-    # One pass over the texts with one pattern after another: the rules are a handful of constants.
-    found = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(a).alias("rule_id"), F.lit(b).alias("title"))) for a, b, p in _RULES)))
-    return t.documents.select("doc_id", "source", F.inline(found))
+    """(doc_id, rule_id, title) of the table of rules, of which one doesn't compile and is skipped."""
+    table = _rules(t).unionByName(t.spark.createDataFrame([("R4", "Broken", "(")], "rule_id string, title string, pattern string"))
+    return rules.hits(t.documents, "doc_id", "text", table).join(table.select("rule_id", "title"), "rule_id")
 
 
 simple("t01_rule_hits", lambda t: _hits(t).select("doc_id", "rule_id", "title"), f"SELECT doc_id, rule_id, title FROM documents, {_RULES_SQL} WHERE regexp_matches(text, pattern)")
@@ -59,8 +59,7 @@ _KEYWORDS_SQL = "(VALUES " + ", ".join(f"('{w}', '{f}')" for w, f in _KEYWORDS)
 
 
 def _suggested(t: Tables) -> DataFrame:
-    found = F.array_compact(F.array(*(F.when(F.lower("text").contains(w), F.lit(f)) for w, f in _KEYWORDS)))
-    return t.documents.select("doc_id", F.explode(F.array_distinct(found)).alias("form_id"))
+    return rules.keyword_forms(t.documents, "doc_id", "text", t.spark.createDataFrame(_KEYWORDS, "word string, form_id string"))
 
 
 simple("t04_form_suggestions", _suggested, f"SELECT DISTINCT doc_id, form_id FROM documents, {_KEYWORDS_SQL} WHERE contains(lower(text), word)")
@@ -307,7 +306,16 @@ def _(t: Tables) -> DataFrame:
 simple("n07_task_queue", lambda t: t.events.where(F.col("event_type").isin("click", "purchase", "view")).select("event_id", F.lit("queued").alias("status"), c.iso_utc(F.col("ts")).alias("queued_at")),
        "SELECT event_id, 'queued' AS status, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS queued_at FROM events WHERE event_type IN ('click', 'purchase', 'view')")
 simple("n08_flag_symbols", lambda t: t.labels.select("doc_id", F.when(F.col("toxic") == 1, "!").otherwise("ok").alias("symbol")), "SELECT doc_id, CASE WHEN toxic = 1 THEN '!' ELSE 'ok' END AS symbol FROM labels")
-simple("f05_rules_as_data", lambda t: t.documents.select("doc_id", "text").join(F.broadcast(_rules(t))).where(F.expr("text RLIKE pattern")).groupBy("rule_id").agg(F.count("*").alias("hits")), f"SELECT rule_id, count(*) AS hits FROM documents, {_RULES_SQL} WHERE regexp_matches(text, pattern) GROUP BY rule_id")
+def _benchmark_rules(t: Tables) -> DataFrame:
+    """A rule for each word of six letters or more of the benchmark: the word as a whole."""
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("rule_id")).distinct()
+    return words.withColumn("pattern", F.concat(F.lit(r"\b"), "rule_id", F.lit(r"\b")))
+
+
+simple("f05_rules_as_data", lambda t: rules.hits(t.documents, "doc_id", "text", _benchmark_rules(t)).groupBy("rule_id").agg(F.count("*").alias("hits")),
+       r"WITH r AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS rule_id FROM benchmark) SELECT rule_id, count(*) AS hits FROM documents JOIN r ON regexp_matches(text, '(^|[^\w\x80-\x{10FFFF}])' || rule_id || '($|[^\w\x80-\x{10FFFF}])') GROUP BY rule_id")
+simple("f05_rule_faults", lambda t: rules.faults(t.part.select(F.col("p_partkey").alias("rule_id"), F.concat(F.when(F.col("p_partkey") % 3 == 0, "(").when(F.col("p_partkey") % 3 == 1, "[a-z]+"), "p_name").alias("pattern"))).select("rule_id"),
+       "SELECT p_partkey::VARCHAR AS rule_id FROM part WHERE p_partkey % 3 <> 1")
 _LETTERS = " || ".join(f"CASE WHEN n >= {sum(26**i for i in range(k + 1))} THEN chr((65 + (n - {sum(26**i for i in range(k + 1))}) // {26**k} % 26)::INT) ELSE '' END" for k in range(6, -1, -1))
 simple("d01_exhibit_letters", lambda t: dedupe.numbered(t.files.select("path", "doc_id"), ["path", "doc_id"], "n").select("doc_id", c.letters(F.col("n")).alias("label")),
        FILES + f"SELECT doc_id, {_LETTERS} AS label FROM (SELECT doc_id, row_number() OVER (ORDER BY path, doc_id) AS n FROM files)")
@@ -317,7 +325,7 @@ simple("d03_required_blocks", lambda t: t.documents.select("doc_id", F.concat_ws
        r"SELECT doc_id, concat_ws(',', CASE WHEN NOT regexp_matches(text, '[.]') THEN 'mark' END, CASE WHEN NOT regexp_matches(text, '\bthe\b') THEN 'the' END, CASE WHEN NOT contains(text, chr(10)) THEN 'line' END) AS missing FROM documents")
 simple("d04_daily_matrix", lambda t: t.events.groupBy(F.to_date("ts").alias("day")).pivot("event_type", ["click", "purchase", "view"]).agg(F.count("event_id")).fillna(0),
        "SELECT ts::DATE AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
-simple("d05_incidents", lambda t: _hits(t).groupBy("source", "rule_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")),
+simple("d05_incidents", lambda t: rules.incidents(_hits(t).join(t.documents.select("doc_id", "source"), "doc_id"), "source", "doc_id"),
        f"SELECT source, rule_id, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents, {_RULES_SQL} WHERE regexp_matches(text, pattern) GROUP BY source, rule_id")
 
 

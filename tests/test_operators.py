@@ -400,3 +400,32 @@ def test_text_index(spark, tmp_path):
     assert before == [(1, 1), (2, 2), (5, 4), (6, 2)] == rows(TextIndex(spark, str(tmp_path / "i")).any_of(["cat", "the", "only"]), "id", "hits")
     assert rows(other.frequencies(["cat", "dog"]), "term", "documents") == [("cat", 3), ("dog", 1)]
     assert len(list((tmp_path / "i/postings").iterdir())) == 1
+
+
+def test_rules(spark, monkeypatch):
+    import re
+
+    from quarrykit.operators import rules
+
+    assert [rules.literal(p) for p in ("abc", "a|b", "(?i)ABdE", "x?yz+w", "(foo)+bar", "[0-9]{4}", r"\bthe\b end", "(?i)task", "a(?=b)cd", "é+lan", "(?:ab|cd)ef")] == ["abc", "", "abde", "yz", "foo", "", "the end", "ta", "cd", "lan", "ef"]
+    rng = random.Random(4)
+    patterns = ["ab", "(?i)Ab", "a+b", "^b", "b$", r"\bab\b", "[ab]{3}", "(", "*", None, "", "x" * 5000, "(ab|ba)b", "a.b", "(?i)k", "a(?!b)", "é", "b(?i:A)b"]
+    texts = [None, "", "K", "ſ", "É é", *("".join(rng.choice("abAB éK\n") for _ in range(rng.randrange(30))) for _ in range(120)), "a" * 3000]
+    df = spark.createDataFrame([(i, t, 1, "z") for i, t in enumerate(texts)], "id long, text string, name int, rule_id string").repartition(3)
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(patterns)], "rule_id long, pattern string")
+
+    def works(p):
+        try:
+            return bool(p) and len(p) <= rules.LONGEST and re.compile(p) is not None
+        except re.error:
+            return False
+
+    want = sorted((i, str(j)) for i, t in enumerate(texts) for j, p in enumerate(patterns) if t is not None and works(p) and re.search(p, t))
+    for block in (rules.BLOCK, 3):
+        monkeypatch.setattr(rules, "BLOCK", block)
+        assert rows(rules.hits(df, "id", "text", table), "id", "rule_id") == want
+    assert rows(rules.faults(table), "rule_id") == ["11", "7", "8", "9"]
+    words = spark.createDataFrame([("AB", "F1"), ("é", "F2"), ("ab", "F1"), (None, "F3")], "word string, form_id string")
+    forms = sorted((i, f) for i, t in enumerate(texts) for w, f in (("ab", "F1"), ("é", "F2")) if t is not None and w in t.lower())
+    assert rows(rules.keyword_forms(df, "id", "text", words), "id", "form_id") == forms
+    assert rules.hits(df, "id", "text", table.limit(0)).count() == rules.hits(df.limit(0), "id", "text", table).count() == 0
