@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarrykit.functions import columns as c
 from quarrykit.functions import udfs
-from quarrykit.operators import dedupe, graph, payloads, plans, rules, search, text_index
+from quarrykit.operators import dedupe, graph, nearest, payloads, plans, rules, search, text_index
 from quarrykit.plans.registry import BUCKET, EXT, FILES, Tables, query, simple
 from quarrykit.plans.tables import shared_dir
 from quarrykit.sources import extract, sinks
@@ -192,6 +192,14 @@ simple("q05_cosine_top", lambda t: _vectors(t, lambda: F.round(search.dot(F.col(
        "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (" + _PAIRS.format(score="list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])") + ") QUALIFY rank <= 5")
 
 
+@query("q05_approximate")
+def _(t: Tables) -> DataFrame:
+    """As q05, by inverted lists; no SQL, since it may miss a neighbour: its recall is tested."""
+    lists = nearest.fit(t.embeddings, "vec_id", "embedding")
+    found = nearest.approximate_top(nearest.assigned(t.embeddings, "vec_id", "embedding", lists), t.embeddings.where("vec_id % 50 = 0"), "vec_id", "embedding", lists, 5)
+    return found.select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "score", "rank")
+
+
 @query("q06_tfidf_top", """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS x FROM documents), o AS (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM d),
   p AS (SELECT doc_id, x[i] AS term FROM o UNION ALL SELECT doc_id, x[i] || ' ' || x[i + 1] FROM o WHERE i < len(x)), tf0 AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY ALL),
   tf AS (SELECT * FROM tf0 WHERE term IN (SELECT term FROM tf0 GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 200000)),

@@ -429,3 +429,33 @@ def test_rules(spark, monkeypatch):
     forms = sorted((i, f) for i, t in enumerate(texts) for w, f in (("ab", "F1"), ("é", "F2")) if t is not None and w in t.lower())
     assert rows(rules.keyword_forms(df, "id", "text", words), "id", "form_id") == forms
     assert rules.hits(df, "id", "text", table.limit(0)).count() == rules.hits(df.limit(0), "id", "text", table).count() == 0
+
+
+def test_approximate_vectors(spark, monkeypatch):
+    from quarrykit.operators import nearest
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 24))
+    points = centres[rng.integers(0, 12, 1500)] + 0.7 * rng.normal(size=(1500, 24))
+    points[7] = points[8]
+    points[:200] = points[0]  # a list with a great many copies
+    df = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)] + [(5000, None, 1), (5001, [0.0] * 24, 1)], "vid long, v array<double>, list int").repartition(5)
+    monkeypatch.setattr(nearest, "ROWS", 60)
+    monkeypatch.setattr(nearest, "QUERIES", 10)
+    lists = nearest.fit(df, "vid", "v")
+    index = nearest.assigned(df, "vid", "v", lists)
+    assert index.count() == 1501 and lists.probes < len(lists.centroids)
+    got = {}
+    for r in nearest.approximate_top(index, df.where("vid % 10 = 0 OR vid > 1500"), "vid", "v", lists, 5).collect():
+        got.setdefault(r.query, {})[r["rank"]] = r.id
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 5)
+    hits = total = 0
+    for i in range(200, 1500, 10):
+        want = sorted(range(1500), key=lambda j: (-scores[i, j], j))[:5]
+        assert set(got[i]) == {1, 2, 3, 4, 5}
+        hits, total = hits + len(set(got[i].values()) & set(want)), total + 5
+    assert hits / total >= 0.9 and [got[0][r] for r in range(1, 6)] == [0, 1, 2, 3, 4] and 5000 not in got
+    none = df.limit(0)
+    lists = nearest.fit(none, "vid", "v")
+    assert nearest.approximate_top(nearest.assigned(none, "vid", "v", lists), none, "vid", "v", lists, 5).count() == 0
