@@ -38,8 +38,8 @@ SLACK = 1.25
 BLEND = 50
 #: Words at the mean that each document is credited with, so that short texts aren't judged by chance.
 PRIOR = 20
-#: Occurrences that a task or a shard holds at a time, about.
-HELD = 2_000_000
+#: Occurrences that a task holds at a time, and that a shard has, about.
+HELD, SHARD = 1_000_000, 2_000_000
 #: Documents of a slice; their places are numbers of 16 bits.
 SLICE = 60_000
 
@@ -236,7 +236,7 @@ def log_probabilities(docs: DataFrame, model: DataFrame, unknown: float, start:
     n_model = model.count()
     light = context.broadcast(filter_of(rest.select(F.col("gram").alias("id")), n_model))
     # Shards are so many that the weights of each, and about as many occurrences as documents have words, stay bounded.
-    n_shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_model // HELD, docs.count() * 200 // HELD)
+    n_shards = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_model // SHARD, docs.count() * 200 // SHARD)
     posted = docs.select("doc_id", "text", "lang").mapInArrow(_posted(heavy, light, n_shards), "shard int, slice long, grams binary, docs binary, meta binary")
     weights = rest.select(F.pmod(F.conv(F.hex("gram"), 16, 10).cast("decimal(20,0)"), F.lit(n_shards)).cast("int").alias("shard"), "gram", "value")
     sums = posted.groupBy("shard").cogroup(weights.groupBy("shard")).applyInArrow(_summed, "slice long, docs binary, sums binary, meta binary")
