@@ -39,7 +39,7 @@ BLEND = 50
 #: Words at the mean that each document is credited with, so that short texts aren't judged by chance.
 PRIOR = 20
 #: Occurrences that a task holds at a time, and that a shard has, about.
-HELD, SHARD = 1_000_000, 2_000_000
+HELD, SHARD = 500_000, 2_000_000
 #: Documents of a slice; their places are numbers of 16 bits.
 SLICE = 60_000
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; two tables of this many 64-bit powers are kept by each worker.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
