@@ -45,7 +45,7 @@ BY_TYPE: dict[str, Callable[[Column], Column]] = {".txt": plain, ".md": plain, "
 
 
 def extracted(files: DataFrame, name: str, content: str, by_type: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """files with ``text`` and ``status``: done, empty, failed (the type's function gave nothing) or unsupported.
+    """files with ``text`` and ``status``: done, cut (text of the first LIMIT bytes only), empty, failed (the type's function gave nothing) or unsupported.
 
     The extension of ``name`` decides, whatever its case. The content is only
     handed to a Python function for the types that need one.
@@ -57,5 +57,7 @@ def extracted(files: DataFrame, name: str, content: str, by_type: dict[str, Call
         # A Python function runs for every row of its batch; null content keeps it from working on other types.
         text = F.when(ext == kind, function(F.when(ext == kind, F.col(content)))).otherwise(text)
     out = files.withColumn("text", text)
-    status = F.when(~ext.isin(list(functions)), "unsupported").when(F.col("text").isNull(), "failed").when(F.trim("text") == "", "empty").otherwise("done")
+    status = F.when(~ext.isin(list(functions)), "unsupported").when(F.col("text").isNull(), "failed").when(F.trim("text") == "", "empty")
+    limited = [kind for kind, function in functions.items() if function in (plain, page)]
+    status = status.when(ext.isin(limited) & (F.length(content) > LIMIT), "cut").otherwise("done")
     return out.withColumn("status", status)

@@ -459,3 +459,11 @@ def test_approximate_vectors(spark, monkeypatch):
     none = df.limit(0)
     lists = nearest.fit(none, "vid", "v")
     assert nearest.approximate_top(nearest.assigned(none, "vid", "v", lists), none, "vid", "v", lists, 5).count() == 0
+
+
+def test_cut_texts_say_so(spark, monkeypatch):
+    from quarrykit.sources import extract
+
+    monkeypatch.setattr(extract, "LIMIT", 4)
+    df = spark.createDataFrame([("a.txt", b"long text"), ("b.txt", b"shrt"), ("c.txt", b""), ("d.bin", b"long text"), ("e.txt", None)], "name string, content binary")
+    assert rows(extract.extracted(df, "name", "content"), "name", "status") == [("a.txt", "cut"), ("b.txt", "done"), ("c.txt", "empty"), ("d.bin", "unsupported"), ("e.txt", "failed")]
