@@ -9,7 +9,9 @@ patterns stay.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -41,7 +43,12 @@ STATES = 1 + 2 * len(FIELD_KINDS)
 NEAR = 3
 
 _TOKEN = re.compile(r"\S+")
-_TELLING = re.compile(r"[0-9@]|[(\[{<](?:at|dot)[)\]}>]|(?:pass|secret|token|key)\S*\s*[=:]", re.I)
+# A key word tells if a sign of assignment follows in its token or right behind it. The last key word before the sign is enough, so no letter is read twice.
+_TELLING = re.compile(r"[0-9@]|[(\[{<](?:at|dot)[)\]}>]|(?:pass|secret|token|key)(?:(?!pass|secret|token|key)[^\s=:])*+\s*+[=:]", re.I)
+# The same matches as the patterns, found in linear time: a run of digits is begun once, and an address is sought from its @ outwards.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_LINEAR = PATTERNS | {"ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")}
 _DIGITS = re.compile(r"[0-9]")
 _SHAPES = ((re.compile("[0-9]+"), "9"), (re.compile("[A-Z]+"), "A"), (re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"(?:9a){2,}9?|(?:a9){2,}a?|(?:9A){2,}9?|(?:A9){2,}A?"), "x"))
 #: What may stand around a span without being of it.
@@ -67,12 +74,28 @@ def _holds(kind: str, found: str) -> bool:
     return kind == "email" or 10 <= len(digits) <= 15
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Where the email pattern matches: no sign of a name is an @, so a match has the longest name that ends at its @ and begins after the match before."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        name = len(text[free:at]) - len(text[free:at].rstrip(_LOCAL))
+        found = _DOMAIN.match(text, at) if name else None
+        if found:
+            yield at - name, found.end()
+        free = found.end() if found else at + 1
+        at = text.find("@", free)
+
+
+def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    return _addresses(text) if kind == "email" else (m.span() for m in _LINEAR[kind].finditer(text))
+
+
 def base_spans(text: str) -> list[Span]:
     """The spans of the fixed patterns, by start and then by kind."""
     found = []
     for kind, needed in zip(KINDS, ("@", ".", "", "+"), strict=True):
         if needed in text:
-            found += [(m.start(), m.end(), kind) for m in PATTERNS[kind].finditer(text) if _holds(kind, m.group())]
+            found += [(a, b, kind) for a, b in _matches(kind, text) if _holds(kind, text[a:b])]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -244,8 +267,8 @@ def viterbi(features: np.ndarray, weight: np.ndarray, move: np.ndarray) -> np.nd
         best = x.max(axis=1) + emit[:, t]
     states = [best.argmax(axis=1)]
     for step in reversed(came):
-        states.insert(0, step[np.arange(len(step)), states[0]])
-    return np.stack(states, axis=1)
+        states.append(step[np.arange(len(step)), states[-1]])
+    return np.stack(states[::-1], axis=1)
 
 
 def _plausible(kind: str, found: str) -> bool:
@@ -259,9 +282,11 @@ def _plausible(kind: str, found: str) -> bool:
 
 def _core(text: str, a: int, b: int) -> tuple[int, int]:
     """The span without what stands around it; a bracket goes if its other half isn't in the span."""
-    while a < b and (text[a] in _EDGE or text[a] == "(" and ")" not in text[a:b]):
+    closed = text.rfind(")", a, b)
+    while a < b and (text[a] in _EDGE or text[a] == "(" and closed < a):
         a += 1
-    while a < b and (text[b - 1] in _EDGE or text[b - 1] == ")" and "(" not in text[a:b]):
+    opened = text.find("(", a, b)
+    while a < b and (text[b - 1] in _EDGE or text[b - 1] == ")" and not 0 <= opened < b):
         b -= 1
     return a, b
 
@@ -274,14 +299,21 @@ def added_spans(texts: list[str], base: list[list[Span]], weight: np.ndarray, mo
             runs.append(run), where.append(i)
     out: list[list[Span]] = [[] for _ in texts]
     features = [_features([texts[i][a:b] for a, b in run]) for run, i in zip(runs, where, strict=True)]
+    starts = [[a for a, _, _ in spans] for spans in base]
+    reach = [list(itertools.accumulate((b for _, b, _ in spans), max)) for spans in base]
+
+    def meets(i: int, a: int, b: int) -> bool:
+        before = bisect.bisect_left(starts[i], b)
+        return before > 0 and reach[i][before - 1] > a
+
     for _, own in _by_length(features) if runs else ():
         for at, states in zip(own, viterbi(np.array([features[i] for i in own]), weight, move), strict=True):
-            text, spans = texts[where[at]], base[where[at]]
+            text = texts[where[at]]
             begin = None
             for j, state in enumerate([*states, 0]):
                 if begin is not None and not (state and state % 2 == 0 and (state - 2) // 2 == kind):
                     a, b = _core(text, runs[at][begin][0], runs[at][j - 1][1])
-                    if a < b and _plausible(FIELD_KINDS[kind], text[a:b]) and not any(s[0] < b and s[1] > a for s in spans):
+                    if a < b and _plausible(FIELD_KINDS[kind], text[a:b]) and not meets(where[at], a, b):
                         out[where[at]].append((a, b, FIELD_KINDS[kind]))
                     begin = None
                 if state % 2 == 1:

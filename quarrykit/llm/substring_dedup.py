@@ -24,7 +24,8 @@ from quarrykit.llm.store import written
 #: Words that a run of repeated units needs to be removed.
 LEAST = 25
 
-_SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+", re.MULTILINE)
+# The first mark with white space or the line's end behind it ends a sentence. One mark is looked at a time, so that a line of nothing but marks takes linear time.
+_SENTENCE = re.compile(r"[^\n]*?[.!?](?=\s|$)|[^\n]+", re.MULTILINE)
 
 UNITS = "doc_id long, key long, seq int, digest long"
 

@@ -6,9 +6,12 @@ import itertools
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrykit.llm import decontam, langid, line_dedup, mixing, ngram_join, pii, quality_lm, quality_rules, scan, substring_dedup, warc
@@ -417,6 +420,35 @@ def brute_base(text):
     return ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(out))
 
 
+@given(st.text(alphabet="ab1.@-+%_ é\n:", max_size=40) | st.text(alphabet="12345.+ -()", max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_base_spans_are_those_of_the_patterns(text):
+    assert pii.joined(pii.base_spans(text)) == brute_base(text)
+
+
+@given(st.lists(st.sampled_from(["key", "pass", "secret", "token", "s", "k", "=", ":", " ", "\t", "x"]), max_size=12).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_key_words_tell_as_the_plain_pattern_says(text):
+    assert bool(pii._TELLING.search(text)) == bool(re.search(r"(?:pass|secret|token|key)\S*\s*[=:]", text))
+
+
+@given(st.text(alphabet="a.!? \n\r\x0b", max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_sentences_are_those_of_the_plain_pattern(text):
+    plain = re.compile(r"[^\n]*?[.!?]+(?=\s|$)|[^\n]+", re.MULTILINE)
+    assert [m.span() for m in substring_dedup._SENTENCE.finditer(text)] == [m.span() for m in plain.finditer(text)]
+
+
+@pytest.mark.parametrize("line", ["." * 2_000_000 + "x", "a" * 2_000_000 + " b@c", "7" * 2_000_000, "1.2.3." * 350_000, "key" * 700_000, "key " + " " * 2_000_000, "(" * 2_000_000 + "@", "@" * 300_000, "1.2.3.4 " * 20_000])
+def test_long_lines_take_linear_time(line):
+    begun = time.monotonic()
+    list(substring_dedup.units_of(line))
+    pii.base_spans(line)
+    weight, move = np.ones((pii.FEATURES, pii.STATES)), np.zeros((pii.STATES, pii.STATES))
+    pii.added_spans([line], [pii.base_spans(line)], weight, move)
+    assert time.monotonic() - begun < 20
+
+
 def test_personal_data(spark):
     rng = random.Random(7)
     samples = ["Write a.b@mail.example.com now", "host 10.0.0.255 and 300.1.1.1", "card 4111 1111 1111 1111.", "call +1 (462) 555-7216 é", "nothing here", "1.2.3.4.5 x@y.z 4962251213359604"]
