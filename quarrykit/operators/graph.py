@@ -46,6 +46,53 @@ def below(parents: DataFrame, root: int, depth: int) -> DataFrame:
     return found
 
 
+def ancestry(parents: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """(id, root, depth, marked_by, cycle) for each id of parents(id, parent): the topmost folder above it and the steps to it, and
+    the nearest folder of marked(id), itself included, on the way.
+
+    Pointers are doubled, so the rounds follow the logarithm of the depth, and
+    only rows that haven't arrived are written again. A parent that is no id is a
+    root, as is a folder that is its own parent. When a round brings no row
+    to its root, all that are left lead into cycles: they have no root and no
+    depth, and ``cycle`` is the least id of the cycle they end in; it is null
+    elsewhere. Of several parents of one id the least counts. Null ids are left out.
+    """
+    one = parents.where("id IS NOT NULL").groupBy("id").agg(F.min("parent").alias("up"))
+    signs = (one.select("id").limit(0) if marked is None else marked.select("id").where("id IS NOT NULL").distinct()).withColumn("mark", F.col("id"))
+    one = written(one.withColumn("up", F.coalesce("up", "id")), "parents")
+    above = one.select(F.col("up").alias("id")).distinct().join(one.select("id"), "id", "left_anti")
+    nodes = one.withColumn("own", F.lit(True)).unionByName(above.withColumns({"up": F.col("id"), "own": F.lit(False)})).join(signs, "id", "left")
+    start = written(nodes.select("id", "up", "own", "mark", (F.col("id") != F.col("up")).cast("long").alias("steps"), (F.col("id") == F.col("up")).alias("done")), "doubling")
+    arrived, active = start.where("done"), start.where("NOT done")
+    plain = active
+    while not active.isEmpty():
+        far = arrived.unionByName(active).select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"), F.col("mark").alias("__mark"), F.col("done").alias("__done"))
+        moved = active.join(far, "up").select("id", F.col("__up").alias("up"), "own", F.coalesce("mark", "__mark").alias("mark"), (F.col("steps") + F.col("__steps")).alias("steps"), F.col("__done").alias("done"))
+        moved = written(moved, "doubling")
+        fresh = moved.where("done")
+        if fresh.isEmpty():
+            break
+        arrived, active = arrived.unionByName(fresh), moved.where("NOT done")
+    tree = arrived.where("own").select("id", F.col("up").alias("root"), F.col("steps").alias("depth"), F.col("mark").alias("marked_by"), F.lit(None).cast(one.schema["id"].dataType).alias("cycle"))
+    left = active.count()
+    if not left:
+        return tree
+    # Pointers of at least as many steps as rows are left end inside a cycle and have passed all of it once they began there.
+    ring = written(plain.join(active.select("id"), "id", "left_semi").select("id", "up", "mark", F.col("id").alias("least")), "ring")
+    for _ in range(max(1, (left - 1).bit_length())):
+        far = ring.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("mark").alias("__mark"), F.col("least").alias("__least"))
+        ring = written(ring.join(far, "up").select("id", F.col("__up").alias("up"), F.coalesce("mark", "__mark").alias("mark"), F.least("least", "__least").alias("least")), "ring")
+    named = ring.join(ring.select(F.col("id").alias("up"), F.col("least").alias("cycle")), "up")
+    nothing = {"root": F.lit(None).cast(one.schema["id"].dataType), "depth": F.lit(None).cast("long"), "marked_by": F.col("mark")}
+    return tree.unionByName(named.withColumns(nothing).select("id", "root", "depth", "marked_by", "cycle"))
+
+
+def outside(df: DataFrame, folder: str, parents: DataFrame, denied: DataFrame) -> DataFrame:
+    """The rows of df whose folder isn't denied(id) and lies under none that is. A null folder, and one that nothing is known of, is outside unless it is denied itself."""
+    under = ancestry(parents, denied).where("marked_by IS NOT NULL").select("id")
+    return df.join(under.unionByName(denied.select("id")).distinct().withColumnRenamed("id", folder), folder, "left_anti")
+
+
 def empty_folders(folders: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
     """Folders without a file at any depth."""
     parts = F.split(path, "/")
