@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions import tables
-from quarrykit.operators import catalogue, graph, resume
+from quarrykit.operators import catalogue, graph, resume, schema_check
 from quarrykit.plans.registry import FILES, Tables, query, simple
 from quarrykit.plans.tables import shared_dir
 
@@ -93,3 +93,30 @@ simple("f04_secrets_in_sql", _sql("SELECT doc_id, rule, start FROM {docs}, LATER
        + "), r AS (SELECT doc_id, rule, text, found, 1 AS n, instr(text, found[1]) - 1 AS start FROM f WHERE len(found) > 0 UNION ALL SELECT doc_id, rule, text, found, n + 1, start + length(found[n]) + instr(substr(text, start + length(found[n]) + 1), found[n + 1]) - 1 FROM r WHERE n < len(found)) SELECT doc_id, rule, start::BIGINT AS start FROM r")
 simple("f04_first_rows_in_sql", _sql("SELECT * FROM first_rows(TABLE(SELECT user_id, ts, event_id FROM {events}) PARTITION BY user_id ORDER BY (ts, event_id), 3)"),
        "SELECT * FROM (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS place FROM events) WHERE place <= 3")
+
+# Records of orders with their lines as JSON texts, some of them broken, against a nested schema
+_RECORD = {
+    "type": "object", "required": ["id", "at", "customer", "lines"],
+    "properties": {
+        "id": {"type": "integer", "minimum": 1}, "at": {"type": "string", "format": "date-time"},
+        "customer": {"type": "object", "required": ["key"], "properties": {"key": {"type": "integer"}}, "additionalProperties": False},
+        "lines": {"type": "array", "minItems": 2, "items": {"type": "object", "properties": {"quantity": {"type": "number", "maximum": 45}, "flag": {"enum": ["A", "N"]}}}},
+    },
+}
+
+
+@query("n05_nested_validation", """WITH l AS (SELECT l_orderkey AS id, l_quantity AS q, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_returnflag) - 1 AS i FROM lineitem),
+  o AS (SELECT o_orderkey AS id, o_custkey % 3 = 0 AS unnamed, o_custkey % 4 = 0 AS more, o_orderstatus = 'P' AS undated, (SELECT count(*) FROM l WHERE l.id = o_orderkey) AS n FROM orders),
+  r AS (SELECT id, '$: not JSON' AS issue FROM o WHERE id % 11 = 0 UNION ALL SELECT id, '$.id: beyond the minimum 1' FROM o WHERE id < 1 UNION ALL SELECT id, '$.at: no date-time' FROM o WHERE undated
+    UNION ALL SELECT id, '$.customer: missing key' FROM o WHERE unnamed UNION ALL SELECT id, '$.customer.more: not allowed' FROM o WHERE more UNION ALL SELECT id, '$.lines: beyond the minItems 2' FROM o WHERE n < 2
+    UNION ALL SELECT id, '$.lines[' || i || '].quantity: beyond the maximum 45' FROM l SEMI JOIN o USING (id) WHERE q > 45 UNION ALL SELECT id, '$.lines[' || i || '].flag: not one of the allowed values' FROM l SEMI JOIN o USING (id) WHERE flag NOT IN ('A', 'N'))
+  SELECT id, issue FROM r WHERE id % 11 <> 0 OR issue = '$: not JSON'""")
+def _(t: Tables) -> DataFrame:
+    line = F.struct("l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    when = F.when(F.col("o_orderstatus") == "P", F.col("o_orderstatus")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'"))
+    customer = F.struct(F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")).alias("key"), F.when(F.col("o_custkey") % 4 == 0, "x").alias("more"))
+    orders = t.orders.join(lines, "o_orderkey", "left").withColumn("lines", F.coalesce("lines", F.array().cast(dict(lines.dtypes)["lines"])))
+    raw = F.to_json(F.struct(F.col("o_orderkey").alias("id"), when.alias("at"), customer.alias("customer"), "lines"))
+    raw = F.when(F.col("o_orderkey") % 11 == 0, F.substring(raw, 1, 20)).otherwise(raw)
+    return orders.select(F.col("o_orderkey").alias("id"), F.explode(schema_check.schema_issues(raw, _RECORD)).alias("issue"))
