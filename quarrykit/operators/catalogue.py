@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.operators.dedupe import MOST_KEYS
 from quarrykit.plans.log import Log
+from quarrykit.plans.tables import written
 
 
 class Catalogue:
@@ -90,6 +91,28 @@ class Catalogue:
             self.log.forget(name, {b[i] for b in state["batches"]})
 
 
+def fill_vault(vault: Catalogue, files: DataFrame, size: str) -> int:
+    """Put into a vault, a catalogue by path, the files that it lacks or holds in another size; returns how many that were.
+
+    What is there with the same path and size stays and isn't read from
+    ``files``: only paths and sizes are compared, and content moves for new rows
+    alone. Where nothing is new, nothing is written. Of several files of one path
+    the one of the greatest size counts; a null path is a path, a null size a size.
+    """
+    path = vault.key
+    wanted = files.groupBy(F.col(path).alias("__path")).agg(F.max(size).alias("__size"))
+    if vault.log.state["schema"] is not None:
+        there = vault.read().select(F.col(path).alias("__there"), F.col(size).alias("__held"))
+        wanted = wanted.join(there, F.col("__path").eqNullSafe(F.col("__there")) & F.col("__size").eqNullSafe(F.col("__held")), "left_anti")
+    wanted = written(wanted, "wanted")
+    n = wanted.count()
+    if n:
+        small = F.broadcast(wanted) if n <= MOST_KEYS else wanted
+        fresh = files.join(small, F.col(path).eqNullSafe(F.col("__path")) & F.col(size).eqNullSafe(F.col("__size")), "left_semi")
+        vault.upsert(fresh, size)
+    return n
+
+
 def listing_changes(known: DataFrame, listing: DataFrame, path: str, time: str) -> DataFrame:
     """(path, change) between a catalogue and a new listing: added, gone, or changed, where the time differs. Repeated paths count with their latest time."""
     def side(df: DataFrame, own: str) -> DataFrame:

@@ -49,6 +49,18 @@ def _scans(t: Tables) -> DataFrame:
     return own.read()
 
 
+def _vault(t: Tables) -> DataFrame:
+    """Two of three files come first; all come then, every fifth one longer; the third time nothing is new."""
+    files = t.files.select("path", F.octet_length("text").cast("bigint").alias("bytes"), "text")
+    longer = files.withColumn("text", F.when(F.col("bytes") % 5 == 0, F.concat("text", F.lit("+"))).otherwise(F.col("text"))).withColumn("bytes", F.octet_length("text").cast("bigint"))
+    own = catalogue.Catalogue(t.spark, f"{shared_dir(t.spark)}/vault-{uuid.uuid4().hex}", "path")
+    counts = [catalogue.fill_vault(own, f, "bytes") for f in (files.where("bytes % 3 != 0"), longer, longer)]
+    return own.read().select("path", "bytes", F.md5("text").alias("md5")).withColumn("last_time", F.lit(counts[-1]))
+
+
+simple("k07_vault_filled", _vault,
+       FILES + """, l AS (SELECT path, CASE WHEN strlen(text) % 5 = 0 THEN text || '+' ELSE text END AS text FROM files)
+       SELECT path, b::BIGINT AS bytes, md5(arg_max(text, text)) AS md5, 0::INT AS last_time FROM (SELECT path, text, strlen(text) AS b, max(strlen(text)) OVER (PARTITION BY path) AS m FROM l) WHERE b = m GROUP BY path, b""")
 simple("x01_catalogue_of_scans", _scans,
        FILES + "SELECT doc_id, path, bytes, (doc_id % 700 * 3600 + CASE WHEN doc_id % 10 = 3 THEN 60 ELSE 0 END) AS time, md5(text) AS md5 FROM files WHERE path NOT LIKE '/src1/%'")
 

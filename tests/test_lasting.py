@@ -115,6 +115,20 @@ def test_two_writers(spark, tmp_path):
     assert catalogue.Catalogue(spark, str(tmp_path / "c"), "id").read().count() == 3
 
 
+def test_vault_takes_what_it_lacks(spark, tmp_path):
+    kind = "path string, bytes long, content string"
+    vault = catalogue.Catalogue(spark, str(tmp_path / "v"), "path")
+    files = spark.createDataFrame([("a", 1, "x"), ("b", 2, "yy"), (None, 3, "zzz"), ("c", None, None), ("b", 1, "y"), ("b", 2, "yx")], kind)
+    assert catalogue.fill_vault(vault, files, "bytes") == 4
+    assert rows_of(vault.read()) == [(None, 3, "zzz"), ("a", 1, "x"), ("b", 2, "yy"), ("c", None, None)]
+    number = vault.log.state["number"]
+    assert catalogue.fill_vault(vault, files, "bytes") == 0 and vault.log.state["number"] == number
+    changed = spark.createDataFrame([("a", 1, "other of the same size"), ("b", 5, "grown"), (None, 1, "s")], kind)
+    assert catalogue.fill_vault(vault, changed, "bytes") == 2
+    assert rows_of(vault.read()) == [(None, 1, "s"), ("a", 1, "x"), ("b", 5, "grown"), ("c", None, None)]
+    assert catalogue.fill_vault(vault, changed.limit(0), "bytes") == 0
+
+
 def test_listing_changes(spark):
     kind = "path string, mtime long, extra string"
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", None, None), (None, 5, "x"), ("e", 1, "x"), ("e", 2, "x")], kind)
