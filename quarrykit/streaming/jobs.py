@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quarrykit.operators import dedupe
+from quarrykit.operators.catalogue import Catalogue
+from quarrykit.plans.tables import discard, written
 from quarrykit.sources.sinks import append_ledger
 
 #: Versions of a catalogue that stay.
@@ -49,6 +51,27 @@ def catalogue(stream: DataFrame, table: str, checkpoint: str, key: str, version:
     _finished(stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def catalogue_changes(stream: DataFrame, table: Catalogue, checkpoint: str, version: str, rules: Callable[[DataFrame], DataFrame] | None = None, hits: Catalogue | None = None) -> None:
+    """catalogue() without writing the table anew: a batch writes its own rows, and the hits of the keys it has.
+
+    ``rules`` makes the hits of changed rows, with the key among their columns.
+    Batches have the stream's numbers, so one that is sent again is left out,
+    by each of the two tables on its own.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        key = table.key
+        rest = [c for c in batch.columns if c not in (key, version)]
+        newest = batch.groupBy(key).agg(F.max(F.struct(version, *rest)).alias("__r")).select(key, "__r.*")
+        newest = written(newest, "newest")
+        table.replace(newest, batch=number)
+        if rules is not None and hits is not None:
+            hits.replace(rules(newest), newest.select(F.col(key).alias(hits.key)), batch=number)
+        discard(newest)
+
+    _finished(stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def forget(spark: SparkSession, table: str, number: int, kept: int) -> None:
     """Delete the versions of a table but the last few; a batch that runs twice needs the one before it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs

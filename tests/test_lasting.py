@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.functions import tables
 from quarrykit.operators import catalogue, graph, resume
+from quarrykit.streaming import jobs
 
 
 def walk(parents, marked, i):
@@ -129,6 +130,22 @@ def test_vault_takes_what_it_lacks(spark, tmp_path):
     assert catalogue.fill_vault(vault, changed.limit(0), "bytes") == 0
 
 
+def test_a_stream_of_changes(spark, tmp_path):
+    kind = "doc long, at long, text string"
+    table, hits = catalogue.Catalogue(spark, str(tmp_path / "t"), "doc"), catalogue.Catalogue(spark, str(tmp_path / "h"), "doc")
+    rules = lambda df: df.select("doc", F.explode(F.regexp_extract_all("text", F.lit("x[0-9]"), F.lit(0))).alias("rule"))
+    step = lambda: jobs.catalogue_changes(jobs.file_stream(spark, str(tmp_path / "in"), kind), table, str(tmp_path / "state"), "at", rules, hits)
+    spark.createDataFrame([(1, 1, "x1 x2"), (2, 1, "none"), (3, 1, "x3"), (None, 1, "x9")], kind).write.mode("append").parquet(str(tmp_path / "in"))
+    step()
+    spark.createDataFrame([(1, 2, "x4"), (1, 1, "x5"), (3, 2, "gone"), (4, 1, "x6 x6")], kind).write.mode("append").parquet(str(tmp_path / "in"))
+    step()
+    assert rows_of(table.read()) == [(None, 1, "x9"), (1, 2, "x4"), (2, 1, "none"), (3, 2, "gone"), (4, 1, "x6 x6")]
+    assert rows_of(hits.read()) == [(None, "x9"), (1, "x4"), (4, "x6"), (4, "x6")]
+    number = table.log.state["number"], hits.log.state["number"]
+    step()
+    assert (table.log.state["number"], hits.log.state["number"]) == number
+
+
 def test_listing_changes(spark):
     kind = "path string, mtime long, extra string"
     old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", None, None), (None, 5, "x"), ("e", 1, "x"), ("e", 2, "x")], kind)
