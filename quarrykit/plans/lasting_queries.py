@@ -11,6 +11,7 @@ from quarrykit.functions import tables
 from quarrykit.operators import catalogue, graph, resume, schema_check
 from quarrykit.plans.registry import FILES, Tables, query, simple
 from quarrykit.plans.tables import shared_dir
+from quarrykit.streaming import jobs
 
 # Folders: chains of 64, and a cycle of twelve with a tail in every eighth chain
 _PARENT = "CASE WHEN p_partkey % 512 = 100 THEN p_partkey + 11 WHEN p_partkey % 64 = 0 THEN p_partkey {div} 64 ELSE p_partkey - 1 END"
@@ -65,6 +66,21 @@ simple("x01_catalogue_of_scans", _scans,
        FILES + "SELECT doc_id, path, bytes, (doc_id % 700 * 3600 + CASE WHEN doc_id % 10 = 3 THEN 60 ELSE 0 END) AS time, md5(text) AS md5 FROM files WHERE path NOT LIKE '/src1/%'")
 
 
+def _watched(t: Tables) -> DataFrame:
+    """The last event of each user, and how often its kind is among the hits, from a stream of all events."""
+    base = f"{shared_dir(t.spark)}/watched-{uuid.uuid4().hex}"
+    table, hits = (catalogue.Catalogue(t.spark, f"{base}/{n}", "user_id") for n in ("table", "hits"))
+    kinds = lambda df: df.where("event_type IN ('click', 'purchase')").select("user_id", "event_type")
+    stream = t.stream("events", t.events.schema).select("user_id", "event_id", "event_type")
+    jobs.catalogue_changes(stream, table, f"{base}/state", "event_id", kinds, hits)
+    found = hits.read().groupBy("user_id").agg(F.count("*").alias("hits"))
+    return table.read().join(found, "user_id", "left").select("user_id", "event_id", "event_type", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+simple("x01_catalogue_of_a_stream", _watched,
+       "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, (arg_max(event_type, event_id) IN ('click', 'purchase'))::BIGINT AS hits FROM events GROUP BY user_id")
+
+
 @query("x07_resumed_units", "SELECT l_suppkey, count(*) AS lines, sum(CAST(l_quantity AS BIGINT))::BIGINT AS quantity FROM lineitem GROUP BY l_suppkey")
 def _(t: Tables) -> DataFrame:
     # The second wave of the first run fails; the second run has no input of its own and ends what the first one dealt.
