@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,10 +15,6 @@ from quarrykit.functions.columns import occurrences
 from quarrykit.operators.dedupe import rejoined
 from quarrykit.plans.tables import written
 
-#: Queries that are broadcast at once, about.
-MOST_QUERIES = 10_000
-
-
 def keyword_top(df: DataFrame, name: str, text: str, query: str, k: int) -> DataFrame:
     """The k rows that hold the query most often."""
     scored = df.select(name, occurrences(F.col(text), query).alias("score")).where("score > 0")
@@ -49,66 +47,72 @@ def match_prefix_not(index: DataFrame, name: str, prefix: str, without: str) ->
     return index.where(F.col("term").startswith(prefix)).select(name).distinct().join(index.where(F.col("term") == without).select(name).distinct(), name, "left_anti")
 
 
-def tfidf_vectors(df: DataFrame, name: str, text: str, grams: int = 2, vocabulary: int = 200_000) -> DataFrame:
-    """(name, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), each row of length one.
+def tfidf_vectors(df: DataFrame, name: str, text: str, vocabulary: int = 200_000) -> DataFrame:
+    """(name, terms, weights), written: tf * (ln((1 + n) / (1 + df)) + 1), each row of length one, its terms by number.
 
-    Terms are runs of up to ``grams`` neighbouring words; the vocabulary, the
-    most frequent of them, has a size of its own.
+    Terms are words and pairs of neighbouring words; the vocabulary, the most
+    frequent of them, has a size of its own, which bounds what is broadcast. Rows
+    of one name are one; a row without a term of the vocabulary is left out.
     """
+    spark = df.sparkSession
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
-    rows = df.select(name, F.explode(F.array(words)).alias("__w"))
-    run = lambda k: F.when(F.size("__w") >= k, F.transform(F.sequence(F.lit(1), F.size("__w") - (k - 1)), lambda i: F.array_join(F.slice("__w", i, k), " "))).otherwise(F.array().cast("array<string>"))
-    terms = F.concat("__w", *(run(k) for k in range(2, grams + 1)))
-    tf = written(rows.select(name, F.explode(terms).alias("term")).groupBy(name, "term").agg(F.count("*").alias("tf")), "terms")
-    kept = tf.groupBy("term").agg(F.sum("tf").alias("all")).orderBy(F.desc("all"), "term").limit(vocabulary).select("term")
-    tf = tf.join(kept, "term", "left_semi")
-    n = df.select(F.count("*").alias("n"))
-    df_ = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))  # n is one row
-    weighed = tf.join(df_, "term").select(name, "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = weighed.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norm, name).select(name, "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def tfidf_top(vectors: DataFrame, queries: DataFrame, name: str, query: str, k: int) -> DataFrame:
-    """(query, name, score, rank): for each query vector the k nearest rows by cosine."""
-    q = written(queries.select(F.col(query), "term", F.col("weight").alias("qw")), "asked")
-    vectors = written(vectors.repartition(name), "vectors")  # the terms of a row stand together, so that its sums are made where they are
-    found = []
-    for block in blocks_of(q, query):
-        dots = vectors.join(F.broadcast(block), "term").groupBy(query, name).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 6).alias("score"))
-        ranked = dots.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), name)))
-        found.append(ranked.where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
-
-
-def blocks_of(queries: DataFrame, query: str, most: int = 1_000_000) -> list[DataFrame]:
-    """The rows of queries in blocks of ``most`` about, all of a query in one."""
-    n = -(-queries.count() // most) or 1
-    return [queries.where(F.pmod(F.xxhash64(query), F.lit(n)) == b) for b in range(n)]
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v))
-
-
-def vector_top(vectors: DataFrame, queries: DataFrame, score: Column, k: int, name: str = "vec_id", query: str = "query_id", ascending: bool = True) -> DataFrame:
-    """For each query the k best vectors, exactly.
-
-    Queries are a stated set; they are broadcast in blocks of MOST_QUERIES about.
-    The rank's limit also applies before the shuffle, so each task sends k rows
-    for each query at most.
-    """
-    order = F.col("score") if ascending else F.desc("score")
-    found = []
-    for block in blocks_of(queries, query, MOST_QUERIES):
-        scored = vectors.join(F.broadcast(block)).select(query, name, score.alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(order, name)))
-        found.append(ranked.where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
+    held = written(df.select(name, words.alias("words")).where(F.size("words") > 0), "words")
+    pairs = held.select(F.explode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))).alias("p")).select("p.a", "p.b")
+    every = pairs.select(F.explode(F.array("a", F.concat("a", F.lit(" "), "b"))).alias("term")).where("term IS NOT NULL")
+    kept = every.groupBy("term").agg(F.count("*").alias("all")).orderBy(F.desc("all"), "term").limit(vocabulary)
+    terms = spark.sparkContext.broadcast(kept.select("term").toArrow().column(0).combine_chunks())
+    kind = dict(df.dtypes)[name]
+    rows = held.groupBy(name).agg(F.collect_list("words").alias("texts"))
+    counts = written(rows.mapInArrow(_term_counts(terms, name), f"{name} {kind}, terms array<int>, counts array<int>"), "counts")
+    n = df.count()
+    found = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).toArrow()  # as many rows as the vocabulary
+    idf = np.zeros(vocabulary)
+    idf[found.column("term").to_numpy()] = np.log((1 + n) / (1 + found.column("df").to_numpy())) + 1
+    weighed = counts.mapInArrow(_weights(spark.sparkContext.broadcast(idf), name), f"{name} {kind}, terms array<int>, weights array<double>")
+    return written(weighed, "vectors")
+
+
+def _term_counts(terms, name: str):
+    """The numbers of a row's terms, ascending, and how often it holds each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = terms.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                texts = part.column(1)
+                words = texts.flatten()
+                size = np.asarray(pc.list_value_length(words), np.int64)
+                row = np.repeat(np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(texts), np.int64)), size)
+                flat = words.flatten()
+                inner = np.ones(max(len(flat) - 1, 0), bool)
+                inner[np.cumsum(size)[:-1] - 1] = False  # no pair goes from one text to the next
+                first = np.flatnonzero(inner)
+                pairs = pc.binary_join_element_wise(flat.take(pa.array(first)), flat.take(pa.array(first + 1)), " ")
+                number = np.concatenate([pc.fill_null(pc.index_in(x, known), -1).to_numpy(zero_copy_only=False) for x in (flat, pairs)]).astype(np.int64)
+                key = (np.concatenate([row, row[first]]) * len(known) + number)[number >= 0]
+                key, count = np.unique(key, return_counts=True)
+                offsets = np.searchsorted(key, np.arange(part.num_rows + 1) * len(known)).astype(np.int32)
+                lists = (pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (key % max(len(known), 1), count))
+                out = pa.RecordBatch.from_arrays([part.column(0), *lists], [name, "terms", "counts"])
+                yield out.filter(pa.array(np.diff(offsets) > 0))
+
+    return run
+
+
+def _weights(idf, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = idf.value
+        for batch in batches:
+            terms, counts = batch.column(1), batch.column(2)
+            sizes = np.asarray(pc.list_value_length(terms), np.int64)
+            w = counts.flatten().to_numpy() * known[terms.flatten().to_numpy()]
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            w = w / np.sqrt(np.bincount(row, w * w, batch.num_rows))[row]
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), terms, pa.ListArray.from_arrays(offsets, pa.array(w))], [name, "terms", "weights"])
+
+    return run
 
 
 def fused(words: DataFrame, near: DataFrame, name: str) -> DataFrame:

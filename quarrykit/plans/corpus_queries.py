@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarrykit.functions import columns as c
 from quarrykit.functions import udfs
-from quarrykit.operators import dedupe, graph, nearest, payloads, plans, rules, search, text_index
+from quarrykit.operators import best, dedupe, graph, nearest, payloads, plans, rules, search, text_index
 from quarrykit.plans.registry import BUCKET, EXT, FILES, Tables, query, simple
 from quarrykit.plans.tables import shared_dir
 from quarrykit.sources import extract, sinks
@@ -179,16 +179,15 @@ simple("q02_timeline_nulls_first", lambda t: t.events.select("event_id", F.coale
 simple("q03_keyword_top", lambda t: search.keyword_top(t.documents, "doc_id", "text", "th", 20), "SELECT doc_id, score " + _ORDERED)
 
 
-def _vectors(t: Tables, score, ascending: bool) -> DataFrame:
-    base = t.embeddings.select("vec_id", "embedding")
-    asked = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return search.vector_top(base, asked, score(), 5, ascending=ascending)
+def _vectors(t: Tables, measure: str) -> DataFrame:
+    asked = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return best.nearest_top(t.embeddings, asked, "vec_id", "embedding", "query_id", 5, measure)
 
 
 _PAIRS = "SELECT q.vec_id AS query_id, v.vec_id, round({score}, 5) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0"
-simple("q04_vector_top", lambda t: _vectors(t, lambda: F.round(search.distance(F.col("embedding"), F.col("q")), 5), True),
+simple("q04_vector_top", lambda t: _vectors(t, "distance"),
        "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (" + _PAIRS.format(score="list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[])") + ") QUALIFY rank <= 5")
-simple("q05_cosine_top", lambda t: _vectors(t, lambda: F.round(search.dot(F.col("embedding"), F.col("q")) / F.sqrt(search.dot(F.col("embedding"), F.col("embedding")) * search.dot(F.col("q"), F.col("q"))), 5), False),
+simple("q05_cosine_top", lambda t: _vectors(t, "cosine"),
        "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (" + _PAIRS.format(score="list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])") + ") QUALIFY rank <= 5")
 
 
@@ -209,7 +208,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     v = search.tfidf_vectors(t.documents, "doc_id", "text")
     asked = v.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query")
-    return search.tfidf_top(v, asked, "doc_id", "query", 5)
+    return best.sharing_top(v, asked, "doc_id", "query", 5)
 
 
 _INDEX = "WITH p AS (SELECT doc_id, unnest(x) AS term, generate_subscripts(x, 1) AS position FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]{2,}') AS x FROM documents)) "
@@ -260,10 +259,8 @@ simple("q07_after_merge", lambda t: _id((i := _changed_index(t, True)).without(i
   r AS (SELECT doc_id, 0 AS src, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM k UNION ALL SELECT doc_id, 1, row_number() OVER (ORDER BY score DESC, doc_id) FROM v)
   SELECT doc_id, src, pos FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY src, pos) = 1""")
 def _(t: Tables) -> DataFrame:
-    base = t.embeddings.select("vec_id", "embedding")
-    asked = base.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    cosine = F.round(search.dot(F.col("embedding"), F.col("q")) / F.sqrt(search.dot(F.col("embedding"), F.col("embedding")) * search.dot(F.col("q"), F.col("q"))), 5)
-    near = search.vector_top(base, asked, cosine, 20, ascending=False).select(F.col("vec_id").alias("doc_id"), F.col("rank").alias("pos"))
+    asked = t.embeddings.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = best.nearest_top(t.embeddings, asked, "vec_id", "embedding", "query_id", 20, "cosine").select(F.col("vec_id").alias("doc_id"), F.col("rank").alias("pos"))
     words = search.keyword_top(t.documents, "doc_id", "text", "th", 20).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
     return search.fused(words, near, "doc_id")
 
