@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +25,35 @@ from quarrykit.functions.columns import terms_of
 
 #: Folders of a segment by the hash of the term.
 BUCKETS = 64
-#: Documents for each of which a bucket has one more file, so that a term that all have is in many.
-SPREAD = 1_000_000
+#: Bytes of text for each of which there is a file, so that a task's share stays the same; a term that all documents have is in many.
+PART = 8_000_000
 #: Deleted ids that are broadcast at most.
 MOST = 1_000_000
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, term, positions) of (id, texts), a text as its words: each term of a row once, so that no position is a row of a shuffle."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            texts = part.column(1)
+            words = texts.flatten()
+            size = np.asarray(pc.list_value_length(words), np.int64)
+            row = np.repeat(np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(texts), np.int64)), size)
+            if not row.size:
+                continue
+            position = np.arange(row.size) - np.repeat(np.cumsum(size) - size, size)
+            coded = words.flatten().dictionary_encode()
+            code = coded.indices.to_numpy()
+            key = row * len(coded.dictionary) + code
+            order = np.lexsort((position, key))
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            offsets = pa.array(np.append(first, row.size).astype(np.int32))
+            positions = pa.ListArray.from_arrays(offsets, pa.array(position[order].astype(np.int32)))
+            lead = order[first]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[lead])), coded.dictionary.take(pa.array(code[lead])), positions], ["id", "term", "positions"])
+
+
 class TextIndex:
     """The index in a folder; ids are of any type, terms as columns.terms_of gives them. Null ids and texts have no terms."""
 
@@ -63,13 +89,11 @@ class TextIndex:
         """A segment of docs; rows of ids that are there already are hidden. Repeated ids of one call are one document, its terms joined."""
         number = self.state["number"] + 1
         folder = f"{number:09d}-{uuid.uuid4().hex[:8]}"
-        rows = docs.where(F.col(name).isNotNull()).select(F.col(name).alias("id"), F.posexplode(terms_of(F.col(text))).alias("position", "term"))
-        spread = -(-docs.count() // SPREAD) or 1
-        rows = rows.withColumns({"bucket": self._bucket(F.col("term")), "salt": F.pmod(F.xxhash64("id"), F.lit(spread))})
-        # Dealt once: the grouping keys hold those of the exchange.
-        dealt = rows.repartition(min(self.state["buckets"] * spread, 2000), "bucket", "salt")
-        lists = dealt.groupBy("bucket", "salt", "term", "id").agg(F.array_sort(F.collect_list("position")).alias("positions")).drop("salt")
-        lists.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/{folder}")
+        rows = docs.where(F.col(name).isNotNull()).select(F.col(name).alias("id"), terms_of(F.col(text)).alias("words"))
+        again = not rows.groupBy("id").count().where("count > 1").isEmpty()
+        texts = rows.groupBy("id").agg(F.collect_list("words").alias("texts")) if again else rows.select("id", F.array("words").alias("texts"))
+        lists = texts.mapInArrow(_lists, f"id {dict(rows.dtypes)['id']}, term string, positions array<int>").withColumn("bucket", self._bucket(F.col("term")))
+        self._put(lists, docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, folder)
         terms = self.spark.read.schema("bucket int, term string").option("basePath", f"{self.path}/postings/{folder}").parquet(f"{self.path}/postings/{folder}")
         terms.groupBy("term", "bucket").agg(F.count("*").alias("documents")).sortWithinPartitions("term").write.parquet(f"{self.path}/terms/{folder}")
         docs.where(F.col(name).isNotNull()).select(F.col(name).alias("id")).distinct().write.parquet(f"{self.path}/ids/{folder}")
@@ -85,15 +109,20 @@ class TextIndex:
     def merge(self) -> None:
         """One segment of all that is visible. The old ones stay for those who read them, until drop_old()."""
         folder = f"{self.state['number'] + 1:09d}-{uuid.uuid4().hex[:8]}"
-        lists, ids = self._visible(self._read("postings")), self._visible(self._read("ids"))
-        parts = self.state["buckets"] * (-(-ids.count() // SPREAD) or 1)
-        dealt = lists.drop("number").repartition(min(parts, 2000), "bucket", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // self.state["buckets"]))))
-        dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/{folder}")
+        lists, ids = self._read("postings"), self._visible(self._read("ids"))
+        words = lists.agg(F.sum(F.size("positions"))).first()[0] or 0
+        self._put(self._visible(lists, -(-6 * words // PART)).drop("number"), 6 * words, folder)  # a word takes 6 bytes of text, about
         ids.select("id").write.parquet(f"{self.path}/ids/{folder}")
         made = self.spark.read.parquet(f"{self.path}/postings/{folder}")
         made.groupBy("term", "bucket").agg(F.count("*").alias("documents")).sortWithinPartitions("term").write.parquet(f"{self.path}/terms/{folder}")
         self._commit(segments={folder: self.state["number"] + 1}, deleted={})
 
+    def _put(self, lists: DataFrame, size: int, folder: str) -> None:
+        """Write the postings of ``size`` bytes of text, about, in tasks of PART bytes or less."""
+        spread = -(-size // (PART * self.state["buckets"])) or 1
+        dealt = lists.repartition(self.state["buckets"] * spread, "bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
+        dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/{folder}")
+
     def drop_old(self) -> None:
         """Delete segments that no longer count; whoever read an older state must be done."""
         for kind in ("postings", "terms", "ids"):
@@ -114,12 +143,17 @@ class TextIndex:
         parts = [self.spark.read.parquet(f"{self.path}/{kind}/{folder}").withColumn("number", F.lit(number)) for folder, number in self.state["segments"].items()]
         return reduce(DataFrame.unionByName, parts)
 
-    def _visible(self, rows: DataFrame) -> DataFrame:
-        for folder, number in self.state["deleted"].items():
-            gone = self.spark.read.parquet(f"{self.path}/{folder}").select(F.col("id").alias("__gone"))
-            gone = F.broadcast(gone) if gone.limit(MOST + 1).count() <= MOST else gone
-            rows = rows.join(gone, (F.col("id") == F.col("__gone")) & (F.col("number") < number), "left_anti")
-        return rows
+    def _visible(self, rows: DataFrame, parts: int = 0) -> DataFrame:
+        """The rows whose id was not deleted later. Where the ids are too many to broadcast, rows are joined once, in ``parts`` if given."""
+        deleted = [self.spark.read.parquet(f"{self.path}/{folder}").select(F.col("id").alias("__gone"), F.lit(number).alias("__since")) for folder, number in self.state["deleted"].items()]
+        if not deleted:
+            return rows
+        gone = reduce(DataFrame.unionByName, deleted).groupBy("__gone").agg(F.max("__since").alias("__since"))
+        if gone.limit(MOST + 1).count() <= MOST:
+            gone = F.broadcast(gone)
+        elif parts:
+            rows = rows.repartition(parts, "id")
+        return rows.join(gone, (F.col("id") == F.col("__gone")) & (F.col("number") < F.col("__since")), "left_anti")
 
     def _buckets_of(self, terms: Sequence[str]) -> list[int]:
         asked = self.spark.range(1).select(F.explode(F.array(*map(F.lit, terms))).alias("term"))
