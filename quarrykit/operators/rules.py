@@ -51,12 +51,21 @@ def literal(pattern: str) -> str:
     return max((r for r in (run.lower() for run in runs if run.isascii())), key=len, default="")
 
 
+def _only_literal(pattern: str, need: str) -> bool:
+    """Whether a pattern is that literal and places like \\b, so that a match starts where the literal does."""
+    from re import _constants as kinds
+    from re import _parser as parser
+
+    parts = list(parser.parse(pattern))
+    return all(kind in (kinds.LITERAL, kinds.AT) for kind, _ in parts) and "".join(chr(v) for kind, v in parts if kind is kinds.LITERAL).lower() == need
+
+
 @cache
 def _compiled(block: tuple[tuple[str, str, bool], ...]):
-    """The automaton of a block and, by rule, its test; rules that don't compile are left out."""
+    """The automaton of a block, the rules without a literal, by rule its test, and the rules to be tested on the spot; those that don't compile are left out."""
     import ahocorasick
 
-    automaton, always, tests = ahocorasick.Automaton(), [], {}
+    automaton, always, tests, spots = ahocorasick.Automaton(), [], {}, set()
     by_literal: dict[str, list[int]] = {}
     for i, (_, pattern, word) in enumerate(block):
         if word:
@@ -67,19 +76,28 @@ def _compiled(block: tuple[tuple[str, str, bool], ...]):
             except (re.error, OverflowError, RecursionError):
                 continue
         (by_literal.setdefault(need, []) if need else always).append(i)
+        if need and not word and _only_literal(pattern, need):
+            spots.add(i)
     for need, own in by_literal.items():
-        automaton.add_word(need, own)
+        automaton.add_word(need, (len(need) - 1, own))
     if by_literal:
         automaton.make_automaton()
-    return automaton if by_literal else None, always, tests
+    return automaton if by_literal else None, always, tests, spots
 
 
-def _met(text: str, automaton, always: list[int], tests: dict) -> list[int]:
+def _met(text: str, automaton, always: list[int], tests: dict, spots: set[int]) -> list[int]:
     low = text.lower()
-    wanted = set(always)
-    for _, own in automaton.iter(low) if automaton else ():
-        wanted.update(own)
-    return sorted(i for i in wanted if tests[i] is None or tests[i].search(text))
+    same = len(low) == len(text)  # no letter's lower case is empty, so each stands at its place
+    wanted, met = set(always), set()
+    for end, (back, own) in automaton.iter(low) if automaton else ():
+        for i in own:
+            if i in met or i in wanted:
+                continue
+            if not same or i not in spots:
+                wanted.add(i)
+            elif tests[i].match(text, end - back):
+                met.add(i)
+    return sorted(met.union(i for i in wanted if tests[i] is None or tests[i].search(text)))
 
 
 def _matching(block):

@@ -65,3 +65,32 @@ def test_vectors_with_copies_nulls_and_zeros(spark, monkeypatch, measure):
     asked = df.where("id % 10 = 0 OR id >= 160").select(F.col("id").alias("query"), "v")
     got = best.nearest_top(df, asked, "id", "v", "query", 6, measure).collect()
     assert sorted((r.query, r.id, str(r.score), r.rank) for r in got) == sorted(want)
+
+
+def test_an_index_has_files_of_the_same_size_whatever_the_input(spark, tmp_path, monkeypatch):
+    from quarrykit.operators import text_index
+
+    monkeypatch.setattr(text_index, "PART", 400)
+    monkeypatch.setattr(text_index, "MOST", 5)
+    docs = spark.createDataFrame([(i, f"the fox {i % 7}x the") for i in range(200)] + [(3, "fox")], "id long, t string")
+    index = text_index.TextIndex(spark, str(tmp_path), 2)
+    index.add(docs, "id", "t")
+    index.delete(spark.range(0, 20), "id")
+    index.add(docs.where("id < 10"), "id", "t")
+    for files in (3, 3):
+        folder = sorted(index.state["segments"])[0]
+        assert len(list((tmp_path / "postings" / folder).glob("bucket=*/*.parquet"))) >= files
+        found = {r.id: r.positions for r in index.postings(["the"]).collect()}
+        assert set(found) == {*range(10), *range(20, 200)} and all(p == [0, 3] for p in found.values())
+        assert {r.id: r.positions for r in index.postings(["fox"]).collect()}[3] == [0, 1]
+        index.merge()
+
+
+def test_rules_that_are_a_literal_are_tested_where_it_stands():
+    from quarrykit.operators import rules
+
+    block = (("a", r"\bfoxes\b", False), ("b", r"(?i)\bfoxes", False), ("c", r"foxes$", False), ("d", r"^Fo[xy]es", False))
+    compiled = rules._compiled(block)
+    assert len(compiled) == 4 and {0, 2} <= compiled[3] and 3 not in compiled[3]
+    for text in ("foxesx foxes a", "xfoxes", "FOXES", "İİ foxes", "a foxes", "Foxes foxesé", ""):
+        assert rules._met(text, *compiled) == [i for i, (_, p, _) in enumerate(block) if __import__("re").search(p, text)]
