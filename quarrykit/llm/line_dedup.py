@@ -5,8 +5,8 @@ is a fingerprint, so each repeated run of GRAM + WINDOW - 1 lines holds one at
 the same place in all its copies. A fingerprint joins its earliest position;
 the match is extended both ways, by the line beside it if gram and line occur
 earlier together, whichever copy that is; a longer match holds the next
-fingerprint. Where short runs count too, every line is a
-gram of its own, which needs no winnowing and no extension.
+fingerprint. Where short runs count too, each line that the runs leave is then
+compared with all earlier ones.
 """
 
 from __future__ import annotations
@@ -74,12 +74,13 @@ def _winnowed(docs: DataFrame) -> DataFrame:
     return again.select("doc_id", "key", (F.col("at") - F.col("__before")).alias("from"), (F.col("at") + GRAM - 1 + F.col("__after")).alias("to"))
 
 
-def _single(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, from, to): every line that occurs earlier, as a run of one."""
+def _single(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, key, from, to): of the lines that aren't among gone(doc_id, key, at), each that occurs earlier, as a run of one."""
     filled = F.filter(_lines(F.col("text")), lambda x: F.trim(x) != "")
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", _key().alias("key"), F.posexplode(F.transform(filled, _number)).alias("at", "gram"))
     found = written(rows, "lines")
-    again = found.join(_first(found, "gram"), "gram").where(F.struct(*_PLACE) != F.col("first"))
+    left = found.join(gone, [*_PLACE], "left_anti")
+    again = left.join(_first(found, "gram"), "gram").where(F.struct(*_PLACE) != F.col("first"))
     return again.select("doc_id", "key", F.col("at").alias("from"), F.col("at").alias("to"))
 
 
@@ -99,7 +100,11 @@ def line_dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     differ are apart, in an order of their own. Columns of docs pass through, but
     for n_lines and n_removed, which are replaced; an empty table gives no rows.
     """
-    runs = _single(docs) if short else _winnowed(docs)
+    runs = _winnowed(docs)
+    if short:
+        runs = written(runs, "runs")
+        places = runs.select("doc_id", "key", F.explode(F.sequence("from", "to")).alias("at")).distinct()
+        runs = runs.unionByName(_single(docs, places))
     gone = runs.select("doc_id", "key", F.explode(F.sequence("from", "to")).alias("line")).groupBy("doc_id", "key").agg(F.collect_set("line").alias("__gone"))
     gone = gone.withColumnsRenamed({"doc_id": "__doc_id", "key": "__key"})
     lines = _lines(F.col("text"))

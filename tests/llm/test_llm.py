@@ -613,3 +613,14 @@ def test_pipeline_stages(spark, tmp_path):
     gone = {40, 41, 42, 43}
     assert not gone & {r.doc_id for r in left.collect()}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_short_runs_are_looked_for_in_what_winnowing_leaves(spark, monkeypatch):
+    long, lone = "one line\ntwo lines\nthree lines\nfour lines", "a lone line"
+    docs = docs_of(spark, [f"{long}\n{lone}", f"{long}\nnew", f"x\n{lone}"])
+    runs = line_dedup._winnowed(docs)
+    asked = []
+    single = line_dedup._single
+    monkeypatch.setattr(line_dedup, "_single", lambda d, gone: asked.append({r.at for r in gone.collect()}) or single(d, gone))
+    got = [r.text for r in line_dedup.line_dedup(docs, short=True).orderBy("doc_id").collect()]
+    assert got == [f"{long}\n{lone}", "new", "x"] and asked == [{0, 1, 2, 3}] and runs.count() > 0
