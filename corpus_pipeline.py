@@ -8,7 +8,9 @@ for near_duplicates, which keeps one. An empty table passes through all stages.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,19 @@ from quarrykit.plans.tables import written
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage begins without what those before left in the driver: plans and broadcasts that Python's cycles of DataFrames still hold, and a grown heap."""
+
+    @wraps(work)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        return work(spark, docs, sf_dir)
+
+    return begun
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, any of the rows of their doc_id; null and blank texts are."""
     with scratch():
@@ -28,6 +43,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_ids(docs, gone).select(*DOCUMENT)
 
 
+@stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of lines, also of single ones; one of which nothing is left goes. n_chars follows the text."""
     prepare(spark)
@@ -35,6 +51,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENT)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links by 0.8 of their five-word shingles: the one of the least doc_id, and of its rows the least."""
     prepare(spark)
@@ -47,6 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without_ids(left, again).select(*DOCUMENT).unionByName(one.select(*DOCUMENT))
 
 
+@stage
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a test item."""
     with scratch():
@@ -55,6 +73,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return without_ids(docs, gone).select(*DOCUMENT)
 
 
+@stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the rate to repeat them at, without text; those of rate 0 go."""
     return mixing.mix_to_targets(docs, table(spark, sf_dir, "labels"), keep=["doc_id", "lang", "source", "n_chars"]).where("rate > 0")
@@ -75,9 +94,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table of documents; what a stage made is deleted once the next one has read it."""
     docs = before = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (_, work) in enumerate(STAGES):
         with scratch():
-            docs = stage(spark, docs, sf_dir)
+            docs = work(spark, docs, sf_dir)
             docs = written(docs, "stage", kept=True) if i + 1 < len(STAGES) else settled(docs)
         if i:
             discard(before)

@@ -624,3 +624,27 @@ def test_short_runs_are_looked_for_in_what_winnowing_leaves(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_single", lambda d, gone: asked.append({r.at for r in gone.collect()}) or single(d, gone))
     got = [r.text for r in line_dedup.line_dedup(docs, short=True).orderBy("doc_id").collect()]
     assert got == [f"{long}\n{lone}", "new", "x"] and asked == [{0, 1, 2, 3}] and runs.count() > 0
+
+
+def test_a_stage_begins_without_what_is_left_in_cycles():
+    import gc
+    import weakref
+    from types import SimpleNamespace
+
+    import corpus_pipeline
+
+    class Left:
+        pass
+
+    left, asked = Left(), []
+    left.itself = left
+    held = weakref.ref(left)
+    del left
+    session = SimpleNamespace(sparkContext=SimpleNamespace(_jvm=SimpleNamespace(System=SimpleNamespace(gc=lambda: asked.append("jvm")))))
+    gc.disable()
+    try:
+        corpus_pipeline.stage(lambda spark, docs, sf_dir: asked.append(held()))(session, None, "")
+    finally:
+        gc.enable()
+    assert asked == ["jvm", None]
+    assert all(hasattr(work, "__wrapped__") for _, work in corpus_pipeline.STAGES)
