@@ -20,21 +20,37 @@ _KNOWN = {"type", "required", "properties", "additionalProperties", "items", "mi
 DATE_TIME = r"^\d{4}-\d\d-\d\d[Tt ]([01]\d|2[0-3]):[0-5]\d:([0-5]\d)(\.\d+)?([Zz]|[+-]([01]\d|2[0-3]):[0-5]\d)$"
 
 
-def _kind(v: Column) -> Column:
-    """The JSON type of a variant that is there: null, boolean, integer, number, string, array or object. 1.0 is an integer."""
+def _asked(schema: dict) -> set[str]:
+    """The types of values that a schema's own keywords tell apart from the others."""
+    by = {"array": {"items", "minItems", "maxItems"}, "object": {"required", "properties", "additionalProperties"}, "number": {"enum", "minimum", "maximum"}, "string": {"minLength", "maxLength", "pattern", "format"}}
+    names = schema.get("type", [])
+    return {kind for kind, words in by.items() if words & set(schema)} | ({names} if isinstance(names, str) else set(names))
+
+
+def _kind(v: Column, asked: set[str]) -> Column:
+    """The JSON type of a variant that is there: null, boolean, integer, number, string, array or object; 1.0 is an integer. It is right among those asked.
+
+    Only a plain value is asked for its schema, since that of an object or array
+    describes all that is in it; and only where integers are told from numbers
+    is a fraction looked at.
+    """
     whole = F.try_variant_get(v, "$", "double")
+    split = F.when(whole == F.floor(whole), "integer").otherwise("number") if "integer" in asked else F.lit("number")
 
     def named(told: Column) -> Column:
         return (
-            F.when(told == "VOID", "null").when(told == "BOOLEAN", "boolean").when(told == "STRING", "string").when(told == "BIGINT", "integer")
-            .when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").when(whole == F.floor(whole), "integer").otherwise("number")
+            F.when(told == "STRING", "string").when(told == "BIGINT", "integer").when(told == "BOOLEAN", "boolean").when(told == "VOID", "null")
+            .when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").otherwise(split)
         )
 
-    return _let(F.schema_of_variant(v), named)
+    holds = {"array": "array<variant>", "object": "map<string,variant>"}
+    inner = [F.when(F.try_variant_get(v, "$", kind).isNotNull(), name) for name, kind in holds.items() if name in asked]
+    return F.coalesce(*inner, _let(F.schema_of_variant(v), named) if asked - set(holds) else F.lit("other"))
 
 
 def _flat(parts: list[Column]) -> Column:
-    return F.flatten(F.array(*parts)) if parts else F.array().cast("array<string>")
+    # A concat knows its type once; a flatten of an array asks all that is in it again for each row.
+    return F.concat(*parts) if parts else F.array().cast("array<string>")
 
 
 def _when(wrong: Column, path: Column, what: str) -> Column:
@@ -53,6 +69,16 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _issues(value: Column, body, none: Column | None = None) -> Column:
+    """The issues body(value), with the value computed once; ``none``, or no issues, where it is null.
+
+    The null that stands first is what Spark finds when it asks, for each row,
+    whether the body can be null, and spares it a walk over the whole body.
+    """
+    found = _let(value, lambda v: F.when(v.isNull(), F.lit(None).cast("array<string>")).otherwise(body(v)))
+    return F.coalesce(found, F.array().cast("array<string>") if none is None else none)
+
+
 def _check(v: Column, schema: dict | bool, path: Column) -> Column:
     """Issues of a variant that is there."""
     if isinstance(schema, bool):
@@ -60,7 +86,7 @@ def _check(v: Column, schema: dict | bool, path: Column) -> Column:
     unknown = set(schema) - _KNOWN - _SAYS_NOTHING
     if unknown or schema.get("format", "date-time") != "date-time":
         raise ValueError(f"the schema says what isn't known here: {sorted(unknown) or schema['format']}")
-    return _let(_kind(v), lambda kind: _by_kind(v, kind, schema, path))
+    return _issues(_kind(v, _asked(schema)), lambda kind: _by_kind(v, kind, schema, path))
 
 
 def _checker(schema: dict | bool, path: Column):
@@ -107,7 +133,7 @@ def _by_kind(v: Column, kind: Column, schema: dict, path: Column) -> Column:
     for key, inner in schema.get("properties", {}).items():
         found = F.try_variant_get(obj, f"${_step(key)}", "variant")
         own = F.concat(path, F.lit(f".{key}"))
-        out.append(F.flatten(F.transform(F.array_compact(F.array(found)), _checker(inner, own))))
+        out.append(_issues(found, _checker(inner, own)))
     more = schema.get("additionalProperties", True)
     if more is not True:
         pairs = F.map_entries(F.try_variant_get(obj, "$", "map<string,variant>"))
@@ -129,5 +155,4 @@ def schema_issues(raw: Column, schema: dict) -> Column:
     object are broken JSON here. The schema is data of the call: it is bounded by
     what a plan can hold, some thousands of keywords.
     """
-    v = F.try_parse_json(raw)
-    return F.when(v.isNull(), F.array(F.lit("$: not JSON"))).otherwise(_let(v, lambda x: _check(x, schema, F.lit("$"))))
+    return _issues(F.try_parse_json(raw), _checker(schema, F.lit("$")), F.array(F.lit("$: not JSON")))

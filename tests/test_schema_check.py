@@ -98,3 +98,13 @@ def test_unknown_keywords_raise(spark):
     for schema in ({"oneOf": []}, {"properties": {"a": {"format": "email"}}}):
         with pytest.raises(ValueError, match="isn't known"):
             schema_issues(F.col("raw"), schema)
+
+
+def test_a_text_is_parsed_once_and_asked_only_for_the_kinds_that_its_schema_tells_apart(spark):
+    assert str(schema_issues(F.col("raw"), SCHEMA)).count("try_parse_json(raw)") == 1
+    flat = str(schema_issues(F.col("raw"), {"type": "number", "maximum": 45}))
+    assert "array<variant>" not in flat and "floor" not in flat.lower()
+    assert "schema_of_variant" not in str(schema_issues(F.col("raw"), {"type": "object", "required": ["a"]}))
+    rows = [("[1]", {"type": "number"}, 1), ('{"a": 1}', {"enum": [1]}, 1), ("1.0", {"type": "integer"}, 0), ("1.5", {"type": "integer"}, 1), ("1.5", {"type": ["integer", "number"]}, 0), ("1", {"required": ["a"]}, 0)]
+    for raw, schema, n in rows:
+        assert spark.range(1).select(F.size(schema_issues(F.lit(raw), schema))).first()[0] == n, (raw, schema)
