@@ -120,7 +120,9 @@ class TextIndex:
     def _put(self, lists: DataFrame, size: int, folder: str) -> None:
         """Write the postings of ``size`` bytes of text, about, in tasks of PART bytes or less."""
         spread = -(-size // (PART * self.state["buckets"])) or 1
-        dealt = lists.repartition(self.state["buckets"] * spread, "bucket", F.pmod(F.xxhash64("id"), F.lit(spread)))
+        # Each share has a task of its own: hashed once more, some would meet in one, and the more of them there are the more would.
+        share = F.col("bucket") * spread + F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int")
+        dealt = lists.repartitionById(self.state["buckets"] * spread, share)
         dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{self.path}/postings/{folder}")
 
     def drop_old(self) -> None:

@@ -97,6 +97,20 @@ def test_an_index_has_files_of_the_same_size_whatever_the_input(spark, tmp_path,
         index.merge()
 
 
+def test_a_task_of_an_index_has_one_share_of_one_bucket(spark, tmp_path, monkeypatch):
+    from quarrykit.operators import text_index
+
+    monkeypatch.setattr(text_index, "PART", 500)
+    docs = spark.createDataFrame([(i, f"the fox {i % 7}x the") for i in range(200)], "id long, t string")
+    index = text_index.TextIndex(spark, str(tmp_path), 4)
+    index.add(docs, "id", "t")
+    for _ in range(2):
+        names = [p.name.split("-")[1] for p in (tmp_path / "postings" / max(index.state["segments"])).glob("bucket=*/*.parquet")]
+        assert len(names) > 4 and len(names) == len(set(names))  # a name begins with its task's number
+        assert {r.id: r.positions for r in index.postings(["the"]).collect()} == {i: [0, 3] for i in range(200)}
+        index.merge()
+
+
 def test_rules_that_are_a_literal_are_tested_where_it_stands():
     from quarrykit.operators import rules
 
