@@ -13,6 +13,8 @@ from quarrykit.plans.tables import written
 
 #: Keys that are broadcast at most.
 MOST_KEYS = 1_000_000
+#: Rows of a key that are one array, arrays that meet as many in one place, and pairs that a task looks at, about.
+BLOCK, BLOCKS, PAIRS = 128, 32, 50_000_000
 
 
 def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
@@ -74,6 +76,29 @@ def keep_oldest(df: DataFrame, key: str, age: str, name: str) -> DataFrame:
     return rejoined(df, first, [key]).where(F.col(name) != F.col("winner")).select(key, F.col(name).alias("loser"), "winner")
 
 
+def differing_pairs(df: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """(a_id, b_id): all pairs of rows of one key, the lesser ``name`` first, whose values differ. Names are unique, a null is in no pair.
+
+    The rows of a key are dealt to blocks, and some blocks meet some others in one
+    place, so a key with a great many rows is in many. A block's names follow one
+    another again and again, which makes the files of the result small.
+    """
+    counts = written(df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__rows")).where("__rows > 1"), "counts")
+    looked = counts.agg(F.sum(F.col("__rows").cast("double") * F.col("__rows"))).first()[0] or 0
+    tasks = max(int(looked // PAIRS) + 1, df.sparkSession.sparkContext.defaultParallelism)
+    blocks = F.ceil(F.col("__rows") / BLOCK)
+    rows = df.where(F.col(name).isNotNull() & F.col(value).isNotNull()).join(counts, df[key] == counts["__key"])
+    rows = rows.select("__key", F.col(name).alias("a_id"), F.col(value).alias("a_value"), F.pmod(F.xxhash64(name), blocks).cast("int").alias("a_block"), blocks.cast("int").alias("blocks"))
+    place = lambda block: F.floor(block / BLOCKS).cast("int")
+    met = ["__key", "a_place", "b_place"]
+    a = rows.select("__key", place(F.col("a_block")).alias("a_place"), F.explode(F.sequence(place(F.col("a_block")), place(F.col("blocks") - 1))).alias("b_place"), "a_block", "a_id", "a_value")
+    b = rows.groupBy("__key", F.col("a_block").alias("b_block")).agg(F.array_sort(F.collect_list(F.struct(F.col("a_id").alias("b_id"), F.col("a_value").alias("b_value")))).alias("bs"))
+    b = b.select("__key", F.explode(F.sequence(F.lit(0), place(F.col("b_block")))).alias("a_place"), place(F.col("b_block")).alias("b_place"), "b_block", "bs")
+    # A merge join goes through the blocks, and for each through the rows that meet it; two blocks meet once.
+    pairs = b.repartition(tasks, *met).hint("merge").join(a.repartition(tasks, *met), met).where("a_block <= b_block").select("a_block", "b_block", "a_id", "a_value", F.inline("bs"))
+    return pairs.where("a_value != b_value AND (a_block < b_block OR a_id < b_id)").select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
+
+
 def summary(df: DataFrame, key: str, size: str) -> DataFrame:
     """One row: all, unique and duplicate rows, and their bytes."""
     groups = df.groupBy(key).agg(F.count("*").alias("n"), F.sum(size).alias("s"), F.max(size).alias("one"))

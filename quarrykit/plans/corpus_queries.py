@@ -81,10 +81,7 @@ simple("j04_not_yet_known", lambda t: t.documents.join(t.labels.select("doc_id")
 
 @query("j05_contradiction_pairs", FILES + "SELECT a.doc_id AS a_id, b.doc_id AS b_id FROM files a JOIN files b ON a.basename = b.basename AND a.doc_id < b.doc_id WHERE a.bytes <> b.bytes")
 def _(t: Tables) -> DataFrame:
-    # The operator's result is all pairs of equal names; both sides are narrow, and AQE splits a name that many files have.
-    f = t.files.select("doc_id", "basename", "bytes")
-    a, b = f.toDF("a_id", "basename", "a_bytes"), f.toDF("b_id", "basename", "b_bytes")
-    return a.join(b, "basename").where("a_id < b_id AND a_bytes != b_bytes").select("a_id", "b_id")
+    return dedupe.differing_pairs(t.files, "basename", "doc_id", "bytes")
 
 
 simple("j06_required_artifacts", lambda t: t.labels.select("doc_id").join(t.documents.select("doc_id", "n_chars"), "doc_id", "left").select("doc_id", F.when(F.col("n_chars").isNull(), "missing").when(F.col("n_chars") == 0, "empty").otherwise("ok").alias("state")),

@@ -467,3 +467,26 @@ def test_cut_texts_say_so(spark, monkeypatch):
     monkeypatch.setattr(extract, "LIMIT", 4)
     df = spark.createDataFrame([("a.txt", b"long text"), ("b.txt", b"shrt"), ("c.txt", b""), ("d.bin", b"long text"), ("e.txt", None)], "name string, content binary")
     assert rows(extract.extracted(df, "name", "content"), "name", "status") == [("a.txt", "cut"), ("b.txt", "done"), ("c.txt", "empty"), ("d.bin", "unsupported"), ("e.txt", "failed")]
+
+
+def test_differing_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedupe, "BLOCK", 4)
+    monkeypatch.setattr(dedupe, "BLOCKS", 2)
+    monkeypatch.setattr(dedupe, "PAIRS", 100)
+    data = [(i, "hot" if i < 90 else f"k{i % 7}" if i < 110 else None, i % 5 if i % 11 else None) for i in range(115)] + [(200, "alone", 1), (None, "hot", 9), (7, "hot", 6)]
+    df = spark.createDataFrame(data, "id long, k string, v int")
+    found = dedupe.differing_pairs(df, "k", "id", "v")
+    want = sorted((a, b) for a, k, v in data for b, o, w in data if None not in (a, b, k, v, w) and k == o and a < b and v != w)
+    assert rows(found, "a_id", "b_id") == want
+    assert rows(dedupe.differing_pairs(df.where("id = 200"), "k", "id", "v"), "a_id", "b_id") == []
+
+
+def test_the_file_of_all_pairs_stays_small(spark, tmp_path):
+    from quarrykit.plans.catalog import QUERIES
+
+    text = F.concat(F.lit("t"), F.col("id"))
+    docs = spark.range(0, 240_000, 120).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.col("id").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    QUERIES["j05_contradiction_pairs"](spark, str(tmp_path)).write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 2000 * 1999 // 2
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 2000 * 1999 // 4
