@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -27,6 +28,8 @@ from quarrykit.functions.columns import terms_of
 BUCKETS = 64
 #: Bytes of text for each of which there is a file, so that a task's share stays the same; a term that all documents have is in many.
 PART = 8_000_000
+#: Bytes of text of a task that makes postings, which it holds at ten times that until its shuffle is written.
+TEXTS = 2 * PART
 #: Deleted ids that are broadcast at most.
 MOST = 1_000_000
 
@@ -89,11 +92,13 @@ class TextIndex:
         """A segment of docs; rows of ids that are there already are hidden. Repeated ids of one call are one document, its terms joined."""
         number = self.state["number"] + 1
         folder = f"{number:09d}-{uuid.uuid4().hex[:8]}"
-        rows = docs.where(F.col(name).isNotNull()).select(F.col(name).alias("id"), terms_of(F.col(text)).alias("words"))
+        size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        rows = docs.where(F.col(name).isNotNull()).select(F.col(name).alias("id"), F.col(text).alias("text"))
         again = not rows.groupBy("id").count().where("count > 1").isEmpty()
+        rows = rows.repartition(self._tasks(size), "id").select("id", terms_of(F.col("text")).alias("words"))
         texts = rows.groupBy("id").agg(F.collect_list("words").alias("texts")) if again else rows.select("id", F.array("words").alias("texts"))
         lists = texts.mapInArrow(_lists, f"id {dict(rows.dtypes)['id']}, term string, positions array<int>").withColumn("bucket", self._bucket(F.col("term")))
-        self._put(lists, docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, folder)
+        self._put(lists, size, folder)
         terms = self.spark.read.schema("bucket int, term string").option("basePath", f"{self.path}/postings/{folder}").parquet(f"{self.path}/postings/{folder}")
         terms.groupBy("term", "bucket").agg(F.count("*").alias("documents")).sortWithinPartitions("term").write.parquet(f"{self.path}/terms/{folder}")
         docs.where(F.col(name).isNotNull()).select(F.col(name).alias("id")).distinct().write.parquet(f"{self.path}/ids/{folder}")
@@ -111,12 +116,28 @@ class TextIndex:
         folder = f"{self.state['number'] + 1:09d}-{uuid.uuid4().hex[:8]}"
         lists, ids = self._read("postings"), self._visible(self._read("ids"))
         words = lists.agg(F.sum(F.size("positions"))).first()[0] or 0
-        self._put(self._visible(lists, -(-6 * words // PART)).drop("number"), 6 * words, folder)  # a word takes 6 bytes of text, about
+        with self._few_files():
+            self._put(self._visible(lists, -(-6 * words // PART)).drop("number"), 6 * words, folder)  # a word takes 6 bytes of text, about
         ids.select("id").write.parquet(f"{self.path}/ids/{folder}")
         made = self.spark.read.parquet(f"{self.path}/postings/{folder}")
         made.groupBy("term", "bucket").agg(F.count("*").alias("documents")).sortWithinPartitions("term").write.parquet(f"{self.path}/terms/{folder}")
         self._commit(segments={folder: self.state["number"] + 1}, deleted={})
 
+    def _tasks(self, size: int) -> int:
+        """Parts of ``size`` bytes of text: of TEXTS at most, as many as the cores if those have a megabyte each."""
+        return min(-(-size // 1_000_000), max(-(-size // TEXTS), self.spark.sparkContext.defaultParallelism)) or 1
+
+    @contextmanager
+    def _few_files(self) -> Iterator[None]:
+        """What runs inside reads no more files of postings in a task than TEXTS bytes of text have: one of PART takes about half, and to open it 4 MB."""
+        name = "spark.sql.files.maxPartitionBytes"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, TEXTS)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def _put(self, lists: DataFrame, size: int, folder: str) -> None:
         """Write the postings of ``size`` bytes of text, about, in tasks of PART bytes or less."""
         spread = -(-size // (PART * self.state["buckets"])) or 1

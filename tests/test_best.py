@@ -111,6 +111,33 @@ def test_a_task_of_an_index_has_one_share_of_one_bucket(spark, tmp_path, monkeyp
         index.merge()
 
 
+def test_a_task_that_makes_postings_has_a_share_of_the_text(spark, tmp_path, monkeypatch):
+    from quarrykit.operators import text_index
+
+    monkeypatch.setattr(text_index, "PART", 1_000_000)
+    monkeypatch.setattr(text_index, "TEXTS", 2_000_000)
+    seen, put, setting = [], text_index.TextIndex._put, "spark.sql.files.maxPartitionBytes"
+
+    def counted(self, lists, size, folder):
+        tasks = lists.groupBy(F.spark_partition_id()).agg(F.sum(F.size("positions")))  # words of each task before the shares are dealt
+        seen.append(([r[1] for r in tasks.collect()], self.spark.conf.get(setting)))
+        put(self, lists, size, folder)
+
+    monkeypatch.setattr(text_index.TextIndex, "_put", counted)
+    before = spark.conf.get(setting)
+    text = F.concat_ws(" ", F.expr("transform(sequence(1, 2000), i -> hex(xxhash64(id, i)))"))
+    spark.range(0, 400, 1, 1).select("id", text.alias("t")).write.parquet(str(tmp_path / "docs"))  # one file, 13 MB of text
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    index = text_index.TextIndex(spark, str(tmp_path / "index"), 2)
+    index.add(docs, "id", "t")
+    index.add(docs.unionAll(docs).where("id < 200"), "id", "t")  # ids twice
+    index.merge()
+    total = [sum(words) for words, _ in seen]
+    assert total == [800_000, 800_000, 1_200_000] and index.any_of(["nothere"]).count() == 0
+    assert all(max(words) < total[i] / 3 for i, (words, _) in enumerate(seen))
+    assert seen[2][1] == "2000000" and spark.conf.get(setting) == before
+
+
 def test_rules_that_are_a_literal_are_tested_where_it_stands():
     from quarrykit.operators import rules
 
