@@ -175,7 +175,9 @@ class TextIndex:
         if gone.limit(MOST + 1).count() <= MOST:
             gone = F.broadcast(gone)
         elif parts:
-            rows = rows.repartition(parts, "id")
+            # Not an anti join, which the optimizer moves before the repartition, into as many tasks as the session has for any shuffle.
+            both = rows.repartition(parts, "id").join(gone.repartition(parts, "__gone"), F.col("id") == F.col("__gone"), "left")
+            return both.where(F.col("__since").isNull() | (F.col("number") >= F.col("__since"))).drop("__gone", "__since")
         return rows.join(gone, (F.col("id") == F.col("__gone")) & (F.col("number") < F.col("__since")), "left_anti")
 
     def _buckets_of(self, terms: Sequence[str]) -> list[int]:
