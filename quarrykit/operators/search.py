@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrykit.functions.columns import occurrences
+from quarrykit.operators.best import apart
 from quarrykit.operators.dedupe import rejoined
 from quarrykit.plans.tables import written
 
+#: Terms that are as frequent as the last one of a vocabulary, of which tasks look for the spelling; beyond it for that of all terms.
+TIES = 1_000_000
+
+
 def keyword_top(df: DataFrame, name: str, text: str, query: str, k: int) -> DataFrame:
     """The k rows that hold the query most often."""
     scored = df.select(name, occurrences(F.col(text), query).alias("score")).where("score > 0")
@@ -51,51 +56,208 @@ def tfidf_vectors(df: DataFrame, name: str, text: str, vocabulary: int = 200_000
     """(name, terms, weights), written: tf * (ln((1 + n) / (1 + df)) + 1), each row of length one, its terms by number.
 
     Terms are words and pairs of neighbouring words; the vocabulary, the most
-    frequent of them, has a size of its own, which bounds what is broadcast. Rows
-    of one name are one; a row without a term of the vocabulary is left out.
+    frequent of them, has a size of its own, which bounds what is broadcast: a hash
+    of 64 bits for each. Rows of one name are one; a row without a term of the
+    vocabulary is left out. Terms are int32 and weights float64, each row's together
+    in one binary value.
     """
     spark = df.sparkSession
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0))
-    held = written(df.select(name, words.alias("words")).where(F.size("words") > 0), "words")
-    pairs = held.select(F.explode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))).alias("p")).select("p.a", "p.b")
-    every = pairs.select(F.explode(F.array("a", F.concat("a", F.lit(" "), "b"))).alias("term")).where("term IS NOT NULL")
-    kept = every.groupBy("term").agg(F.count("*").alias("all")).orderBy(F.desc("all"), "term").limit(vocabulary)
-    terms = spark.sparkContext.broadcast(kept.select("term").toArrow().column(0).combine_chunks())
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    texts = df.select(lowered.alias("text"))
+    totals = written(texts.mapInArrow(_term_totals, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "totals")
+    kept = _most_frequent(texts, totals, vocabulary)
+    known = spark.sparkContext.broadcast(_ordered(kept))
+    names = df.groupBy(name).agg(F.count("*").alias("rows")).agg(F.sum("rows").alias("n"), F.max("rows").alias("most")).first()
     kind = dict(df.dtypes)[name]
-    rows = held.groupBy(name).agg(F.collect_list("words").alias("texts"))
-    counts = written(rows.mapInArrow(_term_counts(terms, name), f"{name} {kind}, terms array<int>, counts array<int>"), "counts")
-    n = df.count()
-    found = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).toArrow()  # as many rows as the vocabulary
+    rows = df.select(name, F.array(lowered).alias("texts")) if (names.most or 0) < 2 else df.groupBy(name).agg(F.collect_list(lowered).alias("texts"))
+    counts = written(rows.mapInArrow(_term_counts(known, name), f"{name} {kind}, terms binary, counts binary"), "counts")
+    found = counts.select("terms").mapInArrow(_rows_of_terms(len(kept)), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # as many rows as the vocabulary
     idf = np.zeros(vocabulary)
-    idf[found.column("term").to_numpy()] = np.log((1 + n) / (1 + found.column("df").to_numpy())) + 1
-    weighed = counts.mapInArrow(_weights(spark.sparkContext.broadcast(idf), name), f"{name} {kind}, terms array<int>, weights array<double>")
+    idf[found.column("term").to_numpy()] = np.log((1 + (names.n or 0)) / (1 + found.column("df").to_numpy())) + 1
+    weighed = counts.mapInArrow(_weights(spark.sparkContext.broadcast(idf), name), f"{name} {kind}, terms binary, weights binary")
     return written(weighed, "vectors")
 
 
-def _term_counts(terms, name: str):
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words ``[a-z0-9]{2,}`` of all texts: themselves, their hashes, their texts, and those that have another one after them in their text."""
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    buf = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    inside = _INSIDE[buf]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    borders = at[(at > 0) & (at < buf.size)]
+    first[borders], last[borders - 1] = inside[borders], inside[borders - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    long = end - start > 1
+    start, end = start[long], end[long]
+    lengths = end - start
+    power = np.multiply.accumulate(np.full(int(lengths.max(initial=0)) + 1, _BASE))
+    hashes, pieces = np.zeros(len(start), np.uint64), []
+    for x in range(0, len(start), 50_000):
+        much = lengths[x : x + 50_000]
+        begins = np.cumsum(much) - much
+        place = np.arange(int(much.sum())) - np.repeat(begins, much)
+        pieces.append(buf[np.repeat(start[x : x + 50_000], much) + place])
+        hashes[x : x + 50_000] = _mixed(np.add.reduceat(_BYTES[pieces[-1]] * power[place], begins))
+    data = np.concatenate(pieces) if pieces else buf[:0]
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)])), pa.py_buffer(data))
+    row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, at)))
+    return words, hashes, row, np.flatnonzero(row[1:] == row[:-1])
+
+
+_INSIDE = np.zeros(256, bool)
+_INSIDE[48:58] = _INSIDE[97:123] = True
+_BYTES = np.random.Generator(np.random.PCG64(20240613)).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _paired(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return _mixed(hashes[first] * np.uint64(0x2545F4914F6CDD1D) + hashes[first + 1])
+
+
+def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Borders of texts that have so many bytes together, or of one text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def _most_frequent(texts: DataFrame, totals: DataFrame, vocabulary: int) -> np.ndarray:
+    """The hashes of the most frequent terms; of those as frequent as the last one the least in the order of strings."""
+    top = totals.orderBy(F.desc("n"), "hash").limit(vocabulary + 1).toArrow()
+    hashes, n = top.column("hash").to_numpy(), top.column("n").to_numpy()
+    if n.size <= vocabulary:
+        return hashes.view(np.uint64)
+    if n[vocabulary - 1] == n[vocabulary]:
+        sure = hashes[n > n[vocabulary]]
+        ties = totals.where(F.col("n") == int(n[vocabulary])).select("hash")
+        sent = None
+        if ties.count() <= TIES:
+            sent = texts.sparkSession.sparkContext.broadcast(_ordered(ties.toArrow().column(0).to_numpy().view(np.uint64)))
+        spelled = texts.mapInArrow(_spelled(sent), "hash long, term string").distinct().join(ties, "hash", "left_semi")
+        rest = spelled.orderBy("term").limit(vocabulary - sure.size).select("hash").toArrow().column(0).to_numpy()
+        return np.concatenate([sure, rest]).view(np.uint64)
+    return hashes[:vocabulary].view(np.uint64)
+
+
+def _sorted_once(hashes: np.ndarray) -> np.ndarray:
+    """The place of each of the hashes; one whose upper bits another one has may come in parts."""
+    bits = np.uint64(max(len(hashes), 1).bit_length())
+    places = np.sort(hashes >> bits << bits | np.arange(len(hashes), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))
+    hashes = hashes[places.astype(np.int64)]
+    return places[np.concatenate([[True], hashes[1:] != hashes[:-1]])].astype(np.int64) if hashes.size else np.zeros(0, np.int64)
+
+
+def _term_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, n): a slice's terms, each once."""
+    for batch in batches:
+        for at, to in _slices(batch.column(0), 8_000_000):
+            _, hashes, _, first = _words(batch.column(0).slice(at, to - at))
+            every = np.sort(np.concatenate([hashes, _paired(hashes, first)]))
+            edges = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if every.size else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every[edges].view(np.int64)), pa.array(np.diff(np.append(edges, every.size)))], ["hash", "n"])
+
+
+def _spelled(sent):
+    """(hash, term) of the terms whose hashes are sent, or of all, once for each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in _slices(batch.column(0), 8_000_000):
+                words, hashes, _, first = _words(batch.column(0).slice(at, to - at))
+                for every, begins, pair in ((hashes, np.arange(len(hashes)), False), (_paired(hashes, first), first, True)):
+                    if sent is not None:
+                        held = sent.value[0].take(_places(every, sent.value[0], sent.value[2])) == every
+                        every, begins = every[held], begins[held]
+                    once = _sorted_once(every)
+                    terms = words.take(pa.array(begins[once]))
+                    if pair:
+                        terms = pc.binary_join_element_wise(terms, words.take(pa.array(begins[once] + 1)), pa.scalar(" ", pa.large_string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(every[once].view(np.int64)), terms.cast(pa.string())], ["hash", "term"])
+
+    return run
+
+
+#: Bits of a hash that lead to its place among those of the vocabulary.
+_LEADING = 20
+
+
+def _ordered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes, ascending, with a greatest number; which they are; the places from which those of the same leading bits stand."""
+    order = np.argsort(hashes)
+    found = np.append(hashes[order], np.uint64(2**64 - 1))
+    return found, order, np.searchsorted(found[:-1], np.arange(2**_LEADING, dtype=np.uint64) << np.uint64(64 - _LEADING)).astype(np.int32)
+
+
+def _places(h: np.ndarray, hashed: np.ndarray, leading: np.ndarray) -> np.ndarray:
+    """The places of hashes among those that ascend, or of a greater one."""
+    place = leading.take((h >> np.uint64(64 - _LEADING)).astype(np.int64))
+    rest = np.flatnonzero(hashed.take(place) < h)
+    while rest.size:
+        place[rest] += 1
+        rest = rest[hashed.take(place[rest]) < h[rest]]
+    return place
+
+
+def _together(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Each row's values in one binary value."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def _term_counts(known, name: str):
     """The numbers of a row's terms, ascending, and how often it holds each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = terms.value
+        hashed, number, leading = known.value
+        size = max(len(number), 1)
+        for batch in batches:
+            every = batch.column(1).flatten()
+            row_of = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column(1)), np.int64))
+            keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, to in _slices(every, 1_000_000):
+                _, hashes, text, first = _words(every.slice(at, to - at))
+                found = []
+                for h, row in ((hashes, row_of[at + text]), (_paired(hashes, first), row_of[at + text[first]])):
+                    place = _places(h, hashed, leading)
+                    held = hashed.take(place) == h
+                    found.append(row[held] * size + number[place[held]])
+                key, count = np.unique(np.concatenate(found), return_counts=True)
+                keys.append(key)
+                counts.append(count)
+            key, count = np.concatenate(keys), np.concatenate(counts)
+            if (key[1:] <= key[:-1]).any():  # the texts of one name lie in several slices
+                key, where = np.unique(key, return_inverse=True)
+                count = np.bincount(where, count).astype(np.int64)
+            sizes = np.diff(np.searchsorted(key, np.arange(batch.num_rows + 1) * size))
+            out = pa.RecordBatch.from_arrays([batch.column(0), _together((key % size).astype(np.int32), sizes), _together(count.astype(np.int32), sizes)], [name, "terms", "counts"])
+            yield out.filter(pa.array(sizes > 0))
+
+    return run
+
+
+def _rows_of_terms(size: int):
+    """(term, df) of a task's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                texts = part.column(1)
-                words = texts.flatten()
-                size = np.asarray(pc.list_value_length(words), np.int64)
-                row = np.repeat(np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(texts), np.int64)), size)
-                flat = words.flatten()
-                inner = np.ones(max(len(flat) - 1, 0), bool)
-                inner[np.cumsum(size)[:-1] - 1] = False  # no pair goes from one text to the next
-                first = np.flatnonzero(inner)
-                pairs = pc.binary_join_element_wise(flat.take(pa.array(first)), flat.take(pa.array(first + 1)), " ")
-                number = np.concatenate([pc.fill_null(pc.index_in(x, known), -1).to_numpy(zero_copy_only=False) for x in (flat, pairs)]).astype(np.int64)
-                key = (np.concatenate([row, row[first]]) * len(known) + number)[number >= 0]
-                key, count = np.unique(key, return_counts=True)
-                offsets = np.searchsorted(key, np.arange(part.num_rows + 1) * len(known)).astype(np.int32)
-                lists = (pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (key % max(len(known), 1), count))
-                out = pa.RecordBatch.from_arrays([part.column(0), *lists], [name, "terms", "counts"])
-                yield out.filter(pa.array(np.diff(offsets) > 0))
+            total += np.bincount(apart(batch.column(0), np.int32)[1], minlength=size)
+        term = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(total[term])], ["term", "df"])
 
     return run
 
@@ -104,13 +266,11 @@ def _weights(idf, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = idf.value
         for batch in batches:
-            terms, counts = batch.column(1), batch.column(2)
-            sizes = np.asarray(pc.list_value_length(terms), np.int64)
-            w = counts.flatten().to_numpy() * known[terms.flatten().to_numpy()]
+            sizes, terms = apart(batch.column(1), np.int32)
+            w = apart(batch.column(2), np.int32)[1] * known[terms]
             row = np.repeat(np.arange(batch.num_rows), sizes)
             w = w / np.sqrt(np.bincount(row, w * w, batch.num_rows))[row]
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), terms, pa.ListArray.from_arrays(offsets, pa.array(w))], [name, "terms", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _together(w, sizes)], [name, "terms", "weights"])
 
     return run
 

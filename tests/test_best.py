@@ -89,6 +89,40 @@ def test_a_sample_gives_the_first_bounds(spark, monkeypatch):
     assert len(floors) == 1 and len(floors[0]) == 75 and np.isfinite(floors[0]).sum() > 60
 
 
+def test_copies_are_scored_once(spark, monkeypatch):
+    texts = F.concat_ws(" ", F.expr("transform(sequence(1, 5), i -> concat('t', pmod(xxhash64(pmod(id, m), i), 30)))"))
+    answers, searched, top = {}, [], best._top
+    monkeypatch.setattr(best, "_top", lambda df, name, asked, *a: searched.append((df.count(), asked.count())) or top(df, name, asked, *a))
+    for contents in (40, 350):
+        docs = spark.range(400).withColumn("m", F.lit(contents)).select("id", texts.alias("t")).unionAll(spark.createDataFrame([(None, "t1 t2"), (500, "t1 t2")], "id long, t string"))
+        for most in (1000, 0):
+            monkeypatch.setattr(best, "NAMES", most)
+            v = search.tfidf_vectors(docs, "id", "t")
+            rows = best.sharing_top(v, v.where("id % 10 = 0").withColumnRenamed("id", "query"), "id", "query", 4).collect()
+            answers[contents, most] = sorted((r.query, r.rank, r.id is None, r.id or 0, r.score) for r in rows)
+        assert answers[contents, 1000] == answers[contents, 0] and len(answers[contents, 0]) == 41 * 4
+    assert [n for n, _ in searched] == [42, 402, 352, 402] and searched[0][1] <= 5
+
+
+def test_a_vocabulary_ends_among_terms_as_frequent_as_its_last(spark, monkeypatch):
+    texts = ["bb aa", "CC dd", "ee ee ff", "aa\u212a gg", None, "x", "ff"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    total = Counter()
+    for t in texts:
+        words = [w for w in (t or "").lower().split() if len(w) > 1]
+        total.update(words + [" ".join(p) for p in zip(words, words[1:])])
+    want = sorted(total, key=lambda x: (-total[x], x))
+    number = {int(search._words(pa.array([t]))[1][0]) if " " not in t else int(search._paired(search._words(pa.array([t]))[1], np.array([0]))[0]): t for t in want}
+    kept, made = [], search._most_frequent
+    monkeypatch.setattr(search, "_most_frequent", lambda *a: kept.append(made(*a)) or kept[-1])
+    for most in (1000, 0):
+        monkeypatch.setattr(search, "TIES", most)
+        for size in (1, 2, 3, 7, len(want), 100):
+            v = search.tfidf_vectors(df, "id", "t", vocabulary=size)
+            assert {number[int(h)] for h in kept[-1]} == set(want[:size])
+    assert {r.id for r in v.collect()} == {0, 1, 2, 3, 6}
+
+
 @pytest.mark.parametrize("measure", ["distance", "cosine"])
 def test_vectors_with_copies_nulls_and_zeros(spark, monkeypatch, measure):
     rng = random.Random(5)
