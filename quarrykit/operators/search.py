@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from quarrykit.operators.best import apart
 from quarrykit.operators.dedupe import rejoined
 from quarrykit.plans.tables import written
 
+#: Bytes of text whose terms a task sums.
+SHARE = 32_000_000
 #: Terms that are as frequent as the last one of a vocabulary, of which tasks look for the spelling; beyond it for that of all terms.
 TIES = 1_000_000
 
@@ -64,10 +67,14 @@ def tfidf_vectors(df: DataFrame, name: str, text: str, vocabulary: int = 200_000
     spark = df.sparkSession
     lowered = F.lower(F.coalesce(text, F.lit("")))
     texts = df.select(lowered.alias("text"))
-    totals = written(texts.mapInArrow(_term_totals, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "totals")
+    names = df.groupBy(name).agg(F.count("*").alias("rows"), F.sum(F.octet_length(text)).alias("bytes"))
+    names = names.agg(F.sum("rows").alias("n"), F.max("rows").alias("most"), F.sum("bytes").alias("bytes")).first()
+    shares = texts.mapInArrow(_term_totals((names.bytes or 0) // SHARE + 1), "share int, hashes binary, counts binary")
+    totals = written(shares.groupBy("share").applyInArrow(_summed(2), "hash long, n long"), "totals")
+    if totals.count() <= vocabulary:  # terms that stand once belong to it
+        totals = written(shares.groupBy("share").applyInArrow(_summed(1), "hash long, n long"), "totals")
     kept = _most_frequent(texts, totals, vocabulary)
     known = spark.sparkContext.broadcast(_ordered(kept))
-    names = df.groupBy(name).agg(F.count("*").alias("rows")).agg(F.sum("rows").alias("n"), F.max("rows").alias("most")).first()
     kind = dict(df.dtypes)[name]
     rows = df.select(name, F.array(lowered).alias("texts")) if (names.most or 0) < 2 else df.groupBy(name).agg(F.collect_list(lowered).alias("texts"))
     counts = written(rows.mapInArrow(_term_counts(known, name), f"{name} {kind}, terms binary, counts binary"), "counts")
@@ -78,8 +85,8 @@ def tfidf_vectors(df: DataFrame, name: str, text: str, vocabulary: int = 200_000
     return written(weighed, "vectors")
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words ``[a-z0-9]{2,}`` of all texts: themselves, their hashes, their texts, and those that have another one after them in their text."""
+def _words(texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words ``[a-z0-9]{2,}`` of all texts: bytes, starts and ends, their hashes, their texts, and those that have another one after them in their text."""
     texts = texts.cast(pa.large_string())
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     buf = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
@@ -93,25 +100,41 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarra
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     long = end - start > 1
     start, end = start[long], end[long]
-    lengths = end - start
-    power = np.multiply.accumulate(np.full(int(lengths.max(initial=0)) + 1, _BASE))
-    hashes, pieces = np.zeros(len(start), np.uint64), []
-    for x in range(0, len(start), 50_000):
-        much = lengths[x : x + 50_000]
-        begins = np.cumsum(much) - much
-        place = np.arange(int(much.sum())) - np.repeat(begins, much)
-        pieces.append(buf[np.repeat(start[x : x + 50_000], much) + place])
-        hashes[x : x + 50_000] = _mixed(np.add.reduceat(_BYTES[pieces[-1]] * power[place], begins))
-    data = np.concatenate(pieces) if pieces else buf[:0]
-    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)])), pa.py_buffer(data))
+    hashes, x = np.zeros(len(start), np.uint64), 0
+    while x < len(start):  # sums of what the bytes before a place weigh, for as many words at a time as the tables hold
+        y = max(x + 1, int(np.searchsorted(end, start[x] + _PIECE, "right")))
+        piece = _BYTES[buf[start[x] : end[y - 1]]]
+        power, back = _powers(max(piece.size, _PIECE))
+        sums = np.zeros(piece.size + 1, np.uint64)
+        np.cumsum(piece * power[: piece.size], out=sums[1:])
+        begins = start[x:y] - start[x]
+        hashes[x:y] = _mixed((sums[end[x:y] - start[x]] - sums[begins]) * back[begins])
+        x = y
     row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, at)))
-    return words, hashes, row, np.flatnonzero(row[1:] == row[:-1])
+    return (buf, start, end), hashes, row, np.flatnonzero(row[1:] == row[:-1])
+
+
+def _strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    lengths = end - start
+    ends = np.cumsum(lengths)
+    data = buf[np.arange(int(ends[-1]) if ends.size else 0) + np.repeat(start - ends + lengths, lengths)]
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data))
+
+
+#: Bytes that are hashed at a time, unless one word has more.
+_PIECE = 1 << 16
+
+
+@lru_cache(2)
+def _powers(n: int) -> list[np.ndarray]:
+    """The powers of a base and of its inverse among 64-bit numbers."""
+    return [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 2**64))]
 
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[97:123] = True
 _BYTES = np.random.Generator(np.random.PCG64(20240613)).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -161,14 +184,36 @@ def _sorted_once(hashes: np.ndarray) -> np.ndarray:
     return places[np.concatenate([[True], hashes[1:] != hashes[:-1]])].astype(np.int64) if hashes.size else np.zeros(0, np.int64)
 
 
-def _term_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, n): a slice's terms, each once."""
-    for batch in batches:
-        for at, to in _slices(batch.column(0), 8_000_000):
-            _, hashes, _, first = _words(batch.column(0).slice(at, to - at))
-            every = np.sort(np.concatenate([hashes, _paired(hashes, first)]))
-            edges = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if every.size else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(every[edges].view(np.int64)), pa.array(np.diff(np.append(edges, every.size)))], ["hash", "n"])
+def _term_totals(shares: int):
+    """(share, hashes, counts): a slice's terms, each once, by equal ranges of their hashes."""
+    borders = np.array([(i << 64) // shares for i in range(1, shares)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to in _slices(batch.column(0), 8_000_000):
+                _, hashes, _, first = _words(batch.column(0).slice(at, to - at))
+                every = np.sort(np.concatenate([hashes, _paired(hashes, first)]))
+                edges = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if every.size else np.zeros(0, np.int64)
+                counts, every = np.diff(np.append(edges, every.size)).astype(np.int32), every[edges]
+                sizes = np.diff(np.concatenate([[0], np.searchsorted(every, borders), [every.size]]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(shares, dtype=np.int32)), _together(every, sizes), _together(counts, sizes)], ["share", "hashes", "counts"])
+
+    return run
+
+
+def _summed(least: int):
+    """(hash, n) of a share's terms that stand so often."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes = np.concatenate([apart(c, np.uint64)[1] for c in table.column("hashes").chunks])
+        counts = np.concatenate([apart(c, np.int32)[1] for c in table.column("counts").chunks])
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if hashes.size else np.zeros(0, np.int64)
+        n = np.add.reduceat(counts[order].astype(np.int64), edges) if edges.size else np.zeros(0, np.int64)
+        return pa.table({"hash": hashes[edges][n >= least].view(np.int64), "n": n[n >= least]})
+
+    return run
 
 
 def _spelled(sent):
@@ -177,16 +222,17 @@ def _spelled(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to in _slices(batch.column(0), 8_000_000):
-                words, hashes, _, first = _words(batch.column(0).slice(at, to - at))
+                (buf, start, end), hashes, _, first = _words(batch.column(0).slice(at, to - at))
                 for every, begins, pair in ((hashes, np.arange(len(hashes)), False), (_paired(hashes, first), first, True)):
                     if sent is not None:
                         held = sent.value[0].take(_places(every, sent.value[0], sent.value[2])) == every
                         every, begins = every[held], begins[held]
                     once = _sorted_once(every)
-                    terms = words.take(pa.array(begins[once]))
+                    begins = begins[once]
+                    terms = _strings(buf, start[begins], end[begins])
                     if pair:
-                        terms = pc.binary_join_element_wise(terms, words.take(pa.array(begins[once] + 1)), pa.scalar(" ", pa.large_string()))
-                    yield pa.RecordBatch.from_arrays([pa.array(every[once].view(np.int64)), terms.cast(pa.string())], ["hash", "term"])
+                        terms = pc.binary_join_element_wise(terms, _strings(buf, start[begins + 1], end[begins + 1]), " ")
+                    yield pa.RecordBatch.from_arrays([pa.array(every[once].view(np.int64)), terms], ["hash", "term"])
 
     return run
 
