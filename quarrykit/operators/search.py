@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 from quarrykit.functions.columns import occurrences
 from quarrykit.operators.best import apart
 from quarrykit.operators.dedupe import rejoined
-from quarrykit.plans.tables import written
+from quarrykit.plans.tables import discard, written
 
 #: Bytes of text whose terms a task sums.
 SHARE = 32_000_000
@@ -72,8 +73,13 @@ def tfidf_vectors(df: DataFrame, name: str, text: str, vocabulary: int = 200_000
     shares = texts.mapInArrow(_term_totals((names.bytes or 0) // SHARE + 1), "share int, hashes binary, counts binary")
     totals = written(shares.groupBy("share").applyInArrow(_summed(2), "hash long, n long"), "totals")
     if totals.count() <= vocabulary:  # terms that stand once belong to it
+        discard(totals)
         totals = written(shares.groupBy("share").applyInArrow(_summed(1), "hash long, n long"), "totals")
     kept = _most_frequent(texts, totals, vocabulary)
+    discard(totals)
+    del shares, totals
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # what was shuffled for the totals leaves the disks
     known = spark.sparkContext.broadcast(_ordered(kept))
     kind = dict(df.dtypes)[name]
     rows = df.select(name, F.array(lowered).alias("texts")) if (names.most or 0) < 2 else df.groupBy(name).agg(F.collect_list(lowered).alias("texts"))
@@ -82,7 +88,9 @@ def tfidf_vectors(df: DataFrame, name: str, text: str, vocabulary: int = 200_000
     idf = np.zeros(vocabulary)
     idf[found.column("term").to_numpy()] = np.log((1 + (names.n or 0)) / (1 + found.column("df").to_numpy())) + 1
     weighed = counts.mapInArrow(_weights(spark.sparkContext.broadcast(idf), name), f"{name} {kind}, terms binary, weights binary")
-    return written(weighed, "vectors")
+    vectors = written(weighed, "vectors")
+    discard(counts)
+    return vectors
 
 
 def _words(texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -264,13 +272,19 @@ def _together(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            yield batch.slice(at, 2000)
+
+
 def _term_counts(known, name: str):
     """The numbers of a row's terms, ascending, and how often it holds each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, number, leading = known.value
         size = max(len(number), 1)
-        for batch in batches:
+        for batch in _parts(batches):
             every = batch.column(1).flatten()
             row_of = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(batch.column(1)), np.int64))
             keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -311,7 +325,7 @@ def _rows_of_terms(size: int):
 def _weights(idf, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = idf.value
-        for batch in batches:
+        for batch in _parts(batches):
             sizes, terms = apart(batch.column(1), np.int32)
             w = apart(batch.column(2), np.int32)[1] * known[terms]
             row = np.repeat(np.arange(batch.num_rows), sizes)
