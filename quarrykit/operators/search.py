@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrykit.functions.columns import occurrences
-from quarrykit.operators.best import apart
+from quarrykit.operators.best import apart, in_small_batches
 from quarrykit.operators.dedupe import rejoined
 from quarrykit.plans.tables import discard, written
 
@@ -56,6 +56,7 @@ def match_prefix_not(index: DataFrame, name: str, prefix: str, without: str) ->
     return index.where(F.col("term").startswith(prefix)).select(name).distinct().join(index.where(F.col("term") == without).select(name).distinct(), name, "left_anti")
 
 
+@in_small_batches
 def tfidf_vectors(df: DataFrame, name: str, text: str, vocabulary: int = 200_000) -> DataFrame:
     """(name, terms, weights), written: tf * (ln((1 + n) / (1 + df)) + 1), each row of length one, its terms by number.
 
